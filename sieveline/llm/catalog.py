@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import mixing, quality, sharding
 
-_MODULES = {"op1_jump_sharding": sharding}
+_MODULES = {
+    "op1_jump_sharding": sharding,
+    "op2_quality_sketches": quality,
+    "op4_pareto_mix": mixing,
+}
 
 QUERIES = {name: getattr(module, name) for name, module in _MODULES.items()}
 
