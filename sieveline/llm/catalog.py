@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import bpe, mixing, quality, sharding, simhash, warc
 
 _MODULES = {
     "op1_jump_sharding": sharding,
     "op2_quality_sketches": quality,
     "op4_pareto_mix": mixing,
+    "op5_bpe_tree": bpe,
+    "op7_warc_revisits": warc,
+    "op10_simhash_pivots": simhash,
 }
 
 QUERIES = {name: getattr(module, name) for name, module in _MODULES.items()}
