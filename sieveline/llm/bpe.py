@@ -28,8 +28,8 @@ from .common import table
 #: Characters that a stretch of a text has at least, before it is cut at the next certain boundary.
 STRETCH = 1 << 16
 
-#: Distinct pieces that a worker keeps; then it starts over.
-KEPT_PIECES = 150_000
+#: Distinct pieces, leaves and pairs that a worker keeps; then it starts over.
+KEPT_PIECES = 250_000
 
 
 class Codec:
@@ -44,6 +44,7 @@ class Codec:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.text_of = {str(v): k for k, v in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.leaves: dict[bytes, list[int]] = {}
         self.joined: dict[str, str] = {}
 
     @classmethod
@@ -97,7 +98,11 @@ class Codec:
     def reduce(self, data: bytes, whole: bool = True) -> list[int]:
         """Encodes a piece by halves. Leaves of up to 8 bytes are merged by definition."""
         if len(data) <= 8:
-            return self.merge(data)
+            if (leaf := self.leaves.get(data)) is None:
+                if len(self.leaves) > KEPT_PIECES:
+                    self.leaves.clear()
+                leaf = self.leaves[data] = self.merge(data)
+            return leaf
         if not whole and len(data) > 64:  # a window: fold its parts from the left, so that each join sees a final left side
             out: list[int] = []
             for k in range(0, len(data), 32):
