@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding, simhash, warc
+from . import bpe, embeddings, mixing, mixing_lm, pii, quality, secrets, sharding, simhash, warc
 
 _MODULES = {
     "op1_jump_sharding": sharding,
     "op2_quality_sketches": quality,
+    "op3_pii_weak_supervision": pii,
     "op4_pareto_mix": mixing,
     "op5_bpe_tree": bpe,
+    "op6_context_mixing": mixing_lm,
     "op7_warc_revisits": warc,
+    "op8_secret_battery": secrets,
+    "op9_pivot_permutations": embeddings,
     "op10_simhash_pivots": simhash,
 }
 
