@@ -224,7 +224,7 @@ def encoded(docs: DataFrame, vocabulary: tuple[str, str] | None = None, ids: str
     if {ids, back} & set(docs.columns):
         raise ValueError("name the columns of ids and of decoded texts otherwise: the table has such columns")
     path, pattern = vocabulary or default_vocabulary()
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, ids, back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -234,7 +234,7 @@ def encoded(docs: DataFrame, vocabulary: tuple[str, str] | None = None, ids: str
                 texts = [own.ids_text(t.as_py() or "") for t in batch.column(at)]
                 made = pa.array([[int(x) for s in t for x in s.split(",")] for t in texts], pa.list_(pa.int32()))
                 decoded = pa.array([b"".join(own.decode_text(t)) for t in texts], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, made, decoded], names=[*docs.columns, ids, back])
+                yield pa.RecordBatch.from_arrays([*batch.columns, made, decoded], names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(back, T.StringType())])
     return docs.mapInArrow(run, schema)
