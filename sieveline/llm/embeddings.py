@@ -73,7 +73,7 @@ def _describe(pivots: np.ndarray, nearest: int):
     """mapInArrow: (cid, n, v) -> a row for each pair of the vector's nearest pivots. near: their ids in order of nearness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = min(nearest, len(pivots))
+        k = max(min(nearest, len(pivots)), 2)
         first, second = np.triu_indices(k, 1)
         for batch in batches:
             if not batch.num_rows:
@@ -81,6 +81,8 @@ def _describe(pivots: np.ndarray, nearest: int):
             cid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             units = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(cid), -1))
             near = np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int32)
+            if near.shape[1] < 2:  # a single pivot: all vectors share it and a made-up second one
+                near = np.tile(np.array([0, 1], np.int32), (len(cid), 1))
             ids = np.sort(near, axis=1)
             m = len(first)
             p, q = ids[:, first].ravel(), ids[:, second].ravel()

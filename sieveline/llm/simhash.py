@@ -111,7 +111,7 @@ def linked(x: np.ndarray, y: np.ndarray, dx: np.ndarray, dy: np.ndarray, radius:
         if not len(left):
             return left
         left = left[np.abs(dx[left, c] - dy[left, c]) <= radius]
-    return left[np.bitwise_count(x[left] ^ y[left]) <= radius]
+    return left[np.bitwise_count((x[left] ^ y[left]).view(np.uint64)) <= radius]  # of signed numbers it would take the absolute value
 
 
 class _Forest:
