@@ -55,10 +55,13 @@ class Ocr:
 
 @dataclass(frozen=True)
 class Recogniser:
+    """literal: characters that every match holds; texts without them are not searched. Empty: all are."""
+
     rule_id: str
     category: str
     pattern: str
     reason_code: str = ""
+    literal: str = ""
 
 
 @dataclass(frozen=True)

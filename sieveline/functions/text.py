@@ -19,6 +19,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """The value, computed once a row however often later steps name it: it is marked as non-deterministic (its condition
+    always holds), so that the optimizer neither inlines it into its uses nor pushes filters over it below it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def total(numbers: Column, upto: Column) -> Column:
     """The sum of the first ``upto`` elements."""
     return F.aggregate(F.slice(numbers, 1, upto), F.lit(0), lambda a, x: a + x)
@@ -34,18 +40,18 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, SPACE, "")) == 0
+    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def printable_ratio(text: Column) -> Column:
     """Share of characters outside the categories Other and Separator; space, line feed and tab count. Empty: 0."""
-    rest = F.length(F.regexp_replace(text, r"[^\p{C}\p{Z}]|[ \n\t]", ""))
+    rest = F.regexp_count(text, F.lit(r"[\p{C}\p{Z}&&[^ \n\t]]"))
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise((F.length(text) - rest) / F.length(text))
 
 
 def density(text: Column) -> Column:
     """Share of characters that are no white space. Empty: 0."""
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(text, SPACE, "")) / F.length(text))
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(text, SPACE + "+", "")) / F.length(text))
 
 
 def line_spans(text: Column) -> Column:

@@ -34,7 +34,7 @@ def ingest(items: DataFrame) -> DataFrame:
         .when(failed, "unreadable")
         .when(F.sha2(F.col("content"), 256) != F.col("content_hash"), "hash_mismatch")
     )
-    return items.withColumn("exception_code", code)
+    return items.withColumn("exception_code", text.once(code))
 
 
 def extract(items: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def extract(items: DataFrame) -> DataFrame:
 
     Images and bytes that are no UTF-8 have no text layer (coverage by images 1); blank texts have none either."""
     decoded = F.when(F.col("exception_code").isNull() & ~is_image(F.col("content_type")), text.decode(F.col("content")))
-    rows = items.withColumn("text", decoded)
+    rows = items.withColumn("text", text.once(decoded))
     has = F.coalesce(~text.is_blank(F.col("text")), F.lit(False))
     return rows.withColumns({
         "has_text_layer": has,
@@ -67,12 +67,12 @@ def ocr_gate(items: DataFrame, gate: OcrGate = OcrGate()) -> DataFrame:
 
     The row keeps the ratios seen before the gate as seen_printable and seen_coverage for the event log."""
     alive = F.col("exception_code").isNull()
-    rows = items.withColumns({"needs_ocr": alive & needs_ocr(gate), "seen_printable": F.col("printable_ratio"), "seen_coverage": F.col("image_coverage")})
+    rows = items.withColumns({"needs_ocr": text.once(alive & needs_ocr(gate)), "seen_printable": F.col("printable_ratio"), "seen_coverage": F.col("image_coverage")})
     rows = rows.withColumn("exception_code", F.when(F.col("needs_ocr") & F.col("ocr_text").isNull(), "ocr_failure").otherwise(F.col("exception_code")))
     used = F.col("needs_ocr") & F.col("exception_code").isNull()
     blank = text.is_blank(F.col("ocr_text"))
     return rows.withColumns({
-        "text": F.when(used, F.col("ocr_text")).otherwise(F.col("text")),
+        "text": text.once(F.when(used, F.col("ocr_text")).otherwise(F.col("text"))),
         "has_text_layer": F.when(used, ~blank).otherwise(F.col("has_text_layer")),
         "printable_ratio": F.when(used, text.printable_ratio(F.col("ocr_text"))).otherwise(F.col("printable_ratio")),
         "image_coverage": F.when(used, F.lit(0.0)).otherwise(F.col("image_coverage")),
@@ -95,8 +95,11 @@ def no_findings() -> Column:
 def rule_findings(rules: tuple[Recogniser, ...], detector: str = "regex-0", body: str = "text") -> Column:
     """Deterministic findings of pattern rules, an array: per rule and match, numbered from 0 in the order of the text."""
     def of(rule: Recogniser) -> Column:
+        hits = text.find_all(F.col(body), rule.pattern)
+        if rule.literal:
+            hits = F.when(F.col(body).contains(rule.literal), hits).otherwise(F.expr("cast(array() as array<struct<char_start:int,char_end:int>>)"))
         return F.transform(
-            text.find_all(F.col(body), rule.pattern),
+            hits,
             lambda m, i: finding(
                 finding_id=F.concat(F.lit(rule.rule_id + "-"), i.cast("string")), category=F.lit(rule.category), score_type=F.lit("deterministic_match"),
                 band=F.lit("deterministic"), rule_id=F.lit(rule.rule_id), calibration_status=F.lit("not_applicable"), detector=F.lit(detector),
@@ -157,7 +160,7 @@ def summarise(items: DataFrame) -> DataFrame:
     """Exactly one row an item, from the array ``findings``; without a shuffle."""
     failed = F.col("exception_code").isNotNull()
     drive = F.filter("findings", lambda f: f["score_type"] != "similarity")
-    rows = items.withColumn("_drive", F.when(failed, no_findings()).otherwise(drive))
+    rows = items.withColumn("_drive", text.once(F.when(failed, no_findings()).otherwise(drive)))
     d = F.col("_drive")
     any_ = F.size(d) > 0
     fixed = F.exists(d, lambda f: f["score_type"] == "deterministic_match")

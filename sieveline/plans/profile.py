@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Inference, OcrGate, Recogniser, Scoring, Taxonomy
+from ..functions.text import once
 from ..operators import items as ops
 
 RULES = (
     Recogniser("CARD-001", "financial", r"\b\d{16}\b"),
-    Recogniser("MAIL-001", "contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    Recogniser("TEL-001", "contact", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+    Recogniser("MAIL-001", "contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", literal="@"),
+    Recogniser("TEL-001", "contact", r"\+1 \(\d{3}\) \d{3}-\d{4}", literal="+1 ("),
     Recogniser("IP-001", "network", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
-    Recogniser("TOK-001", "credential", r'token = "[0-9a-f]{40}"'),
-    Recogniser("LIC-001", "licence", r"[Ll]icensed? under"),
+    Recogniser("TOK-001", "credential", r'token = "[0-9a-f]{40}"', literal='token = "'),
+    Recogniser("LIC-001", "licence", r"[Ll]icensed? under", literal="icense"),
 )
 TAXONOMY = Taxonomy("bench-0", ("contact", "credential", "financial", "licence", "network"))
 HINTS = {"financial": "thanedble", "contact": "ention", "credential": "worthless"}
@@ -60,7 +61,7 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gated(spark, sf_dir)
     made = F.concat(ops.rule_findings(RULES), ops.apply_calibration(ops.model_findings(TAXONOMY.categories, HINTS, SCORING), SCORING))
     found = F.when(F.col("exception_code").isNull(), made).otherwise(ops.no_findings())
-    return rows.withColumn("findings", found).drop("text", "content", "ocr_text")
+    return rows.withColumn("findings", once(found)).drop("text", "content", "ocr_text")
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:

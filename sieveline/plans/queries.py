@@ -39,7 +39,7 @@ def extract_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profile.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.line_spans(F.col("text"))).alias("span", "s"))
+    rows = profile.table(spark, sf_dir, "documents").select("doc_id", text.once(text.line_spans(F.col("text"))).alias("spans")).select("doc_id", F.posexplode("spans").alias("span", "s"))
     return rows.select("doc_id", F.col("span").cast("long").alias("span"), F.col("s.char_start").cast("long").alias("char_start"), F.col("s.char_end").cast("long").alias("char_end"), F.sha2(F.col("s.text").cast("binary"), 256).alias("span_sha256"))
 
 
@@ -49,7 +49,7 @@ def ocr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profile.table(spark, sf_dir, "documents").select(F.format_string("doc_%06d", F.col("doc_id")).alias("source_id"), ops.rule_findings(profile.RULES).alias("findings"))
+    rows = profile.table(spark, sf_dir, "documents").select(F.format_string("doc_%06d", F.col("doc_id")).alias("source_id"), text.once(ops.rule_findings(profile.RULES)).alias("findings"))
     return rows.select("source_id", F.explode("findings").alias("f")).select("source_id", "f.*")
 
 
@@ -65,7 +65,7 @@ def regex_hits_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mock_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ops.model_findings(profile.TAXONOMY.categories, profile.HINTS, profile.SCORING)
-    rows = profile.table(spark, sf_dir, "documents").select("doc_id", F.explode(made).alias("f"))
+    rows = profile.table(spark, sf_dir, "documents").select("doc_id", text.once(made).alias("found")).select("doc_id", F.explode("found").alias("f"))
     return rows.select("doc_id", F.col("f.finding_id").alias("finding_id"), F.col("f.category").alias("category"), F.col("f.score").alias("score"), F.col("f.reason").alias("reason"), F.col("f.location.char_end").cast("long").alias("char_end"))
 
 
