@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
+__all__ = ["BLANKS", "BROADCAST_ROWS", "UPPER", "discard", "join_small", "let", "lower_ascii", "n_words", "new_path", "once", "remove", "save", "shared_dir", "source_key", "table", "words"]
+
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

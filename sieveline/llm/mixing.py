@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, n_words, save, source_key, table
+from .common import join_small, n_words, once, save, source_key, table
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def features(docs: DataFrame, mix: Mix, *kept: Column) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         source_key(F.col("source")).alias("skey"),
         F.col("source").alias("source"),
-        n_words(F.col("text")).alias("size"),
+        once(n_words(F.col("text"))).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"),
     ).withColumns({"u": _uniform(F.col("doc_id"), mix.seed), "grade": _grade(F.col("size"))})
 

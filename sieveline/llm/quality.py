@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, let, save, table, words
+from .common import join_small, let, once, save, table, words
 
 #: Binary digits that a bin keeps.
 BITS = 7
@@ -152,7 +152,7 @@ def _inside(rules: Rules) -> Column:
 
 
 def _measured(docs: DataFrame, rules: Rules, *kept: Column) -> DataFrame:
-    rows = docs.select(*kept, *_group(docs), measures(F.col("text")).alias("m"))
+    rows = docs.select(*kept, *_group(docs), once(measures(F.col("text"))).alias("m"))
     m = F.col("m")
     failed = (m["n_words"] < rules.min_words) | (m["n_repeat_words"] * 100 > m["n_words"] * rules.max_repeat_percent)
     return rows.withColumns({"base_failed": failed} | _rates(m))
