@@ -19,8 +19,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def contents(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all files below a folder; the path is relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    return files.select(F.substring_index(F.col("path"), base, -1).alias("path"), "content")
+    return files.select(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1).alias("path"), "content")
 
 
 def side_texts(contents_: DataFrame) -> DataFrame:
