@@ -136,9 +136,13 @@ def fences(rows: DataFrame, rules: Rules) -> DataFrame:
     made = save(made.select("g.*", "fence"), "quality-fences")
     groups = fine.select("g_lang", "g_source").distinct()
     level = lambda k: made.where(F.col("level") == k)
-    own, lang, every = level(2).select(F.col("l").alias("g_lang"), F.col("s").alias("g_source"), F.col("fence").alias("f2")), level(1).select(F.col("l").alias("g_lang"), F.col("fence").alias("f1")), level(0).select(F.lit(1).alias("one"), F.col("fence").alias("f0"))
-    found = groups.join(own, ["g_lang", "g_source"], "left").join(lang, "g_lang", "left").withColumn("one", F.lit(1)).join(F.broadcast(every), "one", "left")
-    return save(found.select("g_lang", "g_source", F.coalesce("f2", "f1", "f0").alias("fence")), "quality-groups")
+    own, lang = level(2).select(F.col("l").alias("g_lang"), F.col("s").alias("g_source"), F.col("fence").alias("f2")), level(1).select(F.col("l").alias("g_lang"), F.col("fence").alias("f1"))
+    bounds = "struct<lo:double,hi:double>"
+    every = level(0).select("fence").first()  # one row: the corpus's fences, a pair of numbers a measure
+    entries = [x for k, v in sorted((every["fence"] if every else {}).items()) for x in (F.lit(k), F.struct(F.lit(v["lo"]).alias("lo"), F.lit(v["hi"]).alias("hi")).cast(bounds))]
+    f0 = F.create_map(*entries) if entries else F.lit(None).cast(f"map<string,{bounds}>")
+    found = groups.join(own, ["g_lang", "g_source"], "left").join(lang, "g_lang", "left")
+    return save(found.select("g_lang", "g_source", F.coalesce("f2", "f1", f0).alias("fence")), "quality-groups")
 
 
 def _inside(rules: Rules) -> Column:
