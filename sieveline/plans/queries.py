@@ -109,24 +109,24 @@ def calibration_fit_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cal.fit(_labelled(spark, sf_dir).select("category", "split", "score", "label"), "isotonic")
 
 
-#: Examples per category, and categories (labels below this), so that the example table has at most 48 rows.
+#: Examples per category; labels below CATEGORIES are those that the SQL compares.
 EXAMPLES, CATEGORIES = 3, 16
 
+#: Up to so many categories the examples are broadcast.
+BROADCAST_CATEGORIES = 1_000
+
 
 def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greatest cosine of each item with a category's examples: the three lowest ids of each label. The examples (at most
-    EXAMPLES * CATEGORIES) come to the driver and go into the plan as literals, so items are neither joined nor shuffled."""
+    """Greatest cosine of each item with a category's examples: the three lowest ids of each label. The examples, a row a
+    category, are counted first and broadcast only if they are few."""
     e = profile.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    chosen = e.where(F.col("label").between(0, CATEGORIES - 1)).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("n") <= EXAMPLES)
-    by: dict[int, list] = {}
-    for r in chosen.select("label", "vec_id", "v").orderBy("label", "vec_id").collect():
-        by.setdefault(int(r["label"]), []).append([float(x) for x in r["v"]])
-
-    def best(vectors: list) -> Column:
-        return F.array_max(F.array(*[numbers.cosine(F.col("v"), F.array(*[F.lit(x) for x in w])) for w in vectors]))
-
-    pairs = F.array(*[F.struct(F.lit(f"label-{k}").alias("category"), best(v).alias("cosine")) for k, v in by.items()])
-    return e.select(F.col("vec_id").alias("source_id"), F.explode(pairs).alias("p")).select("source_id", "p.category", "p.cosine")
+    chosen = e.where("label is not null").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("n") <= EXAMPLES)
+    by = chosen.groupBy("label").agg(F.collect_list("v").alias("examples"))
+    if by.limit(BROADCAST_CATEGORIES + 1).count() <= BROADCAST_CATEGORIES:
+        by = F.broadcast(by)
+    pairs = e.select(F.col("vec_id").alias("source_id"), "v").crossJoin(by)
+    best = F.array_max(F.transform("examples", lambda w: numbers.cosine(F.col("v"), w)))
+    return pairs.select("source_id", F.concat(F.lit("label-"), F.col("label").cast("string")).alias("category"), best.alias("cosine"))
 
 
 def cosine_best(spark: SparkSession, sf_dir: str) -> DataFrame:
