@@ -25,9 +25,26 @@ def once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def total(numbers: Column, upto: Column) -> Column:
-    """The sum of the first ``upto`` elements."""
-    return F.aggregate(F.slice(numbers, 1, upto), F.lit(0), lambda a, x: a + x)
+#: Numbers that are summed one after another; an array that grows by one costs its length each time.
+RUN = 128
+
+
+def starts(lengths: Column) -> Column:
+    """array<int>: the sum of all lengths before each one. In runs of RUN, so that the work grows with the number of
+    lengths and not with its square."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def running(xs: Column, at: Column) -> Column:
+        first = F.struct(at.cast("int").alias("at"), none.alias("out"))
+        return F.aggregate(xs, first, lambda a, x: F.struct((a["at"] + x).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def of(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda k: F.slice(xs, k * RUN + 1, F.lit(RUN)))
+        sums = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda a, x: (a + x).cast("int")))
+        each = F.transform(F.arrays_zip(runs.alias("xs"), running(sums, F.lit(0)).alias("at")), lambda z: running(z["xs"], z["at"]))
+        return F.when(F.size(xs) == 0, none).otherwise(F.flatten(each))
+
+    return let(F.transform(lengths, lambda x: x.cast("int")), of)
 
 
 def decode(content: Column) -> Column:
@@ -58,43 +75,46 @@ def line_spans(text: Column) -> Column:
     """array<struct<char_start,char_end,text>>: the lines of a text without their line feed; empty ones give no span but
     count for the offsets. A carriage return stays in the span's text."""
     def build(parts: Column) -> Column:
-        def ends(seps: Column) -> Column:
-            first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<char_start:int,char_end:int,text:string>>)").alias("out"))
+        def placed(seps: Column) -> Column:
+            at = starts(F.transform(parts, lambda x, i: F.length(x) + F.length(F.coalesce(F.get(seps, i), F.lit("")))))
 
-            def add(acc: Column, i: Column) -> Column:
-                sep = F.coalesce(F.get(seps, i), F.lit(""))
-                line = F.concat(F.get(parts, i), F.regexp_replace(sep, r"\n$", ""))
-                span = F.struct(acc["at"].alias("char_start"), (acc["at"] + F.length(line)).alias("char_end"), line.alias("text"))
-                end = acc["at"] + F.length(F.get(parts, i)) + F.length(sep)
-                return F.struct(end.alias("at"), F.when(F.length(line) > 0, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+            def spans(at: Column) -> Column:
+                line = lambda x, i: F.concat(x, F.regexp_replace(F.coalesce(F.get(seps, i), F.lit("")), r"\n$", ""))
+                lines = F.transform(parts, lambda x, i: F.struct(F.get(at, i).alias("at"), line(x, i).alias("text")))
+                spans = F.transform(lines, lambda x: F.struct(x["at"].alias("char_start"), (x["at"] + F.length(x["text"])).alias("char_end"), x["text"].alias("text")))
+                return F.filter(spans, lambda x: x["char_end"] > x["char_start"])
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), first, add, lambda acc: acc["out"])
+            return let(at, spans)
 
-        return let(F.regexp_extract_all(text, F.lit(LINE_END), F.lit(0)), ends)
+        return let(F.regexp_extract_all(text, F.lit(LINE_END), F.lit(0)), placed)
 
     return let(F.split(text, LINE_END, -1), build)
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """array<struct<char_start,char_end>>: the non-overlapping matches of a pattern."""
-    none = F.expr("cast(array() as array<struct<char_start:int,char_end:int>>)")
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<s,e,m>>: the non-overlapping matches of a pattern, with their offsets."""
+    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
 
     def place(hits: Column) -> Column:
-        def walk(gaps: Column) -> Column:
-            first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        def located(gaps: Column) -> Column:
+            at = starts(F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h)))
 
-            def add(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(gaps, i))
-                end = start + F.length(F.get(hits, i))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("char_start"), end.alias("char_end")))).alias("out"))
+            def spans(at: Column) -> Column:
+                begun = F.transform(hits, lambda h, i: F.struct((F.get(at, i) + F.length(F.get(gaps, i))).alias("s"), h.alias("m")))
+                return F.transform(begun, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), first, add, lambda acc: acc["out"])
+            return let(at, spans)
 
-        return F.when(F.size(hits) == 0, none).otherwise(let(F.split(text, pattern, -1), walk))
+        return F.when(F.size(hits) == 0, none).otherwise(let(F.split(text, pattern, -1), located))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
+def find_all(text: Column, pattern: str) -> Column:
+    """array<struct<char_start,char_end>>: the non-overlapping matches of a pattern."""
+    return F.transform(matches(text, pattern), lambda m: F.struct(m["s"].alias("char_start"), m["e"].alias("char_end")))
+
+
 def char_location(start: Column, end: Column) -> Column:
     return F.struct(
         F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("string").alias("cell"),
@@ -102,20 +122,23 @@ def char_location(start: Column, end: Column) -> Column:
     )
 
 
+def span_bounds(spans: Column) -> Column:
+    """array<struct<lo,hi,location>>: where the spans (array<struct<location,text>>) lie in the text that joins them by one
+    line feed each."""
+    at = starts(F.transform(spans, lambda s: F.length(s["text"]) + 1))
+    return let(at, lambda at: F.transform(spans, lambda s, i: F.struct(F.get(at, i).alias("lo"), (F.get(at, i) + F.length(s["text"])).alias("hi"), s["location"].alias("location"))))
+
+
+def owning_location(bounds: Column, start: Column, end: Column) -> Column:
+    """The location of an offset by :func:`span_bounds`: the owning span's page or sheet, or the offsets themselves where
+    there is no such anchor (a line feed between spans belongs to none)."""
+    hit = F.try_element_at(F.filter(bounds, lambda b: (b["lo"] <= start) & (start < b["hi"])), F.lit(1))["location"]
+    return F.when(F.coalesce(hit["page"].isNotNull() | hit["sheet"].isNotNull(), F.lit(False)), hit).otherwise(char_location(start, end))
+
+
 def resolve_location(spans: Column, start: Column, end: Column) -> Column:
-    """The location of an offset in a text that joins spans by one line feed each: the owning span's page or cell, or the
-    offsets themselves where there is no such anchor. ``spans`` is array<struct<location,text>>."""
-    def own(bounded: Column) -> Column:
-        hit = F.try_element_at(F.filter(bounded, lambda b: (b["lo"] <= start) & (start < b["hi"])), F.lit(1))["location"]
-        anchored = hit["page"].isNotNull() | hit["sheet"].isNotNull() | hit["cell"].isNotNull()
-        return F.when(F.coalesce(anchored, F.lit(False)), hit).otherwise(char_location(start, end))
-
-    def bounds(acc: Column, s: Column) -> Column:
-        hi = acc["at"] + F.length(s["text"])
-        return F.struct((hi + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("lo"), (hi + 1).alias("hi"), s["location"].alias("location")))).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<lo:int,hi:int,location:{LOCATION}>>)").alias("out"))
-    return let(F.aggregate(spans, first, bounds, lambda acc: acc["out"]), own)
+    """As :func:`owning_location`, of the spans themselves."""
+    return let(span_bounds(spans), lambda b: owning_location(b, start, end))
 
 
 def evidence(location: Column) -> Column:
