@@ -1,13 +1,15 @@
 """Operator 8, secret scans: a randomness test battery with length-aware false-discovery control, native expressions only.
 
 Beside the patterns (assign, access, hex), every run of at least MIN_LENGTH characters of the base64 alphabets is a
-candidate. Its encoding is inferred (hex, base32, base36, base64), and three tests ask whether it is too random for
-ordinary words: the chi-squared statistic of alphabet uniformity (through the number of coinciding pairs of characters),
-the number of runs of character classes, and the serial correlation of neighbouring characters. Under the null
-hypothesis the rates are those of the corpus's own long words (letters only, no capital inside). The p-values are
+candidate. Its encoding is inferred (hex, base32, base36, base64), and three tests ask whether it is too random for the
+corpus's words of that encoding: the chi-squared statistic of uniformity over the encoding's alphabet, the number of runs
+of character classes, and the serial correlation of neighbouring characters. Under the null hypothesis the rates are
+those of the corpus's own long words (letters only, no capital inside) that have the same encoding. The p-values are
 combined by Fisher's method. Candidates of each encoding and length class (binary logarithm) form a family; the
 Benjamini-Hochberg step-up rule, on a histogram of -10 log10 p over the whole corpus, gives each family its threshold.
-The thresholds (a bounded table: encodings times length classes) go into the second pass as literals.
+What passes must also agree with uniformity: its chi-squared statistic against the alphabet, with the degrees of freedom
+of that alphabet, may not lie in the upper tail. The thresholds (a bounded table: encodings times length classes) go into
+the second pass as literals.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import matches
 from .common import let, save, table
 
 MIN_LENGTH = 16
@@ -31,47 +34,34 @@ KINDS = ("assign", "access", "hex", "random")
 
 ENCODINGS = ("hex", "base32", "base36", "base64")
 
+#: Characters of their alphabets.
+ALPHABETS = (16, 32, 36, 64)
+
 
 @dataclass(frozen=True)
 class Battery:
-    """q: false-discovery rate of each family; least_evidence: -10 log10 p that an accepted token has at least; the null
-    rates hold where the corpus has no long words; least_transitions is a floor for the words' rate of class changes."""
+    """q: false-discovery rate of each family; least_evidence: -10 log10 p that an accepted token has at least; uniform:
+    greatest normal score of an accepted token's chi-squared statistic; the null rates hold where the corpus has no long
+    words; least_transitions is a floor for the words' rate of class changes; least_words: words that an encoding needs
+    for rates of its own, else those of all words hold."""
 
     q: float = 0.001
     least_evidence: int = 50
+    uniform: float = 4.0
+    least_words: int = 100
     coincidence: float = 0.08
     transitions: float = 0.02
     least_transitions: float = 0.02
     serial: float = 0.0
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """Non-overlapping matches as structs (s, e, m): code point offsets and the match."""
-    def place(hits: Column) -> Column:
-        def walk(gaps: Column) -> Column:
-            first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)").alias("out"))
-
-            def add(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.length(F.get(gaps, i))
-                end = start + F.length(F.get(hits, i))
-                hit = F.struct(start.alias("s"), end.alias("e"), F.get(hits, i).alias("m"))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
-
-            return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), first, add, lambda acc: acc["out"])
-
-        none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
-        return F.when(F.size(hits) == 0, none).otherwise(let(F.split(text, pattern, -1), walk))
-
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
-
-
 def _none() -> Column:
     return F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
 
 
 def base_spans(text: Column) -> Column:
     """The pattern kinds' spans (s, k, e), unsorted; cheap substring tests keep most texts from the patterns."""
-    of = lambda pattern, k, ok: F.transform(F.filter(_located(text, pattern), ok), lambda h: F.struct(h["s"].alias("s"), F.lit(k).alias("k"), h["e"].alias("e")))
+    of = lambda pattern, k, ok: F.transform(F.filter(matches(text, pattern), ok), lambda h: F.struct(h["s"].alias("s"), F.lit(k).alias("k"), h["e"].alias("e")))
     low = F.lower(text)
     keyword = F.lit(False)
     for word in ("passw", "secret", "token", "apikey", "api_key"):
@@ -120,15 +110,33 @@ def statistics(token: Column) -> Column:
     return let(token, of)
 
 
-def _evidence(s: Column, null: dict[str, float]) -> Column:
-    """-10 log10 of the combined p-value of a token's statistics, as a whole number up to 3000."""
+def chi_squared(s: Column) -> Column:
+    """The statistic of uniformity over the alphabet of a token's encoding, from the coinciding pairs of its characters."""
+    n, size = s["n"].cast("double"), _by_encoding(s, ALPHABETS)
+    return size * (s["pairs"] * 2.0 + n) / n - n
+
+
+def _by_encoding(s: Column, values) -> Column:
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), s["enc"])
+
+
+def _uniform(s: Column, limit: float) -> Column:
+    """Whether the chi-squared statistic's normal score (Wilson and Hilferty) is at most ``limit``."""
+    df = _by_encoding(s, ALPHABETS) - 1.0
+    c = F.lit(2.0) / (F.lit(9.0) * df)
+    return F.cbrt(chi_squared(s) / df) <= F.lit(1.0) - c + F.lit(limit) * F.sqrt(c)
+
+
+def _evidence(s: Column, nulls: tuple[dict[str, float], ...]) -> Column:
+    """-10 log10 of the combined p-value of a token's statistics, as a whole number up to 3000. ``nulls``: the words' rates
+    by encoding. Under them the chi-squared statistic has the mean size * (1 + (n - 1) k) - n."""
     n = s["n"].cast("double")
-    k, t, r = null["coincidence"], null["transitions"], null["serial"]
-    expected = n * (n - 1.0) / 2.0 * k
-    uniform = _tail((s["pairs"] + 0.5 - expected) / F.sqrt(expected * (1.0 + 2.0 * n * k)))
+    k, t, r = (_by_encoding(s, [x[c] for x in nulls]) for c in ("coincidence", "transitions", "serial"))
+    size = _by_encoding(s, ALPHABETS)
+    mean, sd = size * (F.lit(1.0) + (n - 1.0) * k) - n, F.lit(2.0) * size / n * F.sqrt(n * (n - 1.0) / 2.0 * k * (1.0 + 2.0 * n * k))
+    uniform = _tail((chi_squared(s) + size / n - mean) / sd)
     runs = _tail(-(s["changes"] - 0.5 - (n - 1.0) * t) / F.sqrt((n - 1.0) * t * (1.0 - t)))
-    toward = -1.0 if r > 0 else 1.0
-    serial = _tail(-(s["serial"] - r) * toward * F.sqrt(n))
+    serial = _tail(-(s["serial"] - r) * F.when(r > 0, -1.0).otherwise(1.0) * F.sqrt(n))
     y = -(F.log(uniform) + F.log(runs) + F.log(serial))
     combined = y - F.log(F.lit(1.0) + y + y * y / 2.0)  # -ln of the chi-squared tail with six degrees of freedom
     return F.least(F.floor(combined * 4.342944819), F.lit(3000)).cast("int")
@@ -139,18 +147,25 @@ def _family(s: Column) -> Column:
     return s["enc"] * 100 + F.length(F.bin(s["n"]))
 
 
-def calibrate(docs: DataFrame, battery: Battery = Battery()) -> tuple[dict[str, float], dict[int, int]]:
-    """The null rates and the families' thresholds of evidence, from all candidates of all texts.
+def calibrate(docs: DataFrame, battery: Battery = Battery()) -> tuple[tuple[dict[str, float], ...], dict[int, int]]:
+    """The null rates by encoding and the families' thresholds of evidence, from all candidates of all texts.
 
-    What comes to the driver is one row of rates and a row a family: at most len(ENCODINGS) * 32."""
+    What comes to the driver is a row of rates an encoding and a row a family: at most len(ENCODINGS) * 32."""
     found = docs.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(TOKEN), F.lit(0))).alias("t"))
     rows = save(found.select(statistics(F.col("t")).alias("s")).select("s.*"), "secret-statistics")
-    words = rows.where("word").agg(
-        F.sum("pairs").alias("p"), F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias("pn"), F.sum("changes").alias("c"), F.sum(F.col("n") - 1).alias("cn"), F.avg("serial").alias("s")
-    ).first()
-    null = {"coincidence": battery.coincidence, "transitions": battery.transitions, "serial": battery.serial}
-    if words["pn"]:
-        null = {"coincidence": max(words["p"] / words["pn"], 0.01), "transitions": min(max(words["c"] / words["cn"], battery.least_transitions), 0.5), "serial": words["s"]}
+    sums = rows.where("word").groupBy("enc").agg(
+        F.sum("pairs").alias("p"), F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias("pn"), F.sum("changes").alias("c"), F.sum(F.col("n") - 1).alias("cn"),
+        F.sum("serial").alias("s"), F.count("*").alias("words"),
+    ).collect()
+    by = {r["enc"]: r for r in sums}
+    whole = {c: sum(r[c] for r in sums) for c in ("p", "pn", "c", "cn", "s", "words")}
+
+    def rates(r) -> dict[str, float]:
+        if not r["pn"]:
+            return {"coincidence": battery.coincidence, "transitions": battery.transitions, "serial": battery.serial}
+        return {"coincidence": max(r["p"] / r["pn"], 0.01), "transitions": min(max(r["c"] / r["cn"], battery.least_transitions), 0.5), "serial": r["s"] / r["words"]}
+
+    null = tuple(rates(by[e] if e in by and by[e]["words"] >= battery.least_words else whole) for e in range(len(ENCODINGS)))
     s = F.struct(*[F.col(c) for c in rows.columns])
     bins = rows.where("letters").groupBy(_family(s).alias("family"), _evidence(s, null).alias("bin")).agg(F.count("*").alias("n"))
     from pyspark.sql import Window
@@ -162,22 +177,22 @@ def calibrate(docs: DataFrame, battery: Battery = Battery()) -> tuple[dict[str,
     return null, {r["family"]: max(r["bin"], battery.least_evidence) for r in limits}
 
 
-def _random_spans(text: Column, base: Column, null: dict[str, float], limits: dict[int, int]) -> Column:
+def _random_spans(text: Column, base: Column, null: tuple[dict[str, float], ...], limits: dict[int, int], uniform: float) -> Column:
     if not limits:
         return _none()
     limit = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
 
     def accepted(h: Column) -> Column:
-        random = let(statistics(h["m"]), lambda s: F.coalesce(s["letters"] & (_evidence(s, null) >= F.try_element_at(limit, _family(s))), F.lit(False)))
+        random = let(statistics(h["m"]), lambda s: F.coalesce(s["letters"] & _uniform(s, uniform) & (_evidence(s, null) >= F.try_element_at(limit, _family(s))), F.lit(False)))
         return ~F.exists(base, lambda b: (b["s"] < h["e"]) & (h["s"] < b["e"])) & random
 
-    return F.transform(F.filter(_located(text, TOKEN), accepted), lambda h: F.struct(h["s"].alias("s"), F.lit(3).alias("k"), h["e"].alias("e")))
+    return F.transform(F.filter(matches(text, TOKEN), accepted), lambda h: F.struct(h["s"].alias("s"), F.lit(3).alias("k"), h["e"].alias("e")))
 
 
-def found_spans(text: Column, null: dict[str, float], limits: dict[int, int]) -> Column:
+def found_spans(text: Column, null: tuple[dict[str, float], ...], limits: dict[int, int], uniform: float = Battery().uniform) -> Column:
     """A struct of arrays (s, k, e) in order: base, and all (base spans stay; tests add those that overlap none)."""
     text = F.coalesce(text, F.lit(""))
-    return let(F.sort_array(base_spans(text)), lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, _random_spans(text, b, null, limits))).alias("all")))
+    return let(F.sort_array(base_spans(text)), lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, _random_spans(text, b, null, limits, uniform))).alias("all")))
 
 
 def _joined(spans: Column) -> Column:
@@ -193,7 +208,7 @@ def scan(docs: DataFrame, battery: Battery = Battery()) -> DataFrame:
     if "found" in docs.columns:
         raise ValueError("the table has a column named found")
     null, limits = calibrate(docs.select("text"), battery)
-    return docs.withColumn("found", found_spans(F.col("text"), null, limits))
+    return docs.withColumn("found", found_spans(F.col("text"), null, limits, battery.uniform))
 
 
 def op8_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
