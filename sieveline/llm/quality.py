@@ -3,14 +3,21 @@
 Each measure of a text is a whole number. A sketch of a group is a histogram of log-linear bins (the leading BITS binary
 digits of the value), which merges by adding counts: it does not depend on order or partitioning, and its quantiles are
 off by under 2**-BITS of the value. Sketches are kept per (language, source) and merged up to the language and to the
-corpus; a group with fewer rows than ``min_rows`` uses the next wider one. From a group's quantiles come its fences:
-median plus or minus ``reach`` times the distance to an outer quantile, never tighter than a floor. Documents outside a
-fence are rejected. The fences (one row a group) are joined to the documents.
+corpus; a group with fewer rows than ``min_rows`` uses the next wider one.
+
+A group's fences come from its own quantiles alone: its median times, or divided by, a power of the ratio of the median
+to the lower quartile. No fixed cutoff bounds them, so they tighten in a uniform source and loosen in a varied one. The
+ratio is read below the median, where junk does not move it: with a third of a source's rows junk, the two quantiles are
+still those of good texts. Rates count one occurrence more than there is, so that they are never 0 and their spread is
+that of the texts' lengths where most texts have none. Documents outside a fence are rejected. The fences (one row a
+group) are joined to the documents.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,19 +32,16 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rules:
-    """reach: fence distance in units of median-to-outer-quantile; outer: that quantile; min_rows: rows that a group
-    needs for fences of its own. Per measure and side the loosest permitted tight bound (floors): a fence is never
-    below a high floor, nor above a low one."""
+    """min_rows: rows that a group needs for fences of its own; high, low: by measure, the power to which the ratio of
+    median to lower quartile is raised for the upper and the lower fence; least_ratio: by measure, the ratio of a group
+    whose texts are more alike than that: half an occurrence in its median text, and one bin of the sketch for word_len."""
 
-    reach: float = 4.0
-    outer: float = 0.9
     min_rows: int = 200
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: measure -> least value of its upper fence
-    high: tuple[tuple[str, int], ...] = (("symbols", 2_000), ("dup_lines", 3_000), ("repeats", 2_500), ("word_len", 12_000))
-    #: measure -> greatest value of its lower fence
-    low: tuple[tuple[str, int], ...] = (("word_len", 2_500),)
+    high: tuple[tuple[str, int], ...] = (("symbols", 6), ("dup_lines", 6), ("repeats", 8), ("word_len", 12))
+    low: tuple[tuple[str, int], ...] = (("word_len", 12),)
+    least_ratio: tuple[tuple[str, float], ...] = (("symbols", 1.5), ("dup_lines", 1.5), ("repeats", 1.5), ("word_len", 1 + 2.0 ** (1 - BITS)))
 
 
 def _repeat_words(ws: Column, n: Column) -> Column:
@@ -85,12 +89,13 @@ def measures(text: Column) -> Column:
 
 
 def _rates(m: Column) -> dict[str, Column]:
-    """The measures that have fences: whole numbers, by 10,000 words (word_len: thousandths of a character)."""
+    """The measures that have fences: whole numbers, one more than there are by 10,000 words (word_len: thousandths of a
+    character)."""
     n = F.greatest(m["n_words"], F.lit(1))
     per = lambda x, k: F.floor(x * F.lit(k) / n).cast("long")
     return {
-        "symbols": per(m["n_symbols"], 10_000), "dup_lines": per(m["n_dup_lines"], 10_000),
-        "repeats": per(m["n_repeat_words"], 10_000), "word_len": per(m["word_chars"], 1_000),
+        "symbols": per(m["n_symbols"] + 1, 10_000), "dup_lines": per(m["n_dup_lines"] + 1, 10_000),
+        "repeats": per(m["n_repeat_words"] + 1, 10_000), "word_len": per(m["word_chars"], 1_000),
     }
 
 
@@ -109,6 +114,7 @@ def fences(rows: DataFrame, rules: Rules) -> DataFrame:
 
     ``rows`` holds g_lang, g_source, base_failed and the rates; rows that fail a base rule are left out of the sketches."""
     names = list(dict.fromkeys([k for k, _ in (*rules.high, *rules.low)]))
+    # the window below reads a sketch in order of its bins, of which a measure has at most 64 * 2**BITS
     long = rows.where(~F.col("base_failed")).select(
         "g_lang", "g_source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _floor_bin(F.col(k)).alias("bin")) for k in names])).alias("x")
     )
@@ -125,11 +131,12 @@ def fences(rows: DataFrame, rules: Rules) -> DataFrame:
     seen = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = merged.withColumns({"seen": seen, "rows": F.sum("n").over(by)})
     at = lambda q: F.min(F.when(F.col("seen") >= F.ceil(F.col("rows") * F.lit(q)), F.col("bin")))
-    cut = ranked.groupBy("g", "measure").agg(F.first("rows").alias("rows"), at(1.0 - rules.outer).alias("q_lo"), at(0.5).alias("q_mid"), at(rules.outer).alias("q_hi"))
-    highs, lows = dict(rules.high), dict(rules.low)
-    pick = lambda d: F.coalesce(*[F.when(F.col("measure") == k, F.lit(v)) for k, v in d.items()], F.lit(None).cast("int"))
-    hi = F.when(pick(highs).isNotNull(), F.greatest(F.col("q_mid") + F.lit(rules.reach) * (F.col("q_hi") - F.col("q_mid")), pick(highs).cast("double")))
-    lo = F.when(pick(lows).isNotNull(), F.least(F.col("q_mid") - F.lit(rules.reach) * (F.col("q_mid") - F.col("q_lo")), pick(lows).cast("double")))
+    cut = ranked.groupBy("g", "measure").agg(F.first("rows").alias("rows"), at(0.25).alias("q_low"), at(0.5).alias("q_mid"))
+    mid = F.greatest(F.col("q_mid"), F.lit(1)).cast("double")
+    pick = lambda d, of: F.coalesce(*[F.when(F.col("measure") == k, of(v)) for k, v in d], F.lit(None).cast("double"))
+    cut = cut.withColumn("ratio", F.greatest(mid / F.greatest(F.col("q_low"), F.lit(1)), pick(rules.least_ratio, F.lit)))
+    power = lambda d: pick(d, lambda k: reduce(mul, [F.col("ratio")] * k))
+    hi, lo = mid * power(rules.high), mid / power(rules.low)
     made = cut.where((F.col("rows") >= rules.min_rows) | (F.col("g.level") == 0)).groupBy("g").agg(
         F.map_from_entries(F.collect_list(F.struct("measure", F.struct(lo.alias("lo"), hi.alias("hi"))))).alias("fence")
     )
@@ -175,11 +182,13 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def filtered(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept, with their columns. The texts are measured in two passes and never shuffled."""
-    rows = save(_measured(docs, rules).drop("m"), "quality-rows")
+    """The documents that are kept, with their columns, whatever their names. Null and empty texts go, as they have no
+    words; repeated rows are judged alike; an empty table gives no rows. Texts are measured once: those that pass the base
+    rules are saved beside their rates, never shuffled; sketches and verdicts read the rates."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    out = join_small(_measured(docs, rules, whole), fences(rows, rules), ["g_lang", "g_source"], "left")
-    return out.where(~F.col("base_failed") & _inside(rules)).select("_doc.*")
+    rows = save(_measured(docs, rules, whole).where(~F.col("base_failed")).drop("m"), "quality-rows")
+    out = join_small(rows, fences(rows.drop("_doc"), rules), ["g_lang", "g_source"], "left")
+    return out.where(_inside(rules)).select("_doc.*")
 
 
 def op2_quality_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,14 +206,15 @@ m AS (SELECT w.rid, doc_id, gl, gs, len(ws)::BIGINT AS n_words, length(regexp_re
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dl, 0)::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cov USING (rid) LEFT JOIN ln USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS n FROM m),
-rt AS (SELECT *, n_symbols * 10000 // n AS symbols, n_dup_lines * 10000 // n AS dup_lines, n_repeat_words * 10000 // n AS repeats, word_chars * 1000 // n AS word_len FROM b),
+rt AS (SELECT *, (n_symbols + 1) * 10000 // n AS symbols, (n_dup_lines + 1) * 10000 // n AS dup_lines, (n_repeat_words + 1) * 10000 // n AS repeats, word_chars * 1000 // n AS word_len FROM b),
 lg AS (UNPIVOT (SELECT gl, gs, symbols, dup_lines, repeats, word_len FROM rt WHERE NOT base_failed) ON symbols, dup_lines, repeats, word_len INTO NAME measure VALUE v),
 bn AS (SELECT *, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS bin FROM lg),
 gg AS (SELECT 2 AS level, gl, gs, measure, bin FROM bn UNION ALL SELECT 1, gl, '', measure, bin FROM bn UNION ALL SELECT 0, '', '', measure, bin FROM bn),
 q AS (SELECT level, gl, gs, measure, count(*) AS rows, list(bin ORDER BY bin) AS bs FROM gg GROUP BY ALL),
-qq AS (SELECT *, bs[ceil(rows * (1.0::DOUBLE - 0.9::DOUBLE))::BIGINT] AS q_lo, bs[ceil(rows * 0.5::DOUBLE)::BIGINT] AS q_mid, bs[ceil(rows * 0.9::DOUBLE)::BIGINT] AS q_hi FROM q WHERE rows >= 200 OR level = 0),
-fl AS (SELECT * FROM (VALUES ('symbols', 2000, NULL), ('dup_lines', 3000, NULL), ('repeats', 2500, NULL), ('word_len', 12000, 2500)) AS v(measure, hi_floor, lo_floor)),
-fe AS (SELECT level, gl, gs, measure, greatest(q_mid + 4.0::DOUBLE * (q_hi - q_mid), hi_floor) AS hi, CASE WHEN lo_floor IS NOT NULL THEN least(q_mid - 4.0::DOUBLE * (q_mid - q_lo), lo_floor) END AS lo FROM qq JOIN fl USING (measure)),
+qq AS (SELECT level, gl, gs, measure, greatest(bs[ceil(rows * 0.5::DOUBLE)::BIGINT], 1)::DOUBLE AS mid, greatest(bs[ceil(rows * 0.25::DOUBLE)::BIGINT], 1)::DOUBLE AS low FROM q WHERE rows >= 200 OR level = 0),
+ra AS (SELECT *, greatest(mid / low, CASE WHEN measure = 'word_len' THEN 1.015625::DOUBLE ELSE 1.5::DOUBLE END) AS r FROM qq),
+fe AS (SELECT level, gl, gs, measure, mid * CASE WHEN measure = 'word_len' THEN r * r * r * r * r * r * r * r * r * r * r * r WHEN measure = 'repeats' THEN r * r * r * r * r * r * r * r ELSE r * r * r * r * r * r END AS hi,
+  CASE WHEN measure = 'word_len' THEN mid / (r * r * r * r * r * r * r * r * r * r * r * r) END AS lo FROM ra),
 bad AS (SELECT DISTINCT rid FROM (
   SELECT rt.rid, f.measure, CASE f.measure WHEN 'symbols' THEN symbols WHEN 'dup_lines' THEN dup_lines WHEN 'repeats' THEN repeats ELSE word_len END AS v, coalesce(f2.hi, f1.hi, f.hi) AS hi, CASE WHEN f2.hi IS NOT NULL THEN f2.lo WHEN f1.hi IS NOT NULL THEN f1.lo ELSE f.lo END AS lo
   FROM rt JOIN fe f ON f.level = 0 LEFT JOIN fe f1 ON f1.level = 1 AND f1.gl = rt.gl AND f1.measure = f.measure LEFT JOIN fe f2 ON f2.level = 2 AND f2.gl = rt.gl AND f2.gs = rt.gs AND f2.measure = f.measure)

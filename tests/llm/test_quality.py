@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -54,6 +56,73 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == kept
 
 
+def quantile(values, q):
+    """Of a sketch: the lower edge of the bin that holds it."""
+    x = sorted(values)[max(math.ceil(len(values) * q), 1) - 1]
+    drop = max(x.bit_length() - quality.BITS, 0)
+    return max(x >> drop << drop, 1)
+
+
+def rates(text):
+    n, chars, symbols, dup, rep = base(text)
+    n = max(n, 1)
+    return {"symbols": (symbols + 1) * 10_000 // n, "dup_lines": (dup + 1) * 10_000 // n, "repeats": (rep + 1) * 10_000 // n, "word_len": chars * 1_000 // n}
+
+
+def brute_verdicts(rows, rules):
+    """Verdicts from quantiles over sorted rates, group by group."""
+    failed = {i: base(t)[0] < 50 or 100 * base(t)[4] > 50 * base(t)[0] for i, t, *_ in rows}
+    found = {i: rates(t) for i, t, *_ in rows}
+    groups = {}
+    for i, _, lang, source in rows:
+        if not failed[i]:
+            for g in ((lang, source), (lang,), ()):
+                groups.setdefault(g, []).append(found[i])
+
+    def fence(lang, source, m):
+        own = next((groups[g] for g in ((lang, source), (lang,)) if len(groups.get(g, ())) >= rules.min_rows), groups.get((), []))
+        if not own:
+            return float("-inf"), float("inf")
+        mid = float(quantile([r[m] for r in own], 0.5))
+        ratio = max(mid / quantile([r[m] for r in own], 0.25), dict(rules.least_ratio)[m])
+        power = lambda k: math.prod([ratio] * k)
+        return (mid / power(dict(rules.low)[m]) if m in dict(rules.low) else float("-inf")), mid * power(dict(rules.high)[m])
+
+    return {i: not failed[i] and all(fence(lang, source, m)[0] <= v <= fence(lang, source, m)[1] for m, v in found[i].items()) for i, _, lang, source in rows}
+
+
+def two_sources():
+    """Texts of one source vary in length and symbols, those of the other hardly; a third holds 30 % junk."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    text = lambda n, marks: " ".join([word() for _ in range(n)] + [f"#{word()}" for _ in range(marks)])
+    rows = [(i, text(rng.randrange(60, 600), rng.choice([0, 0, 1, 3])), "en", "wide") for i in range(240)]
+    rows += [(1000 + i, text(rng.randrange(150, 160), 0), "en", "narrow") for i in range(240)]
+    rows += [(2000 + i, text(rng.randrange(60, 600), 0) if i % 10 > 2 else " ".join(f"##%%{word()}$$&& |" for _ in range(90)), "en", "junk") for i in range(300)]
+    same = text(140, 14)
+    return rows + [(5000, same, "en", "wide"), (5001, same, "en", "narrow"), (5002, text(70, 0), "xx", "rare"), (5003, text(20, 0), "xx", "rare")]
+
+
+def test_fences_are_those_of_sorted_rates(spark):
+    rows, rules = two_sources(), quality.Rules()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df, rules).collect()}
+    assert got == brute_verdicts(rows, rules)
+    assert got[5000] and not got[5001], "equal texts, judged by their sources"
+    junk = [i for i, t, _, s in rows if s == "junk" and t.startswith("##")]
+    assert len(junk) == 90 and not any(got[i] for i in junk)
+    assert sum(got[i] for i, t, _, s in rows if s == "junk" and not t.startswith("##")) >= 0.98 * 210
+
+
+def test_fences_differ_by_source(spark):
+    df = spark.createDataFrame(two_sources(), "doc_id long, text string, lang string, source string")
+    rules = quality.Rules()
+    made = {(r["g_lang"], r["g_source"]): r["fence"] for r in quality.fences(quality._measured(df, rules), rules).collect()}
+    for m in ("symbols", "repeats", "dup_lines", "word_len"):
+        assert len({made[("=en", f"={s}")][m]["hi"] for s in ("wide", "narrow", "junk")}) > 1, m
+    assert made[("=xx", "=rare")] is not None
+
+
 def test_filtered_keeps_clashing_columns(spark):
     out = quality.filtered(edge.docs(spark))
     assert out.columns == edge.docs(spark).columns
