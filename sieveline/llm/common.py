@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import once
 
-__all__ = ["BLANKS", "BROADCAST_ROWS", "UPPER", "discard", "join_small", "let", "lower_ascii", "n_words", "new_path", "once", "remove", "save", "shared_dir", "source_key", "table", "words"]
+__all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "UPPER", "discard", "join_small", "let", "lower_ascii", "n_words", "new_path", "once", "remove", "save", "shared_dir", "source_key", "table", "words"]
 
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -67,6 +67,23 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+class Scratch:
+    """Saved tables of one call, removed together when what follows no longer reads them."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def save(self, df: DataFrame, label: str) -> DataFrame:
+        self.frames.append(save(df, label))
+        return self.frames[-1]
+
+    def clear(self, *still_read: DataFrame) -> None:
+        for df in self.frames:
+            if not any(df is x for x in still_read):
+                discard(df)
+        self.frames = list(still_read)
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a table that is usually small. Its rows are counted first: up to ``rows`` it is broadcast, above it the
     join is left to the planner, whose adaptive skew handling splits hot keys. Call it with a saved ``small``."""

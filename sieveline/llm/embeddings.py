@@ -1,12 +1,14 @@
 """Operator 9, embedding near-dedup with a pivot-permutation index.
 
 Reference points (pivots) are drawn from the vectors. Each vector is described by the ordered list of its nearest pivots.
-Two vectors whose lists share at least two pivots are candidates: the inverted lists are kept per pair of pivots, so that
-a list holds just the vectors that share this pair. Candidates are verified by cosine in double precision. A pair that
-shares more pivots meets in several lists; it counts only in the list of its two least shared pivots.
-
-Equal vectors are one class with a multiplicity, never expanded into pairs. Lists longer than ``block`` are compared in
-pairs of blocks by many tasks. Tasks give each vector's number of links and edges that join the parts, not the pairs.
+A vector stands in the inverted lists of its first ``listed`` pivots. Two vectors of a list are candidates if their
+descriptions share at least two pivots; candidates are verified by cosine in double precision. A pair that meets in
+several lists counts only in that of its least shared pivot. A list of more than ``block`` vectors is replaced by finer
+ones, one for each second pivot of a description, which loses no candidate, as candidates share two; what is still longer
+is compared in pairs of blocks by many tasks.
+
+Equal vectors are one class with a multiplicity, never expanded into pairs; only one row of each class goes to the lists.
+Tasks give each class's number of links and edges that join the parts, not the pairs.
 """
 
 from __future__ import annotations
@@ -19,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import Scratch, join_small, table
 from .components import components
 
 
 @dataclass(frozen=True)
 class Index:
-    """threshold: least cosine of a link; nearest: length of a vector's pivot list; pivots: least and greatest number of
-    pivots, between which it is the root of the number of vectors; spread: pivots are never closer than this cosine;
-    sample: vectors among which pivots are chosen, for each pivot; block: vectors that are compared at once."""
+    """threshold: least cosine of a link; nearest: pivots in a description; listed: lists that a vector stands in;
+    pivots: least and greatest number of pivots, between which it is the root of the number of vectors (the greatest
+    bounds what a task holds; lists then grow, and split by second pivots); spread: pivots are never closer than this
+    cosine; sample: vectors among which pivots are chosen, for each pivot; block: vectors that are compared at once."""
 
     threshold: float = 0.9
     nearest: int = 6
-    pivots: tuple[int, int] = (48, 1024)
+    listed: int = 3
+    pivots: tuple[int, int] = (48, 8192)
     spread: float = 0.6
     sample: int = 4
     block: int = 1024
@@ -60,68 +64,101 @@ def _choose(candidates: np.ndarray, n: int, spread: float) -> np.ndarray:
     return units[chosen]
 
 
-def _pivots(classes: DataFrame, dim: int, n: int, index: Index) -> np.ndarray:
-    """A bounded sample: the ``sample`` times n vectors with the least hashes of their ids."""
-    rows = classes.where(F.size("v") == dim).orderBy(F.xxhash64("cid"), "cid").limit(n * index.sample).select("v").collect()
+def _pivots(own: DataFrame, n: int, index: Index) -> np.ndarray:
+    """A bounded sample: the ``sample`` times n vectors with the least hashes."""
+    rows = own.orderBy(F.xxhash64("cid"), "cid").limit(n * index.sample).select("v").collect()
     return _choose(np.array([r["v"] for r in rows], dtype=np.float64), n, index.spread)
 
 
-LISTED = "key long, p int, q int, cid long, n long, near binary, unit binary"
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _described(units: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
+    """The nearest pivots of each vector, in order; a single pivot is joined by a made-up second one, which all share."""
+    if len(pivots) < 2:
+        return np.tile(np.array([0, 1], np.int32), (len(units), 1))
+    near, k = -(units @ pivots.T), min(nearest, len(pivots))
+    first = np.argpartition(near, k - 1, axis=1)[:, :k]
+    order = np.lexsort((first, np.take_along_axis(near, first, axis=1)), axis=1)
+    return np.take_along_axis(first, order, axis=1).astype(np.int32)
 
 
-def _describe(pivots: np.ndarray, nearest: int):
-    """mapInArrow: (cid, n, v) -> a row for each pair of the vector's nearest pivots. near: their ids in order of nearness."""
+def _heads(pivots, dim: int, index: Index):
+    """mapInArrow: (v) -> the pivots in whose lists the vectors stand, with how many of the batch's vectors do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = max(min(nearest, len(pivots)), 2)
-        first, second = np.triu_indices(k, 1)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            units = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(cid), -1))
-            near = np.argsort(-(units @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int32)
-            if near.shape[1] < 2:  # a single pivot: all vectors share it and a made-up second one
-                near = np.tile(np.array([0, 1], np.int32), (len(cid), 1))
-            ids = np.sort(near, axis=1)
-            m = len(first)
-            p, q = ids[:, first].ravel(), ids[:, second].ravel()
-            key = p.astype(np.int64) * (1 << 20) + q
-            near_b, unit_b = [x.tobytes() for x in near], [x.tobytes() for x in units]
-            for a in range(0, len(cid), 512):  # few vectors at once: each is repeated for its lists
-                s, rows = slice(a * m, min(a + 512, len(cid)) * m), range(a, min(a + 512, len(cid)))
-                again = np.repeat(np.arange(a, min(a + 512, len(cid))), m)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[s]), pa.array(p[s]), pa.array(q[s]), pa.array(cid[again]), pa.array(n[again]), pa.array([near_b[r] for r in rows for _ in range(m)], pa.binary()), pa.array([unit_b[r] for r in rows for _ in range(m)], pa.binary())],
-                    names=["key", "p", "q", "cid", "n", "near", "unit"],
-                )
+            if batch.num_rows:
+                near = _described(_unit(_rows(batch.column(0), dim)), pivots.value, index.nearest)[:, : index.listed]
+                p, n = np.unique(near, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(n.astype(np.int64))], names=["p", "n"])
 
     return run
 
 
-def _matrix(column: list[bytes], kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), -1)
+LISTED = "key long, cid long, n long, near array<int>, unit array<double>"
 
 
-def _members(near: np.ndarray, p: int, q: int, ids: np.ndarray) -> np.ndarray:
-    """One-hot rows of the pivots below q other than p that a vector's list has."""
-    hot = np.zeros((len(near), len(ids)), dtype=np.float32)
+def _listed(pivots, long_lists, dim: int, index: Index):
+    """mapInArrow: (cid, n, v) -> a row for each list that the vector stands in. A key is the list's pivot and, for a list
+    that is split, the second pivot plus one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = np.array(sorted(long_lists.value), np.int32)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):  # few vectors at once: each is repeated for its lists
+                batch = whole.slice(start, 1024)
+                cid, n, units = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _unit(_rows(batch.column(2), dim))
+                near = _described(units, pivots.value, index.nearest)
+                row, keys = [], []
+                for c in range(min(index.listed, near.shape[1])):
+                    p = near[:, c].astype(np.int64)
+                    long_ = np.isin(near[:, c], split)
+                    row.append(np.flatnonzero(~long_))
+                    keys.append(p[~long_] << 32)
+                    for o in range(near.shape[1]):
+                        if o != c:
+                            row.append(np.flatnonzero(long_))
+                            keys.append((p[long_] << 32) | (near[long_, o].astype(np.int64) + 1))
+                at, k = np.concatenate(row), near.shape[1]
+                ends = lambda width: pa.array(np.arange(0, (len(at) + 1) * width, width, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), pa.array(cid[at]), pa.array(n[at]), pa.ListArray.from_arrays(ends(k), pa.array(near[at].ravel())), pa.ListArray.from_arrays(ends(dim), pa.array(units[at].ravel()))],
+                    names=["key", "cid", "n", "near", "unit"],
+                )
+
+    return run
+
+
+def _hot(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """One-hot rows of which of ``ids`` (sorted) stand in each list."""
+    out = np.zeros((len(near), len(ids)), dtype=np.float32)
     if len(ids):
         at = np.searchsorted(ids, near)
         ok = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == near)
         rows = np.repeat(np.arange(len(near)), near.shape[1]).reshape(near.shape)
-        hot[rows[ok], at[ok]] = 1
-    return hot
+        out[rows[ok], at[ok]] = 1
+    return out
+
+
+def _shared(x: np.ndarray, y: np.ndarray, below: int | None = None, other: int = -1) -> np.ndarray:
+    """How many pivots (lesser than ``below``, other than ``other``) the descriptions share, for all pairs."""
+    ids = np.intersect1d(x, y)
+    ids = ids[ids != other] if below is None else ids[(ids < below) & (ids != other)]
+    return _hot(x, ids) @ _hot(y, ids).T
 
 
-def _linked(near_x, unit_x, near_y, unit_y, p: int, q: int, threshold: float) -> np.ndarray:
-    """Which pairs of the list (p, q) link, counting those that have no two lesser shared pivots."""
-    hit = unit_x @ unit_y.T >= threshold
+def _linked(key: int, near_x, unit_x, near_y, unit_y, index: Index) -> np.ndarray:
+    """Which pairs link and count in the list ``key``: those that share two pivots, and no lesser list."""
+    p, q = key >> 32, (key & 0xFFFFFFFF) - 1
+    hit = unit_x @ unit_y.T >= index.threshold
     if hit.any():
-        ids = np.unique(np.r_[near_x.ravel(), near_y.ravel()])
-        ids = ids[(ids < q) & (ids != p)]
-        if len(ids):
-            hit &= _members(near_x, p, q, ids) @ _members(near_y, p, q, ids).T == 0
+        hit &= _shared(near_x, near_y) >= 2
+    if hit.any():
+        hit &= _shared(near_x[:, : index.listed], near_y[:, : index.listed], p) == 0
+    if hit.any() and q >= 0:
+        hit &= _shared(near_x, near_y, q, p) == 0
     return hit
 
 
@@ -136,136 +173,162 @@ def _parts(hit: np.ndarray, cid: np.ndarray) -> np.ndarray:
     return low
 
 
-OUT = "cid long, links long, root long, put_off long"
-
-
-def _out(cid, links, root, off=()) -> pa.RecordBatch:
-    pad = [None] * len(off)
-    arrays = [[*cid, *pad], [*links, *pad], [*root, *pad], [*([None] * len(cid)), *off]]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["cid", "links", "root", "put_off"])
+FOUND = "cid long, links long, root long"
 
 
-def _lists(index: Index):
-    """mapInArrow over listed rows sorted by key: links within lists; lists over ``block`` are put off."""
+def _lists(dim: int, index: Index):
+    """mapInArrow over listed rows sorted by key: links within lists. A list has up to ``block`` vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key, put_off = None, False
-
-        def done() -> tuple | None:
-            if put_off or len(held) < 2:
-                return None
-            _, p, q, cid, n, near, unit = zip(*held, strict=True)
-            cid, n, near, unit = np.array(cid), np.array(n), _matrix(near, np.int32), _matrix(unit, np.float64)
-            hit = _linked(near, unit, near, unit, p[0], q[0], index.threshold)
-            np.fill_diagonal(hit, False)
-            rows = np.flatnonzero(hit.any(axis=1))
-            if not len(rows):
-                return None
-            hit, cid, n = hit[np.ix_(rows, rows)], cid[rows], n[rows]
-            return cid.tolist(), (hit * n[None, :]).sum(axis=1).tolist(), _parts(hit, cid).tolist()
+        held: list[pa.RecordBatch] = []  # of one list, which goes on
+
+        def of(batch: pa.RecordBatch) -> list[tuple]:
+            key, cid, n = (batch.column(c).to_numpy() for c in range(3))
+            near = batch.column(3).flatten().to_numpy().reshape(len(key), -1)
+            unit = batch.column(4).flatten().to_numpy().reshape(len(key), dim)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            found = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                if b - a < 2:
+                    continue
+                s = slice(a, b)
+                hit = _linked(int(key[a]), near[s], unit[s], near[s], unit[s], index)
+                np.fill_diagonal(hit, False)
+                rows = np.flatnonzero(hit.any(axis=1))
+                if len(rows):
+                    hit, ids = hit[np.ix_(rows, rows)], cid[s][rows]
+                    found.append((ids, (hit * n[s][rows][None, :]).sum(axis=1), _parts(hit, ids)))
+            return found
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], names=["cid", "links", "root"])
 
         for batch in batches:
-            found, off = ([], [], []), []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[0] != key:
-                    if (x := done()) is not None:
-                        for a, b in zip(found, x, strict=True):
-                            a.extend(b)
-                    held, key, put_off = [], row[0], False
-                if put_off:
-                    continue
-                held.append(row)
-                if len(held) > index.block:
-                    held, put_off = [], True
-                    off.append(key)
-            if found[0] or off:
-                yield _out(*found, off)
-        if (x := done()) is not None:
-            yield _out(*x)
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            cut = int(np.searchsorted(keys.to_numpy(), keys[-1].as_py(), side="left"))
+            if cut or (held and held[0].column(0)[0] != keys[0]):
+                ready = [*held, batch.slice(0, cut)] if cut else held
+                if found := of(pa.Table.from_batches(ready).combine_chunks().to_batches()[0]):
+                    yield out(found)
+                held = []
+            held.append(batch.slice(cut))
+        if held and (found := of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])):
+            yield out(found)
 
     return run
 
 
-def _blocks(index: Index):
-    """applyInPandas over two blocks (key, i, j) of a long list."""
-
-    def run(pdf):
-        import pandas as pd
+def _blocks(dim: int, index: Index):
+    """applyInArrow over two blocks (key, i, j) of a long list."""
 
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        a, b = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
-        of = lambda d: (d["cid"].to_numpy(), d["n"].to_numpy(), _matrix(d["near"].tolist(), np.int32), _matrix(d["unit"].tolist(), np.float64))
-        (ca, na, ra, ua), (cb, nb, rb, ub) = of(a), of(b)
-        hit = _linked(ra, ua, rb, ub, int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0]), index.threshold)
-        if i == j:
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
+        cid, n, blk = (rows.column(c).to_numpy() for c in ("cid", "n", "blk"))
+        near = pa.concat_arrays(rows.column("near").chunks).flatten().to_numpy().reshape(len(cid), -1)
+        unit = pa.concat_arrays(rows.column("unit").chunks).flatten().to_numpy().reshape(len(cid), dim)
+        a, b = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        hit = np.zeros((len(cid), len(cid)), bool)
+        if len(a) and len(b):
+            hit[np.ix_(a, b)] = _linked(key, near[a], unit[a], near[b], unit[b], index)
             np.fill_diagonal(hit, False)
-            low = _parts(hit, ca)
-            out = pd.DataFrame({"cid": ca, "links": (hit * nb[None, :]).sum(axis=1), "root": low})
-        else:
-            both = np.zeros((len(ca) + len(cb),) * 2, bool)
-            both[: len(ca), len(ca) :] = hit
-            both |= both.T
-            low = _parts(both, np.r_[ca, cb])
-            out = pd.DataFrame({"cid": np.r_[ca, cb], "links": np.r_[(hit * nb[None, :]).sum(axis=1), (hit * na[:, None]).sum(axis=0)], "root": low})
-        return out[out["links"] > 0].astype("int64")
+            hit |= hit.T
+        use = np.flatnonzero(hit.any(axis=1))
+        hit, ids = hit[np.ix_(use, use)], cid[use]
+        return pa.table({"cid": pa.array(ids), "links": pa.array((hit * n[use][None, :]).sum(axis=1).astype(np.int64)), "root": pa.array(_parts(hit, ids))})
 
     return run
 
 
-def _links(classes: DataFrame, index: Index) -> DataFrame:
-    """(cid, links, root) of the classes (cid, n, v) that have a link to another class."""
-    dims = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
-    total, found = classes.count(), None
-    for dim in dims:  # vectors of different lengths have no cosine; usually there is one length
-        own = classes.where(F.size("v") == dim)
-        n = min(max(int(total**0.5), index.pivots[0]), index.pivots[1])
-        listed = own.select("cid", "n", "v").mapInArrow(_describe(_pivots(classes, dim, n, index), index.nearest), LISTED)
-        runs = listed.repartition("key").sortWithinPartitions("key")
-        first = save(runs.mapInArrow(_lists(index), OUT), "embedding-links")
-        off = first.where("put_off is not null").select(F.col("put_off").alias("key")).distinct()
-        out = first.where("put_off is null").select("cid", "links", "root")
-        sizes = listed.select("key").join(off, "key", "left_semi").groupBy("key").agg(F.count("*").alias("size"))
-        sizes = save(sizes.select("key", F.ceil(F.col("size") / F.lit(index.block)).cast("int").alias("blocks")), "embedding-long-lists")
-        if sizes.limit(1).count():
-            dealt = listed.join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+def _whole(index: Index):
+    """applyInArrow over all vectors (cid, n, v) of one length, where these are no more than a block."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        cid, n = rows.column("cid").to_numpy(), rows.column("n").to_numpy()
+        unit = _unit(np.array(rows.column("v").to_pylist(), dtype=np.float64))
+        hit = unit @ unit.T >= index.threshold
+        np.fill_diagonal(hit, False)
+        return pa.table({"cid": pa.array(cid), "links": pa.array((hit * n[None, :]).sum(axis=1).astype(np.int64)), "root": pa.array(_parts(hit, cid))}).filter(pa.array(hit.any(axis=1)))
+
+    return run
+
+
+def _links(classes: DataFrame, total: int, dim: int, index: Index, scratch: Scratch) -> DataFrame:
+    """(cid, links, root) of the classes (cid, n, v), all of one length, that have a link to another class."""
+    context = classes.sparkSession.sparkContext
+    chosen = _pivots(classes, min(max(int(total**0.5), index.pivots[0]), index.pivots[1]), index)
+    pivots = context.broadcast(chosen)
+    sizes = classes.select("v").mapInArrow(_heads(pivots, dim, index), "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    long_lists = context.broadcast([r["p"] for r in sizes.where(F.col("n") > index.block).select("p").collect()])  # pivots at most
+    listed = classes.select("cid", "n", "v").mapInArrow(_listed(pivots, long_lists, dim, index), LISTED)
+    short, found = listed, None
+    if long_lists.value:
+        fine = listed.where(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) > 0).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > index.block)
+        fine = scratch.save(fine.select("key", F.ceil(F.col("size") / F.lit(index.block)).cast("int").alias("blocks")), "embedding-long-lists")
+        if fine.limit(1).count():
+            short = join_small(listed, fine.select("key"), ["key"], "left_anti")
+            dealt = join_small(listed, fine, ["key"]).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
             dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = dealt.select("key", "p", "q", "cid", "n", "near", "unit", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-            out = out.unionAll(dealt.groupBy("key", "i", "j").applyInPandas(_blocks(index), "cid long, links long, root long"))
-        found = out if found is None else found.unionAll(out)
-    if found is None:
-        found = classes.select("cid", F.col("n").alias("links"), F.col("cid").alias("root"))  # empty
-    return save(found, "embedding-found")
+            dealt = dealt.select("key", "cid", "n", "near", "unit", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+            found = dealt.groupBy("key", "i", "j").applyInArrow(_blocks(dim, index), FOUND)
+    runs = short.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(dim, index), FOUND)
+    return runs if found is None else runs.unionAll(found)
+
+
+def _representatives(fine: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, n, v): one row of each class, taken from the rows (vec_id, cid, v)."""
+    several = scratch.save(classes.where("n > 1").select("cid", "n", "least", "again"), "embedding-several")
+    rows = join_small(fine, several, ["cid"], "left").where(F.col("n").isNull() | F.col("vec_id").eqNullSafe(F.col("least")))
+    one = rows.where(F.coalesce("again", F.lit(1)) == 1).select("cid", F.coalesce("n", F.lit(1)).alias("n"), "v")
+    if several.where("again > 1").limit(1).count():  # rows that are equal in id and vector
+        one = one.unionAll(rows.where("again > 1").select("cid", "n", "v").dropDuplicates(["cid"]))
+    return one
 
 
 def near_copies(vectors: DataFrame, index: Index = Index()) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing: no links, a component
-    of their own. Vectors of different lengths do not link. Equal vectors link; so do rows that repeat an id, whose
-    component is that id. A null id takes no part in the choice of a component's name. An empty table gives no rows; other
-    columns are not read.
+    of their own. Vectors of different lengths do not link. Equal vectors link, also ones without an id. Rows that repeat
+    an id are judged by their vectors. A component is named by the least id in it; one without any id has the name null,
+    and its rows count as kept, as do other rows without an id only if their component has none. An empty table gives no
+    rows; other columns are not read. Vectors are told apart by 64 bits of XXH64.
     """
+    scratch = Scratch()
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = save(rows.select("vec_id", F.when(_usable(F.col("v")), F.col("v")).alias("v")), "embedding-rows")
+    rows = rows.select("vec_id", F.when(_usable(F.col("v")), F.col("v")).alias("v"))
+    rows = rows.select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("cid"))
     fine = rows.where("v is not null")
-    classes = save(fine.groupBy("v").agg(F.coalesce(F.min("vec_id"), F.lit(-(1 << 62))).alias("cid"), F.count("*").alias("n")).select("cid", "n", "v"), "embedding-classes")
-    found = _links(classes, index)
+    named = fine.groupBy("cid", "vec_id", F.size("v").alias("dim")).agg(F.count("*").alias("c"))
+    least = F.min(F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("id"), F.col("c").alias("again")))
+    classes = named.groupBy("cid", "dim").agg(F.sum("c").alias("n"), least.alias("first")).select("cid", "dim", "n", F.col("first.id").alias("least"), F.col("first.again").alias("again"))
+    classes = scratch.save(classes, "embedding-classes")
+    one = _representatives(fine, classes, scratch)
+    lengths = scratch.save(classes.groupBy("dim").agg(F.count("*").alias("size")), "embedding-lengths")
+    rare = lengths.where(F.col("size") <= index.block).select("dim")
+    found = join_small(one.withColumn("dim", F.size("v")), rare, ["dim"], "left_semi").groupBy("dim").applyInArrow(_whole(index), FOUND)
+    for r in lengths.where(F.col("size") > index.block).collect():  # usually there is one length
+        found = found.unionAll(_links(one.where(F.size("v") == r["dim"]), r["size"], r["dim"], index, scratch))
+    found = scratch.save(found, "embedding-found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    named = save(named.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component_id")), "embedding-named")
-    linked = fine.join(named, "v").select("vec_id", "n_links", "component_id")
-    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    told = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    told = scratch.save(told.select("cid", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "embedding-told")
+    scratch.clear(told)
+    names = told.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = told.join(names, "root").select("cid", "n_links", "component_id")
+    slim = rows.select("vec_id", "cid")
+    linked = slim.where("cid is not null").join(told, "cid").select("vec_id", "n_links", "component_id")
+    alone = slim.where("cid is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
-
 SQL = """
 WITH RECURSIVE d AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 f AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM d WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),

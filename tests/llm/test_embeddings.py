@@ -47,7 +47,7 @@ def vectors(seed=5, n=250, dim=24):
     return [(i, r, 0, 0, "x") for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+@pytest.mark.parametrize("block", [1024, 64, 16])
 def test_against_brute_force(spark, block):
     rows = vectors()
     df = spark.createDataFrame(rows, SCHEMA)
@@ -65,3 +65,30 @@ def test_empty_and_repeated(spark):
     assert embeddings.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
     same = spark.createDataFrame([(7, [1.0, 0.0], 0, 0, "x")] * 3, SCHEMA)
     assert [tuple(r) for r in embeddings.near_copies(same).collect()] == [(7, 2, 7, True)] * 3
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(5, [1.0, 1.0]), (5, [-1.0, 0.0]), (6, [-1.0, 0.001]), (None, [0.0, 1.0]), (None, [0.0, 2.0]), (None, [1.0, -3.0]), (9, [1.0, -3.0])]
+    df = spark.createDataFrame([(i, v, 0, 0, "x") for i, v in rows], SCHEMA)
+    for block in (1024, 2):
+        got = sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in embeddings.near_copies(df, embeddings.Index(block=block)).collect())
+        want = [("5", 0, "5", True), ("5", 1, "5", True), ("6", 1, "5", False), ("9", 1, "9", True), ("None", 1, "9", False), ("None", 1, "None", True), ("None", 1, "None", True)]
+        assert got == want, block
+
+
+def test_recall_of_every_fiftieth(spark):
+    """The vectors whose id is divisible by 50, against all rows."""
+    rng = np.random.default_rng(8)
+    n, dim = 6000, 64
+    centres = rng.normal(size=(40, dim))
+    v = centres[rng.integers(0, 40, n)] * 0.5 + rng.normal(size=(n, dim))
+    for i in range(0, n, 5):  # near copies at cosines about 0.9 to 0.99
+        v[i] = v[(i * 7 + 3) % n] + rng.normal(size=dim) * rng.uniform(0.1, 0.5) * np.linalg.norm(v[(i * 7 + 3) % n]) / 8
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 0, 0, "x") for i, x in enumerate(v)], SCHEMA)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_copies(df, embeddings.Index(block=256)).collect()}
+    units = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    asked = np.arange(0, n, 50)
+    want = (units[asked] @ units.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i] for i in asked.tolist()])
+    assert want.sum() > 60 and (found <= want).all() and found.sum() >= 0.95 * want.sum()
