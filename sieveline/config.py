@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
+import types
 import typing
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
+# Hosts that count as local, and below the keys and defaults of the configuration format.
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1", "0.0.0.0")
 
 
@@ -68,10 +70,10 @@ class Recogniser:
 class Detect:
     engine: str = "regex"
     recognisers: tuple[Recogniser, ...] = ()
-    language: str = "en"
-    score_threshold: float = 0.35
-    url: str | None = None
-    detector_version: str = "regex-0"
+    presidio_language: str = "en"
+    presidio_score_threshold: float = 0.35
+    presidio_url: str | None = None
+    detector_version: str = "detect-presidio-0.1"
     category_map: dict[str, str] = field(default_factory=dict)
     deterministic_entities: tuple[str, ...] = ()
 
@@ -85,7 +87,7 @@ class Taxonomy:
 @dataclass(frozen=True)
 class Semantic:
     enabled: bool = False
-    model: str | None = None
+    model: str = "sentence-transformers/all-MiniLM-L6-v2"
     route_threshold: float = 0.35
     threshold_version: str = "sem-0"
     examples: dict[str, tuple[str, ...]] = field(default_factory=dict)
@@ -148,6 +150,8 @@ def _build(kind, value, at: str):
         return {str(k): _build(typing.get_args(kind)[1], v, at) for k, v in value.items()}
     if kind is float and isinstance(value, int) and not isinstance(value, bool):
         return float(value)
+    if origin in (types.UnionType, typing.Union):
+        return None if value is None else _build(next(k for k in typing.get_args(kind) if k is not type(None)), value, at)
     if isinstance(kind, type) and not isinstance(value, kind):
         raise ValueError(f"{at}: {kind.__name__} is expected")
     return value

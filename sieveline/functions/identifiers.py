@@ -16,14 +16,12 @@ from pyspark.sql import functions as F
 
 from .text import let
 
+# Kinds and patterns of what is masked before a span leaves, in this order.
+LINKEDIN = r"https?://(?:www\.)?linkedin\.com/[^\s]+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"(?<!\w)\+?\d[\d\s().-]{7,}\d(?!\w)"
 
-#: Kinds and patterns, in the order in which they are masked.
-PATTERNS = (
-    ("profile", re.compile(r"https?://(?:[a-z0-9-]+\.)*[a-z0-9-]+\.[a-z]{2,}/(?:in|u|user|users|profile|people)/[A-Za-z0-9_.%-]+", re.IGNORECASE)),
-    ("email", re.compile(EMAIL)),
-    ("phone", re.compile(r"(?<!\w)\+?\d[\d ().-]{6,}\d(?!\w)")),
-)
+PATTERNS = (("linkedin", re.compile(LINKEDIN, re.IGNORECASE)), ("email", re.compile(EMAIL)), ("phone", re.compile(PHONE)))
 
 
 def digest16(value: str, key: bytes) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..sources.shared import new_path
 
 METHODS = ("identity", "sigmoid", "isotonic")
 
@@ -19,67 +20,83 @@ def calibration_error(rows: DataFrame) -> DataFrame:
     return means.groupBy("category").agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n") * 100).alias("error"))
 
 
-def fit_sigmoid(rows: list[tuple[float, int]]) -> tuple[float, float]:
-    """Platt's map with an L2 penalty (C = 1) by Newton's method; stores a, b of 1 / (1 + exp(a s + b))."""
-    import numpy as np
-
-    s, y = np.array([r[0] for r in rows]) / 100.0, np.array([r[1] for r in rows], dtype=float)
-    x, w = np.c_[s, np.ones_like(s)], np.zeros(2)
-    penalty = np.diag([1.0, 0.0])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-12 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-12:
+#: Newton steps at most, and the step at which they end.
+STEPS, SMALL = 100, 1e-12
+
+
+def fit_sigmoid(grouped: DataFrame) -> DataFrame:
+    """(category, score, n, pos) -> (category, a, b): Platt's map 1 / (1 + exp(a s + b)) of s = score / 100, with an L2
+    penalty on a (C = 1), by Newton's method for all categories at once. A step is one aggregation; what comes to the
+    driver is a row of six sums a category."""
+    spark, x = grouped.sparkSession, F.col("score") / 100.0
+    w = {r["category"]: (0.0, 0.0) for r in grouped.select("category").distinct().collect()}
+    schema = "category string, w0 double, w1 double"
+    for _ in range(STEPS):
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("w0") * x + F.col("w1"))))
+        v, left = F.col("n") * p * (F.lit(1.0) - p), F.col("pos") - F.col("n") * p
+        now = F.broadcast(spark.createDataFrame([(c, *k) for c, k in w.items()], schema))  # a row a category
+        total = {"g0": x * left, "g1": left, "h00": x * x * v, "h01": x * v, "h11": v}
+        moved = 0.0
+        for r in grouped.join(now, "category").groupBy("category").agg(*[F.sum(e).alias(k) for k, e in total.items()]).collect():
+            w0, w1 = w[r["category"]]
+            g0, h00, h11 = r["g0"] - w0, r["h00"] + 1.0 + SMALL, r["h11"] + SMALL
+            det = h00 * h11 - r["h01"] * r["h01"]
+            d0, d1 = (h11 * g0 - r["h01"] * r["g1"]) / det, (h00 * r["g1"] - r["h01"] * g0) / det
+            w[r["category"]], moved = (w0 + d0, w1 + d1), max(moved, abs(d0), abs(d1))
+        if moved < SMALL:
             break
-    return -float(w[0]), -float(w[1])
-
+    return spark.createDataFrame([(c, -w0, -w1) for c, (w0, w1) in w.items()], "category string, a double, b double")
 
-def fit_isotonic(rows: list[tuple[float, int]]) -> tuple[list[float], list[float]]:
-    """Pooled adjacent violators; the knots are the distinct scores."""
-    import itertools
 
-    points = [(s / 100.0, [y for _, y in g]) for s, g in itertools.groupby(sorted(rows), key=lambda r: r[0])]
+def pooled(scores: list[float], n: list[int], pos: list[int]) -> list[float]:
+    """Pooled adjacent violators of sorted distinct scores with their numbers of labels and of positive ones."""
     blocks: list[list[float]] = []  # mean, weight, number of knots
-    for _, ys in points:
-        blocks.append([sum(ys) / len(ys), float(len(ys)), 1])
+    for size, ones in zip(n, pos, strict=True):
+        blocks.append([ones / size, float(size), 1])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             m2, w2, k2 = blocks.pop()
             m1, w1, k1 = blocks.pop()
             blocks.append([(m1 * w1 + m2 * w2) / (w1 + w2), w1 + w2, k1 + k2])
-    return [p[0] for p in points], [m for m, _, k in blocks for _ in range(int(k))]
+    return [m for m, _, k in blocks for _ in range(int(k))]
 
 
-def fit_category(method: str, rows: list[tuple[float, int]]) -> dict:
-    if method not in METHODS:
-        raise ValueError(f"unknown calibration method {method!r}")
-    if method == "identity":
-        return {"method": method, "a": 0.0, "b": 0.0, "x": [], "y": []}
-    if method == "sigmoid":
-        a, b = fit_sigmoid(rows)
-        return {"method": method, "a": a, "b": b, "x": [], "y": []}
-    x, y = fit_isotonic(rows)
-    return {"method": method, "a": 0.0, "b": 0.0, "x": x, "y": y}
+def fit_isotonic(grouped: DataFrame) -> DataFrame:
+    """(category, score, n, pos) -> (category, x, y): the knots are the distinct scores. A category is fitted by one task,
+    which holds a row a distinct score, however many labels there are."""
+    def one(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("score")
+        y = pooled(pdf["score"].tolist(), pdf["n"].tolist(), pdf["pos"].tolist())
+        return pd.DataFrame([{"category": pdf["category"].iloc[0], "x": (pdf["score"] / 100.0).tolist(), "y": y}])
+
+    return grouped.groupBy("category").applyInPandas(one, "category string, x array<double>, y array<double>")
 
 
 def fit(labels: DataFrame, method: str = "sigmoid", min_positives: int = 100, max_error: float = 5.0) -> DataFrame:
     """labels (category, split, score, label) -> calibration rows with positives and error.
 
-    One category's labels are fitted in one task; they are hand-made and few. Status: no positives on dev: not_calibrated;
-    enough of them and a small holdout error: calibrated; else provisional. No holdout counts as an error of 100 points."""
+    Fits read a row a category and distinct score. Status: no positives on dev: not_calibrated, by identity; enough of
+    them and a small holdout error: calibrated; else provisional. No holdout counts as an error of 100 points."""
     if method not in METHODS:
         raise ValueError(f"unknown calibration method {method!r}")
-
-    def one(pdf):
-        import pandas as pd
-
-        dev = pdf[pdf["split"] == "dev"]
-        rows = list(zip(dev["score"].tolist(), dev["label"].tolist(), strict=True))
-        made = fit_category(method if any(y == 1 for _, y in rows) else "identity", rows)
-        return pd.DataFrame([{"category": pdf["category"].iloc[0], "positives": sum(y == 1 for _, y in rows), **made}])
-
-    maps = labels.groupBy("category").applyInPandas(one, "category string, positives long, method string, a double, b double, x array<double>, y array<double>")
+    one = (F.col("label") == 1).cast("long")
+    grouped = labels.where("split = 'dev'").groupBy("category", "score").agg(F.count("*").alias("n"), F.sum(one).alias("pos"))
+    path = new_path(labels.sparkSession, "calibration")
+    grouped.write.parquet(path)
+    grouped = labels.sparkSession.read.schema(grouped.schema).parquet(path)
+    positives = grouped.groupBy("category").agg(F.sum("pos").alias("positives"))
+    fitted = grouped.join(positives.where("positives > 0"), "category", "left_semi")
+    none, zero = F.array().cast("array<double>"), F.lit(0.0)
+    empty = {"method": F.lit("identity"), "a": zero, "b": zero, "x": none, "y": none}
+    if method == "identity":
+        maps = positives.select("category", "positives", *[v.alias(k) for k, v in empty.items()])
+    else:
+        own = fit_sigmoid(fitted) if method == "sigmoid" else fit_isotonic(fitted)
+        joined = positives.join(own.withColumn("method", F.lit(method)), "category", "left")
+        maps = joined.select("category", "positives", *[(F.coalesce(F.col(k), v) if k in joined.columns else v).alias(k) for k, v in empty.items()])
+    # every category that has labels has a row, on whichever split they are
+    maps = labels.select("category").distinct().join(maps, "category", "left").select("category", F.coalesce("positives", F.lit(0)).cast("long").alias("positives"), *[F.coalesce(F.col(k), v).alias(k) for k, v in empty.items()])
     held = labels.where("split = 'holdout'").join(maps, "category")
     p = numbers.calibrated(F.col("score"), F.col("method"), F.col("a"), F.col("b"), F.col("x"), F.col("y")) / 100.0
     errors = calibration_error(held.select("category", p.alias("p"), "label"))

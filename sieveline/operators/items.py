@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Detect, OcrGate, Recogniser, Scoring, Semantic
 from ..functions import numbers, text
-from ..schema import FINDING, FINDINGS, IMAGE_TYPES, TEXT_TYPES
+from ..schema import FINDING, FINDINGS, IMAGE_TYPES, SPANS, TEXT_TYPES
 
 
 def supported(content_type: Column) -> Column:
@@ -62,12 +62,13 @@ def needs_ocr(gate: OcrGate) -> Column:
     )
 
 
-def ocr_gate(items: DataFrame, gate: OcrGate = OcrGate()) -> DataFrame:
+def ocr_gate(items: DataFrame, gate: OcrGate = OcrGate(), recognise=None) -> DataFrame:
     """Replaces the text of items that need it by ocr_text; where there is none the item fails. A blank one is accepted.
-
-    The row keeps the ratios seen before the gate as seen_printable and seen_coverage for the event log."""
+    ``recognise`` (contents, path -> text, a column) makes the texts of items that need it; without it the rows hold them."""
     alive = F.col("exception_code").isNull()
-    rows = items.withColumns({"needs_ocr": text.once(alive & needs_ocr(gate)), "seen_printable": F.col("printable_ratio"), "seen_coverage": F.col("image_coverage")})
+    rows = items.withColumn("needs_ocr", text.once(alive & needs_ocr(gate)))
+    if recognise is not None:
+        rows = rows.withColumn("ocr_text", recognise(F.when(F.col("needs_ocr"), F.col("content")), F.col("path")))
     rows = rows.withColumn("exception_code", F.when(F.col("needs_ocr") & F.col("ocr_text").isNull(), "ocr_failure").otherwise(F.col("exception_code")))
     used = F.col("needs_ocr") & F.col("exception_code").isNull()
     blank = text.is_blank(F.col("ocr_text"))
@@ -84,7 +85,7 @@ def ocr_gate(items: DataFrame, gate: OcrGate = OcrGate()) -> DataFrame:
 def finding(**given: Column) -> Column:
     """A finding with the named fields; the others are null."""
     null = F.lit(None)
-    fields = ("finding_id", "category", "score_type", "band", "rule_id", "score", "calibration_status", "threshold_version", "detector", "reason", "label", "location")
+    fields = ("finding_id", "category", "reason_code", "score_type", "band", "rule_id", "score", "calibration_status", "threshold_version", "detector", "reason", "label", "location")
     return F.struct(*[given.get(k, null).alias(k) for k in fields]).cast(FINDING)
 
 
@@ -92,44 +93,75 @@ def no_findings() -> Column:
     return F.array().cast(FINDINGS)
 
 
-def rule_findings(rules: tuple[Recogniser, ...], detector: str = "regex-0", body: str = "text") -> Column:
-    """Deterministic findings of pattern rules, an array: per rule and match, numbered from 0 in the order of the text."""
+# Versions and reason codes that findings carry.
+RULES_VERSION, SCREEN_VERSION = "detect-regex-0.1", "semantic-0.1"
+MODEL_REASON, SCREEN_REASON, NER_FIXED_REASON, NER_SCORED_REASON = "model_flag", "semantic_route", "presidio_deterministic", "presidio_classifier"
+
+
+def rule_findings(rules: tuple[Recogniser, ...], detector: str = RULES_VERSION, body: str = "text", spans: str | None = None) -> Column:
+    """Deterministic findings of pattern rules, an array: per rule and match, numbered from 0 in the order of the text.
+    ``spans`` names a column of anchored spans, whose pages and cells locate the matches; null: offsets do."""
+    if not rules:
+        return no_findings()
+    if spans is not None:
+        bounds = text.span_bounds(F.coalesce(F.col(spans), F.array().cast(SPANS)))
+        return text.let(bounds, lambda b: _rule_findings(rules, detector, body, lambda m: text.owning_location(b, m["s"], m["e"])))
+    return _rule_findings(rules, detector, body, lambda m: text.char_location(m["s"], m["e"]))
+
+
+def _rule_findings(rules: tuple[Recogniser, ...], detector: str, body: str, place) -> Column:
     def of(rule: Recogniser) -> Column:
-        hits = text.find_all(F.col(body), rule.pattern)
+        hits = text.matches(F.col(body), rule.pattern)
         if rule.literal:
-            hits = F.when(F.col(body).contains(rule.literal), hits).otherwise(F.expr("cast(array() as array<struct<char_start:int,char_end:int>>)"))
+            hits = F.when(F.col(body).contains(rule.literal), hits).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)"))
         return F.transform(
             hits,
             lambda m, i: finding(
-                finding_id=F.concat(F.lit(rule.rule_id + "-"), i.cast("string")), category=F.lit(rule.category), score_type=F.lit("deterministic_match"),
+                finding_id=F.concat(F.lit(rule.rule_id + "-"), i.cast("string")), category=F.lit(rule.category), reason_code=F.lit(rule.reason_code), score_type=F.lit("deterministic_match"),
                 band=F.lit("deterministic"), rule_id=F.lit(rule.rule_id), calibration_status=F.lit("not_applicable"), detector=F.lit(detector),
-                reason=F.lit(f"rule {rule.rule_id} matched"), label=F.lit(f"{rule.category}:{rule.rule_id}"), location=text.char_location(m["char_start"], m["char_end"]),
+                reason=F.lit(f"rule {rule.rule_id} matched"), label=F.lit(f"{rule.category}:{rule.rule_id}"), location=place(m),
             ),
         )
 
-    return F.flatten(F.array(*[of(r) for r in rules])) if rules else no_findings()
+    return F.flatten(F.array(*[of(r) for r in rules]))
 
 
 def mock_score(span: Column, hint: str) -> Column:
     return F.when(F.lower(span).contains(hint.lower()), F.lit(90.0)).otherwise(F.lit(5.0))
 
 
-def model_findings(categories: tuple[str, ...], hints: dict[str, str], scoring: Scoring, routed: Column | None = None, body: str = "text") -> Column:
-    """Findings of the built-in mock provider on the first 512 characters; a blank text is not sent. ``routed`` (an array
-    of categories) limits the calls."""
-    span = F.substring(F.col(body), 1, 512)
-    scored = F.array(*[F.struct(F.lit(c).alias("category"), (mock_score(span, hints[c]) if c in hints else F.lit(5.0)).alias("score")) for c in categories])
-    wanted = lambda x: (x["score"] >= scoring.flag_threshold) & (F.array_contains(routed, x["category"]) if routed is not None else F.lit(True))
-    made = F.transform(
-        F.filter(scored, wanted),
+#: Characters of a text that a model is shown.
+SPAN_CHARS = 512
+
+
+def model_span(body: str = "text") -> Column:
+    """What a model is shown of a text; null if it is blank and nothing is sent."""
+    return F.when(~F.coalesce(text.is_blank(F.col(body)), F.lit(True)), F.substring(F.col(body), 1, SPAN_CHARS))
+
+
+def scored_findings(scores: Column, shown: Column, scoring: Scoring, version: str) -> Column:
+    """Findings of a model's scores (array of category, score) that reach the threshold; ``shown``: the length of the span."""
+    return F.transform(
+        F.filter(scores, lambda x: x["score"] >= scoring.flag_threshold),
         lambda x: finding(
-            finding_id=F.concat(F.lit("model-"), x["category"]), category=x["category"], score_type=F.lit("model_score"), score=x["score"],
-            calibration_status=F.lit("not_calibrated"), detector=F.lit("mock"),
-            reason=F.concat(F.lit("model score "), text.whole(x["score"]), F.lit(f" >= flag threshold {scoring.flag_threshold:.0f}")),
-            location=text.char_location(F.lit(0), F.length(span)),
+            finding_id=F.concat(F.lit("model-"), x["category"]), category=x["category"], reason_code=F.lit(MODEL_REASON), score_type=F.lit("model_score"), score=x["score"],
+            calibration_status=F.lit("not_calibrated"), detector=F.lit(version),
+            reason=F.concat(F.lit("model score "), text.whole(x["score"]), F.lit(" >= flag threshold")), location=text.char_location(F.lit(0), shown),
         ),
     )
-    return F.when(F.coalesce(text.is_blank(F.col(body)), F.lit(True)) | F.lit(not categories), no_findings()).otherwise(made)
+
+
+def model_findings(categories: tuple[str, ...], hints: dict[str, str], scoring: Scoring, routed: Column | None = None, body: str = "text", version: str = "mock-0") -> Column:
+    """Findings of the built-in mock provider on the first 512 characters; a blank text is not sent. ``routed`` (an array
+    of categories) limits the calls, and names those beyond ``categories``."""
+    span = model_span(body)
+    every = tuple(dict.fromkeys((*categories, *hints))) if routed is not None else categories
+    if not every:
+        return no_findings()
+    scored = F.array(*[F.struct(F.lit(c).alias("category"), (mock_score(span, hints[c]) if c in hints else F.lit(5.0)).alias("score")) for c in every])
+    if routed is not None:
+        scored = F.filter(scored, lambda x: F.array_contains(routed, x["category"]))
+    return F.when(span.isNull(), no_findings()).otherwise(scored_findings(scored, F.length(span), scoring, version))
 
 
 def apply_calibration(findings: Column, scoring: Scoring, maps: Column | None = None) -> Column:
@@ -156,8 +188,8 @@ SUMMARY = (
 )
 
 
-def summarise(items: DataFrame) -> DataFrame:
-    """Exactly one row an item, from the array ``findings``; without a shuffle."""
+def summarise(items: DataFrame, *also: str) -> DataFrame:
+    """Exactly one row an item, from the array ``findings``; without a shuffle. ``also``: further columns to keep."""
     failed = F.col("exception_code").isNotNull()
     drive = F.filter("findings", lambda f: f["score_type"] != "similarity")
     rows = items.withColumn("_drive", text.once(F.when(failed, no_findings()).otherwise(drive)))
@@ -179,7 +211,7 @@ def summarise(items: DataFrame) -> DataFrame:
         "calibration_status": F.when(fixed | ~any_, "not_applicable").otherwise(top["calibration_status"]),
         "n_findings": F.when(failed, F.lit(0)).otherwise(F.size("findings")).cast("long"),
         "reason_summary": F.when(any_, reasons).when(failed, F.concat(F.lit("unable to process ("), F.col("exception_code"), F.lit(")"))).otherwise("no finding above threshold"),
-    }).select(*SUMMARY)
+    }).select(*SUMMARY, *also)
 
 
 def findings_rows(items: DataFrame) -> DataFrame:
@@ -188,13 +220,15 @@ def findings_rows(items: DataFrame) -> DataFrame:
 
 
 def events(items: DataFrame, engine: str = "decode") -> DataFrame:
-    """The event log, derived: extract, ocr_gate (not where it failed), pipeline(failed). Items that failed at ingest have
-    only the last."""
+    """The event log, derived: extract, ocr_gate (not where it failed), pipeline(failed). Items that failed at ingest or
+    extraction have only the last. ``failed_in_extract`` marks extraction's unexpected failures, where rows have it."""
     none = F.lit(None)
-    at_ingest = F.col("exception_code").isin("unsupported_type", "not_in_manifest", "unreadable", "hash_mismatch")
-    reached = F.coalesce(~at_ingest, F.lit(True))
+    early = F.col("exception_code").isin("unsupported_type", "not_in_manifest", "unreadable", "hash_mismatch", "extraction_error")
+    if "failed_in_extract" in items.columns:
+        early = early | F.col("failed_in_extract")
+    reached = F.coalesce(~early, F.lit(True))
     extract_ = F.when(reached, F.struct(F.lit("extract").alias("stage"), F.lit(engine).alias("outcome"), none.cast("string").alias("exception_code"), none.cast("map<string,double>").alias("detail")))
-    detail = F.create_map(F.lit("printable_ratio"), F.col("seen_printable"), F.lit("image_coverage"), F.col("seen_coverage"))
+    detail = F.create_map(F.lit("printable_ratio"), F.col("printable_ratio"), F.lit("image_coverage"), F.col("image_coverage"))
     gate = F.when(
         reached & F.coalesce(F.col("exception_code") != "ocr_failure", F.lit(True)),
         F.struct(F.lit("ocr_gate").alias("stage"), F.when(F.col("ocr_used"), "ocr").otherwise("skipped").alias("outcome"), none.cast("string").alias("exception_code"), detail.alias("detail")),
@@ -208,31 +242,53 @@ def events(items: DataFrame, engine: str = "decode") -> DataFrame:
 
 
 def semantic_findings(scores: DataFrame, semantic: Semantic) -> DataFrame:
-    """(source_id, category, cosine) -> similarity findings of the pairs that reach the route threshold."""
+    """(source_id, category, cosine, optionally n_chars) -> similarity findings of the pairs that reach the threshold."""
     hit = scores.where(F.col("cosine") >= semantic.route_threshold)
-    reason = F.concat(F.lit("cosine "), F.format_number(F.bround("cosine", 2), 2), F.lit(f" >= route threshold {semantic.route_threshold:.2f}"))
-    return hit.select(
-        "source_id", F.concat(F.lit("semantic-"), F.col("category")).alias("finding_id"), "category", F.lit("similarity").alias("score_type"), F.col("cosine").alias("score"),
-        F.lit(semantic.threshold_version).alias("threshold_version"), reason.alias("reason"),
+    shown = F.col("n_chars") if "n_chars" in scores.columns else F.lit(None)
+    return hit.select("source_id", similarity_finding(F.col("category"), F.col("cosine"), shown, semantic).alias("f")).select("source_id", "f.*")
+
+
+def similarity_finding(category: Column, cosine: Column, n_chars: Column, semantic: Semantic) -> Column:
+    """A routing signal: no band, not calibrated by definition; its evidence is the whole text."""
+    return finding(
+        finding_id=F.concat(F.lit("semantic-"), category), category=category, reason_code=F.lit(SCREEN_REASON), score_type=F.lit("similarity"), score=cosine,
+        calibration_status=F.lit("not_applicable"), threshold_version=F.lit(semantic.threshold_version), detector=F.lit(SCREEN_VERSION),
+        reason=F.concat(F.lit("cosine "), F.format_number(F.bround(cosine, 2), 2), F.lit(" >= route threshold")), location=text.char_location(F.lit(0), n_chars),
     )
 
 
+def screened(vector: Column, examples: dict[str, list[list[float]]], semantic: Semantic, n_chars: Column) -> Column:
+    """Similarity findings of a text's vector (null: none), an array in the order of categories: the greatest cosine with
+    a category's examples counts. The examples are configuration, so they are literals."""
+    null = F.array().cast(FINDINGS)
+    if not examples:
+        return null
+    unit = lambda w: F.array(*[F.lit(float(x)) for x in w])
+    best = F.array(*[F.struct(F.lit(c).alias("c"), F.greatest(*[numbers.cosine(vector, unit(w)) for w in ws], F.lit(-1.0)).alias("s")) for c, ws in sorted(examples.items()) if ws])
+    hits = F.filter(best, lambda x: x["s"] >= semantic.route_threshold)
+    return F.coalesce(F.when(vector.isNotNull(), F.transform(hits, lambda x: similarity_finding(x["c"], x["s"], n_chars, semantic))), null)
+
+
 def ner_findings(results: Column, detect: Detect, spans: Column | None = None) -> Column:
     """Findings of an analyser's results (array of entity_type, start, end, score). Entities without a category are
     dropped but count for the numbering; deterministic ones have no score, others their confidence times 100."""
     categories = F.create_map(*[F.lit(x) for kv in sorted(detect.category_map.items()) for x in kv]) if detect.category_map else F.create_map().cast("map<string,string>")
     fixed = lambda r: r["entity_type"].isin(*detect.deterministic_entities) if detect.deterministic_entities else F.lit(False)
 
-    def one(r: Column, i: Column) -> Column:
+    def one(r: Column, i: Column, place) -> Column:
         det, category = fixed(r), F.try_element_at(categories, r["entity_type"])
-        place = text.resolve_location(spans, r["start"], r["end"]) if spans is not None else text.char_location(r["start"], r["end"])
         return finding(
-            finding_id=F.concat(r["entity_type"], F.lit("-"), i.cast("string")), category=category,
+            finding_id=F.concat(r["entity_type"], F.lit("-"), i.cast("string")), category=category, reason_code=F.when(det, NER_FIXED_REASON).otherwise(NER_SCORED_REASON),
             score_type=F.when(det, "deterministic_match").otherwise("classifier_score"), band=F.when(det, "deterministic"),
-            rule_id=F.when(det, r["entity_type"]), score=F.when(~det, r["score"] * 100), calibration_status=F.when(det, "not_applicable").otherwise("not_calibrated"),
+            rule_id=r["entity_type"], score=F.when(~det, r["score"] * 100), calibration_status=F.when(det, "not_applicable").otherwise("not_calibrated"),
             detector=F.lit(detect.detector_version),
             reason=F.when(det, F.concat(F.lit("validated entity "), r["entity_type"])).otherwise(F.concat(F.lit("recogniser "), r["entity_type"], F.lit(" matched"))),
-            label=F.concat(category, F.lit(":"), r["entity_type"]), location=place,
+            label=F.concat(category, F.lit(":"), r["entity_type"]), location=place(r["start"], r["end"]),
         )
 
-    return F.filter(F.transform(results, one), lambda f: f["category"].isNotNull())
+    def of(place) -> Column:
+        return F.filter(F.transform(results, lambda r, i: one(r, i, place)), lambda f: f["category"].isNotNull())
+
+    if spans is None:
+        return of(text.char_location)
+    return text.let(text.span_bounds(spans), lambda b: of(lambda start, end: text.owning_location(b, start, end)))

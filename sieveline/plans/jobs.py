@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..schema import ACTIVE, TERMINAL
 
 
@@ -48,14 +49,10 @@ def reconcile(rows: DataFrame, expected: DataFrame | None = None) -> DataFrame:
 
 
 def final_status(rows: DataFrame) -> DataFrame:
+    """Statuses by id; a sink puts them in order."""
     return rows.select("source_id", "flag_status")
 
 
-def select_ids(ids: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Entries of a request, in its order (ordinal), duplicates kept."""
-    return ids.join(manifest, "source_id")
-
-
 def unknown_ids(ids: DataFrame, manifest: DataFrame) -> DataFrame:
     return ids.join(manifest, "source_id", "left_anti").select("source_id").distinct()
 
@@ -77,17 +74,28 @@ def retry(rows: DataFrame) -> DataFrame:
     return rows.where("flag_status = 'unable_to_process'").select("source_id")
 
 
-def workbook(rows: DataFrame, findings: DataFrame) -> DataFrame:
-    """Summaries with their findings as a list; items without findings have an empty one."""
-    shown = F.struct("finding_id", "category", "score_type", (F.col("score_type") == "similarity").alias("routing_only"), "evidence")
-    lists = findings.groupBy("source_id").agg(F.sort_array(F.collect_list(shown)).alias("findings"))
-    return rows.join(lists, "source_id", "left")
+def merge_ledgers(resumed: tuple[DataFrame, DataFrame], fresh: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(events, final statuses) of two ledgers as one: all events, and of an id's statuses the later ledger's."""
+    events = resumed[0].unionByName(fresh[0], allowMissingColumns=True)
+    kept = resumed[1].join(fresh[1].select("source_id"), "source_id", "left_anti")
+    return events, kept.unionByName(fresh[1])
+
+
+def shown_findings(findings: Column) -> Column:
+    """An item's findings as a workbook shows them, in the order of their ids; they are in the row, so nothing is joined."""
+    shown = F.transform(findings, lambda f: F.struct(f["finding_id"].alias("finding_id"), f["category"].alias("category"), f["score_type"].alias("score_type"), (f["score_type"] == "similarity").alias("routing_only"), text.evidence(f["location"]).alias("evidence")))
+    return F.sort_array(shown)
 
 
 def page(rows: DataFrame, offset: int = 0, size: int = 100, order: str = "source_id") -> DataFrame:
     return rows.orderBy(order).offset(offset).limit(size)
 
 
+def next_offset(offset: int, size: int, total: int) -> int | None:
+    """Where the next page starts; None after the last one."""
+    return offset + size if offset + size < total else None
+
+
 # ---- registry -------------------------------------------------------------------------------------------------------
 
 
@@ -110,7 +118,7 @@ def migration_summary(jobs: DataFrame, authorised: int) -> DataFrame:
     pct = F.least(F.lit(100.0), F.bround(processed * 100.0 / F.lit(float(max(authorised, 1))), 1)) if authorised else F.lit(0.0)
     return sums.select(
         F.lit(authorised).cast("long").alias("authorised"), processed.alias("processed"), "flagged", "not_flagged", "unable", "in_progress",
-        F.greatest(F.lit(0), F.lit(authorised) - processed).cast("long").alias("remaining"), pct.alias("percent"), "jobs_total",
+        F.greatest(F.lit(0), F.lit(authorised) - processed - F.col("in_progress")).cast("long").alias("remaining"), pct.alias("percent"), "jobs_total",
     )
 
 

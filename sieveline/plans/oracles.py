@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .profile import CONFIG_VERSION, HINTS, RULES, SEED, TAXONOMY
-from .queries import CATEGORIES, DENSE, EXAMPLES, PUBLIC_KEY, SEMANTIC
+from .queries import DENSE, EXAMPLES, PUBLIC_KEY, SEMANTIC
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -72,7 +72,7 @@ LABELLED = "WITH lab AS (SELECT d.doc_id, lang AS category, CASE WHEN d.doc_id %
 BAND = "CASE WHEN {0} >= 80 THEN 'high' WHEN {0} >= 60 THEN 'medium' ELSE 'low' END"
 
 COSINES = f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
-x AS (SELECT * FROM e WHERE label BETWEEN 0 AND {CATEGORIES - 1} QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= {EXAMPLES}),
+x AS (SELECT * FROM e WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= {EXAMPLES}),
 c AS (SELECT e.vec_id AS source_id, 'label-' || x.label AS category, round(max(CASE WHEN e.norm * x.norm = 0 THEN 0 ELSE list_dot_product(e.v, x.v) / (e.norm * x.norm) END), 6) AS cosine FROM e, x GROUP BY ALL)"""
 
 JOBS = """WITH ln AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS flagged, count(*) FILTER (l_returnflag = 'N') AS not_flagged, count(*) FILTER (l_returnflag = 'A') AS unable FROM lineitem GROUP BY l_orderkey),
@@ -82,6 +82,22 @@ _key = PUBLIC_KEY.encode().ljust(64, b"\0")
 _INNER, _OUTER = bytes(b ^ 0x36 for b in _key).hex(), bytes(b ^ 0x5C for b in _key).hex()
 MAIL = _q(RULES[1].pattern)
 
+#: Linear between knots kx, ky at x.
+_INTERPOLATED = """CASE WHEN kx IS NULL THEN x WHEN x <= kx[1] THEN ky[1] WHEN x >= kx[-1] THEN ky[-1]
+  ELSE ky[lf] + (ky[lf + 1] - ky[lf]) * (x - kx[lf]) / (kx[lf + 1] - kx[lf]) END"""
+
+
+def _status(mapped: str, shown: str) -> str:
+    """Fits f with their holdout error by ten bins, and the status."""
+    left = "len(list_filter(kx, lambda v: v <= x))" if "lf" in mapped else "0"
+    return f"""h AS (SELECT *, {left} AS lf FROM (SELECT f.*, greatest(0.0, least(1.0, score / 100.0::DOUBLE)) AS x, label FROM lab JOIN f ON f.category = lab.category WHERE split = 'holdout')),
+hp AS (SELECT category, label, {mapped} AS p FROM h),
+hb AS (SELECT category, count(*) AS n, avg(p) AS p, avg(label::DOUBLE) AS y FROM hp GROUP BY category, least(9, floor(p * 10))),
+he AS (SELECT category, sum(n * abs(p - y)) / sum(n) * 100 AS error FROM hb GROUP BY category)
+SELECT f.category, CASE WHEN positives = 0 THEN 'not_calibrated' WHEN positives >= 100 AND coalesce(error, 100.0) <= 5.0 THEN 'calibrated' ELSE 'provisional' END AS status, method, {shown}, positives, round(coalesce(error, 100.0), 5) AS error
+FROM f LEFT JOIN he ON he.category = f.category"""
+
+
 SQL: dict[str, str] = {
     "manifest_scan": ITEMS + "SELECT source_id, content_type, author, datetime, linked_executive, linked_project FROM items",
     "manifest_page": ITEMS + "SELECT source_id, content_type, author, datetime, linked_executive, linked_project FROM items ORDER BY source_id LIMIT 100 OFFSET 100",
@@ -95,7 +111,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT
     "ocr_gate": "WITH" + _gate(DENSE.min_text_density) + "SELECT source_id, needs AS needs_ocr, used AS ocr_used, code AS exception_code, complete AS coverage_complete, length(body)::BIGINT AS n_chars FROM itm",
     "regex_hits": "WITH" + _hits("documents", "printf('doc_%06d', doc_id)", "text") + "SELECT k AS source_id, finding_id, category, rule_id, 'rule ' || rule_id || ' matched' AS reason, char_start, (char_start + n)::BIGINT AS char_end FROM hit",
     "regex_hits_by_rule": "WITH" + _hits("documents", "doc_id", "text") + "SELECT rule_id, count(*) AS hits, count(DISTINCT k) AS documents FROM hit GROUP BY rule_id",
-    "mock_model_scores": "WITH" + _model("documents", "doc_id", "text") + "SELECT k AS doc_id, finding_id, category, 90.0::DOUBLE AS score, 'model score 90 >= flag threshold 40' AS reason, char_end FROM mod",
+    "mock_model_scores": "WITH" + _model("documents", "doc_id", "text") + "SELECT k AS doc_id, finding_id, category, 90.0::DOUBLE AS score, 'model score 90 >= flag threshold' AS reason, char_end FROM mod",
     "banding": LABELLED + f"SELECT doc_id, round(score, 6) AS score, {BAND.format('score')} AS band FROM lab",
     "calibration_apply": LABELLED + f""", s AS (SELECT *, greatest(0.0, least(1.0, score / 100.0::DOUBLE))::DOUBLE AS s FROM lab),
 o AS (SELECT doc_id, category, CASE category WHEN 'en' THEN 'calibrated' WHEN 'de' THEN 'calibrated' WHEN 'fr' THEN 'provisional' ELSE 'not_calibrated' END AS calibration_status,
@@ -124,7 +140,7 @@ UNION ALL SELECT source_id, 2, 'pipeline', 'failed', code FROM itm WHERE code IS
     "resume_merge": "SELECT printf('doc_%06d', doc_id) AS source_id, CASE WHEN doc_id % 3 = 0 THEN 'resumed' ELSE 'fresh' END AS origin FROM documents",
     "retry_selection": FOUND + "SELECT source_id FROM sm WHERE flag_status = 'unable_to_process'",
     "migration_summary": JOBS + """, s AS (SELECT coalesce(sum(flagged) FILTER (status = 'completed'), 0) AS flagged, coalesce(sum(not_flagged) FILTER (status = 'completed'), 0) AS not_flagged, coalesce(sum(unable) FILTER (status = 'completed'), 0) AS unable, coalesce(sum(flagged + unable) FILTER (status <> 'completed'), 0) AS in_progress, count(*) AS jobs_total FROM jobs)
-SELECT 1000000::BIGINT AS authorised, (flagged + not_flagged + unable)::BIGINT AS processed, flagged::BIGINT AS flagged, not_flagged::BIGINT AS not_flagged, unable::BIGINT AS unable, in_progress::BIGINT AS in_progress, greatest(0, 1000000 - (flagged + not_flagged + unable))::BIGINT AS remaining, least(100.0::DOUBLE, round_even((flagged + not_flagged + unable) * 100.0::DOUBLE / 1000000.0::DOUBLE, 1)) AS percent, jobs_total FROM s""",
+SELECT 1000000::BIGINT AS authorised, (flagged + not_flagged + unable)::BIGINT AS processed, flagged::BIGINT AS flagged, not_flagged::BIGINT AS not_flagged, unable::BIGINT AS unable, in_progress::BIGINT AS in_progress, greatest(0, 1000000 - (flagged + not_flagged + unable) - in_progress)::BIGINT AS remaining, least(100.0::DOUBLE, round_even((flagged + not_flagged + unable) * 100.0::DOUBLE / 1000000.0::DOUBLE, 1)) AS percent, jobs_total FROM s""",
     "jobs_by_status": JOBS + "SELECT status, count(*) AS jobs FROM jobs GROUP BY status",
     "job_latest_state": "SELECT user_id AS job_id, event_id, event_type AS status, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "queue_head": JOBS + "SELECT job_id, status FROM jobs WHERE status = 'queued' ORDER BY created_at, job_id LIMIT 1",
@@ -141,6 +157,47 @@ SELECT doc_id, sha256(masked) AS masked_sha256, length(masked)::BIGINT AS n_char
     "location_resolution": """
 WITH p AS (SELECT page_id, length(html) // 2 AS mid, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS page FROM pages),
 b AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY page_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM p)
-SELECT page_id, mid::BIGINT AS char_start, page::BIGINT AS page, 'p' || page AS evidence FROM b WHERE lo <= mid AND mid < lo + length(line) + 1""",
+SELECT page_id, mid::BIGINT AS char_start, CASE WHEN mid < lo + length(line) THEN page END::BIGINT AS page, CASE WHEN mid < lo + length(line) THEN 'p' || page ELSE 'chars ' || mid || '–' || (mid + 1) END AS evidence FROM b WHERE lo <= mid AND mid < lo + length(line) + 1""",
+    "run_documents": FOUND + "SELECT sm.*, 'sample:documents' AS snapshot_id, itm.content_hash, 'bench' AS run_id, 'bench-0' AS config_version FROM sm JOIN itm USING (source_id)",
+    "run_findings": FOUND + f"""SELECT source_id, finding_id, category, CASE score_type WHEN 'model_score' THEN 'model_flag' ELSE category || '_ref' END AS reason_code, score_type, band, CASE score_type WHEN 'model_score' THEN NULL ELSE split_part(label, ':', 2) END AS rule_id,
+  score, cal AS calibration_status, NULL::VARCHAR AS threshold_version, CASE score_type WHEN 'model_score' THEN 'mock-0' ELSE 'detect-regex-0.1' END AS detector,
+  CASE score_type WHEN 'model_score' THEN 'model score 90 >= flag threshold' ELSE 'rule ' || split_part(label, ':', 2) || ' matched' END AS reason, {EVIDENCE} AS evidence FROM fnd""",
+    "run_sample": """SELECT *, 'sample:frozen' AS snapshot_id FROM (VALUES
+  ('doc_born_001', 'flagged', 'financial', 'model_score', 'high', 'financial:model_score(90)', 'complete', NULL),
+  ('note_001', 'flagged', 'financial', 'deterministic_match', 'deterministic', 'financial:FIN-001; financial:FIN-001', 'complete', NULL),
+  ('note_002', 'not_flagged', '', NULL, NULL, 'no finding above threshold', 'complete', NULL),
+  ('scan_001', 'flagged', 'government_id', 'deterministic_match', 'deterministic', 'government_id:GOV-001', 'complete', NULL),
+  ('unreadable_001', 'unable_to_process', '', NULL, NULL, 'unable to process (unsupported_type)', 'partial', 'unsupported_type'))
+  AS v(source_id, flag_status, categories, strongest_score_type, strongest_band, reason_summary, processing_status, exception_code)""",
+    "registry_fold": """WITH e AS (SELECT event_id AS seq, user_id::VARCHAR AS job_id, CASE WHEN event_id % 5 = 0 THEN 'put' WHEN event_id % 5 = 2 THEN 'claim' WHEN event_id % 35 = 3 THEN 'cancel' ELSE 'progress' END AS kind FROM events),
+b AS (SELECT job_id, max(seq) FILTER (kind = 'put') AS base, min(seq) FILTER (kind = 'put')::VARCHAR AS created_at, max(seq)::VARCHAR AS updated_at FROM e GROUP BY job_id HAVING max(seq) FILTER (kind = 'put') IS NOT NULL)
+SELECT job_id, any_value(created_at) AS created_at, any_value(updated_at) AS updated_at, CASE WHEN coalesce(bool_or(kind = 'claim' AND seq > base), false) THEN 'running' ELSE 'queued' END AS status,
+  (any_value(base) % 3 + coalesce(sum(seq % 4) FILTER (kind = 'progress' AND seq > base), 0))::BIGINT AS progress_done, coalesce(bool_or(kind = 'cancel' AND seq > base), false) AS cancel_requested FROM e JOIN b USING (job_id) GROUP BY job_id""",
+    "stream_available_now": "WITH" + _hits("documents", "printf('doc_%06d', doc_id)", "text") + """, n AS (SELECT k, count(*) AS n, array_to_string(list_sort(list_distinct(list(category))), ',') AS c FROM hit GROUP BY k)
+SELECT printf('doc_%06d', doc_id) AS source_id, coalesce(n, 0)::BIGINT AS n_findings, coalesce(c, '') AS categories FROM documents LEFT JOIN n ON k = printf('doc_%06d', doc_id)""",
+    "ner_mapping": """WITH h AS (SELECT conv_id, turn, row_number() OVER () AS rid, regexp_extract_all(text, '[0-9]{2,}|[A-Z][A-Za-z0-9_]{9,}|[a-z]{12,}') AS hits, string_split_regex(text, '[0-9]{2,}|[A-Z][A-Za-z0-9_]{9,}|[a-z]{12,}') AS gaps FROM conversations),
+u AS (SELECT *, unnest(range(len(hits))) AS i FROM h),
+m AS (SELECT conv_id, turn, i, hits[i + 1] AS hit, list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i], lambda x: length(x))), 0) AS at FROM u)
+SELECT conv_id, turn, CASE WHEN regexp_matches(hit, '^[0-9]') THEN 'NUMBER-' ELSE 'WORD-' END || i AS finding_id, CASE WHEN regexp_matches(hit, '^[0-9]') THEN 'financial' ELSE 'contact' END AS category,
+  CASE WHEN regexp_matches(hit, '^[0-9]') THEN 'deterministic_match' ELSE 'classifier_score' END AS score_type, CASE WHEN regexp_matches(hit, '^[0-9]') THEN NULL ELSE round((0.5::DOUBLE + least(length(hit), 40) / 100.0::DOUBLE) * 100, 6) END AS score, at::BIGINT AS char_start
+FROM m WHERE NOT regexp_matches(hit, '^[A-Z]')""",
+    "calibration_fit_sigmoid": LABELLED.replace("WITH lab", "WITH RECURSIVE lab") + f""",
+g AS (SELECT category, score / 100.0::DOUBLE AS x, count(*) AS n, count(*) FILTER (label = 1) AS pos FROM lab WHERE split = 'dev' GROUP BY ALL),
+c AS (SELECT category, count(*) FILTER (split = 'dev' AND label = 1) AS positives FROM lab GROUP BY category),
+nt(it, category, w0, w1) AS (SELECT 0, category, 0.0::DOUBLE, 0.0::DOUBLE FROM c WHERE positives > 0 UNION ALL
+  SELECT it + 1, category, w0 + (h11 * (g0 - w0) - h01 * g1) / ((h00 + 1) * h11 - h01 * h01), w1 + ((h00 + 1) * g1 - h01 * (g0 - w0)) / ((h00 + 1) * h11 - h01 * h01)
+  FROM (SELECT it, category, w0, w1, sum(x * (pos - n * p)) AS g0, sum(pos - n * p) AS g1, sum(n * x * x * p * (1 - p)) AS h00, sum(n * x * p * (1 - p)) AS h01, sum(n * p * (1 - p)) AS h11
+    FROM (SELECT it, nt.category, w0, w1, x, n, pos, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(w0 * x + w1))) AS p FROM nt JOIN g ON g.category = nt.category WHERE it < 30) GROUP BY it, category, w0, w1)),
+f AS (SELECT c.category, positives, CASE WHEN positives > 0 THEN 'sigmoid' ELSE 'identity' END AS method, coalesce(-w0, 0.0) AS a, coalesce(-w1, 0.0) AS b FROM c LEFT JOIN (SELECT * FROM nt WHERE it = 30) w ON w.category = c.category),
+{_status('CASE WHEN method = \'sigmoid\' THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(a * x + b)) ELSE x END', "round(a, 5) AS a, round(b, 5) AS b, '' AS knots")}""",
+    "calibration_fit_isotonic": LABELLED + f""",
+g AS (SELECT category, score / 100.0::DOUBLE AS x, count(*) AS n, count(*) FILTER (label = 1) AS pos, row_number() OVER (PARTITION BY category ORDER BY score) AS k FROM lab WHERE split = 'dev' GROUP BY category, score),
+c AS (SELECT category, count(*) FILTER (split = 'dev' AND label = 1) AS positives FROM lab GROUP BY category),
+av AS (SELECT a.category, a.k AS a, b.k AS b, sum(b.pos) OVER w * 1.0::DOUBLE / sum(b.n) OVER w AS m FROM g a JOIN g b ON a.category = b.category AND b.k >= a.k WINDOW w AS (PARTITION BY a.category, a.k ORDER BY b.k)),
+lo AS (SELECT category, a, b, min(m) OVER (PARTITION BY category, a ORDER BY b DESC) AS m FROM av),
+kn AS (SELECT g.category, g.k, x, max(m) AS y FROM g JOIN lo ON lo.category = g.category AND lo.b = g.k GROUP BY ALL),
+f AS (SELECT c.category, positives, CASE WHEN positives > 0 THEN 'isotonic' ELSE 'identity' END AS method, kx, ky, ks FROM c LEFT JOIN (SELECT category, list(x ORDER BY k) AS kx, list(y ORDER BY k) AS ky,
+  string_agg(round(x * 1000000)::BIGINT || ':' || round(y * 1000000)::BIGINT, ',' ORDER BY k) AS ks FROM kn GROUP BY category) t ON t.category = c.category AND positives > 0),
+{_status(_INTERPOLATED, "0.0::DOUBLE AS a, 0.0::DOUBLE AS b, coalesce(ks, '') AS knots")}""",
     "category_band_rollup": FOUND + "SELECT category, band, count(*) AS findings FROM fnd GROUP BY ROLLUP (category, band)",
 }

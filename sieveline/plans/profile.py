@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Inference, OcrGate, Recogniser, Scoring, Taxonomy
+from ..config import Config, Detect, Inference, OcrGate, Recogniser, Scoring, Source, Taxonomy
 from ..functions.text import once
 from ..operators import items as ops
 
 RULES = (
-    Recogniser("CARD-001", "financial", r"\b\d{16}\b"),
-    Recogniser("MAIL-001", "contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", literal="@"),
-    Recogniser("TEL-001", "contact", r"\+1 \(\d{3}\) \d{3}-\d{4}", literal="+1 ("),
-    Recogniser("IP-001", "network", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
-    Recogniser("TOK-001", "credential", r'token = "[0-9a-f]{40}"', literal='token = "'),
-    Recogniser("LIC-001", "licence", r"[Ll]icensed? under", literal="icense"),
+    Recogniser("CARD-001", "financial", r"\b\d{16}\b", "financial_ref"),
+    Recogniser("MAIL-001", "contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "contact_ref", literal="@"),
+    Recogniser("TEL-001", "contact", r"\+1 \(\d{3}\) \d{3}-\d{4}", "contact_ref", literal="+1 ("),
+    Recogniser("IP-001", "network", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "network_ref"),
+    Recogniser("TOK-001", "credential", r'token = "[0-9a-f]{40}"', "credential_ref", literal='token = "'),
+    Recogniser("LIC-001", "licence", r"[Ll]icensed? under", "licence_ref", literal="icense"),
 )
 TAXONOMY = Taxonomy("bench-0", ("contact", "credential", "financial", "licence", "network"))
 HINTS = {"financial": "thanedble", "contact": "ention", "credential": "worthless"}
@@ -23,6 +23,11 @@ INFERENCE = Inference(mock_hints=HINTS)
 SCORING = Scoring()
 CONFIG_VERSION, SEED = "bench-0", 42
 
+#: The same as a configuration, whose manifest is the documents table.
+CONFIG = Config(
+    source=Source("sample", "documents", "documents.parquet"), config_version=CONFIG_VERSION, seed=SEED, inference=INFERENCE, detect=Detect(recognisers=RULES), taxonomy=TAXONOMY, scoring=SCORING,
+)
+
 #: Side texts are keyed by a number below this, so the side that is broadcast has no more rows.
 SIDE_KEYS = 64
 

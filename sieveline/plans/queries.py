@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Detect, OcrGate, Semantic
+from ..config import Config, Detect, Inference, OcrGate, Output, Recogniser, Semantic, Source, Taxonomy
 from ..functions import identifiers, numbers, text
 from ..operators import calibration as cal
 from ..operators import items as ops
-from . import jobs, profile
+from ..schema import JOB_EVENT, struct
+from ..sources.shared import new_path, write_new
+from . import jobs, profile, registry, runner
 
 #: The OCR gate of the query that exercises the density branch.
 DENSE = OcrGate(min_text_density=0.83)
@@ -101,32 +106,72 @@ def calibration_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("category", "positives", F.round("error", 6).alias("error"), status.alias("status"))
 
 
+def _fitted(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """Knots as pairs of whole numbers of millionths, so that they compare as text."""
+    rows = cal.fit(_labelled(spark, sf_dir).select("category", "split", "score", "label"), method)
+    millionths = lambda v: F.round(v * 1e6).cast("long").cast("string")
+    knots = F.array_join(F.transform(F.arrays_zip("x", "y"), lambda k: F.concat(millionths(k["x"]), F.lit(":"), millionths(k["y"]))), ",")
+    return rows.select("category", "status", "method", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"), knots.alias("knots"), "positives", F.round("error", 5).alias("error"))
+
+
 def calibration_fit_sigmoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal.fit(_labelled(spark, sf_dir).select("category", "split", "score", "label"), "sigmoid")
+    return _fitted(spark, sf_dir, "sigmoid")
 
 
 def calibration_fit_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal.fit(_labelled(spark, sf_dir).select("category", "split", "score", "label"), "isotonic")
+    return _fitted(spark, sf_dir, "isotonic")
+
+
+#: Examples of a category, and categories whose examples a task holds at once.
+EXAMPLES, CATEGORY_BLOCK = 3, 1_000
+
 
+def _against(names: list[str], matrix, starts):
+    """mapInArrow: (source_id, v) -> (source_id, category, cosine), the greatest cosine with each category's examples. The
+    rows of ``matrix`` are unit vectors, or zero; a category's rows begin at its start."""
+    import numpy as np
+    import pyarrow as pa
 
-#: Examples per category; labels below CATEGORIES are those that the SQL compares.
-EXAMPLES, CATEGORIES = 3, 16
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                n = batch.num_rows
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, matrix.shape[1])
+                norms = np.linalg.norm(v, axis=1, keepdims=True)
+                best = np.maximum.reduceat((v / np.where(norms > 0, norms, 1)) @ matrix.T, starts, axis=1)
+                ids = np.repeat(batch.column(0).to_numpy(), len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names * n), pa.array(best.ravel())], names=["source_id", "category", "cosine"])
 
-#: Up to so many categories the examples are broadcast.
-BROADCAST_CATEGORIES = 1_000
+    return run
 
 
 def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greatest cosine of each item with a category's examples: the three lowest ids of each label. The examples, a row a
-    category, are counted first and broadcast only if they are few."""
-    e = profile.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    """Greatest cosine of each item with a category's examples: the three lowest ids of each label. The examples go to the
+    tasks as matrices, of CATEGORY_BLOCK categories each; every block is one pass over the items. Items without a vector
+    have no rows; vectors of another length are an error."""
+    import numpy as np
+
+    e = profile.table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     chosen = e.where("label is not null").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("n") <= EXAMPLES)
-    by = chosen.groupBy("label").agg(F.collect_list("v").alias("examples"))
-    if by.limit(BROADCAST_CATEGORIES + 1).count() <= BROADCAST_CATEGORIES:
-        by = F.broadcast(by)
-    pairs = e.select(F.col("vec_id").alias("source_id"), "v").crossJoin(by)
-    best = F.array_max(F.transform("examples", lambda w: numbers.cosine(F.col("v"), w)))
-    return pairs.select("source_id", F.concat(F.lit("label-"), F.col("label").cast("string")).alias("category"), best.alias("cosine"))
+    found, held = None, []
+
+    def block(rows: list) -> DataFrame:
+        m = np.array([r["v"] for r in rows], dtype=np.float64)
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        labels = [r["label"] for r in rows]
+        starts = [k for k, x in enumerate(labels) if not k or x != labels[k - 1]]
+        run = _against([f"label-{labels[k]}" for k in starts], m / np.where(norms > 0, norms, 1), starts)
+        return e.select(F.col("vec_id").alias("source_id"), "v").mapInArrow(run, "source_id long, category string, cosine double")
+
+    for r in chosen.select("label", "v").orderBy("label").toLocalIterator():
+        if len(held) >= CATEGORY_BLOCK * EXAMPLES and r["label"] != held[-1]["label"]:
+            part, held = block(held), []
+            found = part if found is None else found.unionAll(part)
+        held.append(r)
+    if held:
+        found = block(held) if found is None else found.unionAll(block(held))
+    return found if found is not None else spark.createDataFrame([], "source_id long, category string, cosine double")
 
 
 def cosine_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,12 +284,67 @@ def job_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profile.analysed(spark, sf_dir)
-    found = ops.findings_rows(rows).withColumn("evidence", text.evidence(F.col("location")))
-    book = jobs.workbook(ops.summarise(rows).select("source_id", "flag_status"), found)
+    rows = profile.analysed(spark, sf_dir).withColumn("shown", jobs.shown_findings(F.col("findings")))
     one = lambda f: F.concat_ws("|", f["finding_id"], f["category"], f["score_type"], f["routing_only"].cast("string"), f["evidence"])
-    shown = F.array_join(F.transform("findings", one), "; ")
-    return book.select("source_id", "flag_status", F.coalesce(shown, F.lit("")).alias("findings"))
+    book = ops.summarise(rows, "shown")
+    return book.select("source_id", "flag_status", F.array_join(F.transform("shown", one), "; ").alias("findings"))
+
+
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runner's plan over the documents, by a configuration: summary rows with the run's identity."""
+    ctx = runner.build(spark, profile.CONFIG)
+    rows = runner.summary(ctx, runner.analyse(ctx, profile.entries(spark, sf_dir)), "bench")
+    return rows.withColumn("sensitivity_categories", F.array_join("sensitivity_categories", ","))
+
+
+def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runner's findings, all fields."""
+    ctx = runner.build(spark, profile.CONFIG)
+    rows = ops.findings_rows(runner.analyse(ctx, profile.entries(spark, sf_dir)))
+    return rows.select(
+        "source_id", "finding_id", "category", "reason_code", "score_type", "band", "rule_id", "score", "calibration_status", "threshold_version", "detector", "reason", text.evidence(F.col("location")).alias("evidence"),
+    )
+
+
+#: A sample with every outcome: id, type, path, content.
+SAMPLE = (
+    ("doc_born_001", "application/pdf", "doc_born_001.pdf", "The annual salary review is attached."),
+    ("note_001", "text/plain", "note_001.txt", "Refer to ACCT-123456 and ACCT-654321."),
+    ("note_002", "text/plain", "note_002.txt", "Lunch is at noon."),
+    ("scan_001", "image/png", "scan_001.png", "pixels"),
+    ("unreadable_001", "application/octet-stream", "unreadable_001.dat", "bytes"),
+)
+
+
+def run_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full run, from files and a manifest to written results, which are read back: five items, three of them flagged."""
+    base = new_path(spark, "sample")
+    entries = []
+    for i, kind, path, content in SAMPLE:
+        write_new(spark, f"{base}/root/{path}", content)
+        entries.append({"source_id": i, "content_type": kind, "content_hash": hashlib.sha256(content.encode()).hexdigest(), "path": path})
+    write_new(spark, f"{base}/root/scan_001.png.ocr.txt", "Holder GOVID-AB123456")
+    write_new(spark, f"{base}/frozen.json", json.dumps(entries))
+    rules = (Recogniser("FIN-001", "financial", r"ACCT-\d{6}", "financial_account_ref"), Recogniser("GOV-001", "government_id", r"GOVID-[A-Z]{2}\d{6}", "government_id_ref"))
+    cfg = Config(
+        source=Source("sample", f"{base}/root", f"{base}/frozen.json"), config_version="sample-0", seed=1, detect=Detect(recognisers=rules),
+        taxonomy=Taxonomy("sample-0", ("financial", "government_id")), inference=Inference(mock_hints={"financial": "salary"}), output=Output(f"{base}/out"),
+    )
+    rows = runner.run(runner.build(spark, cfg)).rows(spark)["item_summary"]
+    return rows.select("source_id", "flag_status", F.array_join("sensitivity_categories", ",").alias("categories"), "strongest_score_type", "strongest_band", "reason_summary", "processing_status", "exception_code", "snapshot_id")
+
+
+def registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a registry's log: a job a user; rows that are put, progress, claims and cancellations fold to its state."""
+    e, k = profile.table(spark, sf_dir, "events"), F.col("event_id") % 5
+    kind = F.when(k == 0, "put").when(k == 2, "claim").when((k == 3) & (F.col("event_id") % 35 == 3), "cancel").otherwise("progress")
+    null = {f.name: F.lit(None).cast(f.dataType) for f in struct(JOB_EVENT)}
+    known = {
+        "seq": F.col("event_id") + 1, "job_id": F.col("user_id").cast("string"), "kind": kind, "ts": F.col("event_id").cast("string"), "created_at": F.col("event_id").cast("string"),
+        "delta": F.when(kind == "progress", F.col("event_id") % 4), "status": F.when(kind == "put", "queued").when(kind == "claim", "running"), "progress_done": F.when(kind == "put", F.col("event_id") % 3),
+    }
+    state = registry.fold(e.select(*[known.get(c, v).alias(c) for c, v in null.items()]))
+    return state.select("job_id", "created_at", "updated_at", "status", "progress_done", "cancel_requested")
 
 
 def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +414,7 @@ NAMES = (
     "findings_union", "strongest_finding", "reason_summary", "item_summary", "reconcile", "stage_events", "run_id", "final_status", "resume_remaining",
     "resume_merge", "retry_selection", "migration_summary", "jobs_by_status", "job_latest_state", "queue_head", "job_list_page", "results_workbook",
     "status_filter", "manifest_page", "mask_identifiers", "mask_identifiers_udf", "redact", "ner_mapping", "location_resolution", "category_band_rollup",
-    "stream_available_now",
+    "stream_available_now", "run_documents", "run_findings", "run_sample", "registry_fold",
 )
 
 QUERIES = {name: globals()[name] for name in NAMES}

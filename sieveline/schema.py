@@ -27,20 +27,21 @@ IMAGE_TYPES = ("image/png", "image/jpeg", "image/tiff")
 MANIFEST = "source_id string, content_type string, content_hash string, path string, author string, datetime string, linked_executive string, linked_project string"
 LOCATION = "struct<page:int,sheet:string,cell:string,char_start:int,char_end:int>"
 SPANS = f"array<struct<location:{LOCATION},text:string>>"
-FINDING_FIELDS = (
-    f"finding_id:string,category:string,score_type:string,band:string,rule_id:string,score:double,calibration_status:string,"
-    f"threshold_version:string,detector:string,reason:string,label:string,location:{LOCATION}"
+FINDING_COLUMNS = (
+    "finding_id string, category string, reason_code string, score_type string, band string, rule_id string, score double, calibration_status string, "
+    f"threshold_version string, detector string, reason string, label string, location {LOCATION}"
 )
-FINDING = f"struct<{FINDING_FIELDS}>"
+FINDING = f"struct<{FINDING_COLUMNS}>"
 FINDINGS = f"array<{FINDING}>"
 RULES = "rule_id string, category string, pattern string, reason_code string"
 LABELS = "category string, split string, score double, label int"
 CALIBRATION = "category string, status string, method string, a double, b double, x array<double>, y array<double>"
 EVENT = "source_id string, stage string, outcome string, exception_code string, detail map<string,double>"
-JOB = (
-    "job_id string, job_type string, status string, config_version string, created_at string, updated_at string, "
-    "progress long, flagged long, not_flagged long, unable long, cancel_requested boolean, payload string"
+JOB_STATE = (
+    "status string, job_type string, run_id string, config_version string, progress_done long, progress_total long, flagged long, not_flagged long, "
+    "unable long, cancel_requested boolean, exception string, payload string"
 )
+JOB_EVENT = f"seq long, job_id string, kind string, ts string, created_at string, delta long, {JOB_STATE}"
 NER_RESULT = "array<struct<entity_type:string,start:int,end:int,score:double>>"
 
 

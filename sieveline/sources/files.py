@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import CALIBRATION, LABELS, MANIFEST, struct
+from ..schema import CALIBRATION, EVENT, FINDING_COLUMNS, LABELS, MANIFEST, struct
+from .shared import exists
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +38,7 @@ def attach(entries: DataFrame, contents_: DataFrame, side: DataFrame | None = No
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """``category -> {dev, holdout} -> [[score, label]]`` as rows."""
     shape = "map<string,map<string,array<array<double>>>>"
-    text = spark.read.option("wholetext", True).text(path).select(F.from_json("value", shape).alias("m"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("m"))
     splits = text.select(F.explode("m").alias("category", "splits")).select("category", F.explode("splits").alias("split", "pairs"))
     pairs = splits.select("category", "split", F.explode("pairs").alias("p"))
     return pairs.select("category", "split", F.get("p", F.lit(0)).alias("score"), F.get("p", F.lit(1)).cast("int").alias("label")).to(struct(LABELS))
@@ -46,7 +47,7 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 def calibration(spark: SparkSession, path: str) -> DataFrame:
     """An artefact ``{version, categories: {category: {...}}}``; the method defaults to identity, knots to none."""
     shape = "version string, categories map<string,struct<status:string,method:string,a:double,b:double,x:array<double>,y:array<double>>>"
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", shape).alias("j")).select(F.explode("j.categories").alias("category", "c"))
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", shape).alias("j")).select(F.explode("j.categories").alias("category", "c"))
     none = F.array().cast("array<double>")
     return rows.select(
         "category", F.col("c.status").alias("status"), F.coalesce("c.method", F.lit("identity")).alias("method"),
@@ -54,9 +55,13 @@ def calibration(spark: SparkSession, path: str) -> DataFrame:
     ).to(struct(CALIBRATION))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+SUMMARY = (
+    "source_id string, snapshot_id string, content_type string, flag_status string, sensitivity_categories array<string>, reason_summary string, "
+    "processing_status string, calibration_status string, content_hash string, run_id string, config_version string, author string, datetime string, "
+    "linked_executive string, linked_project string, strongest_band string, strongest_score_type string, strongest_score double, exception_code string, n_findings long"
+)
+FINDINGS_ROW = f"source_id string, {FINDING_COLUMNS}"
+STATUS = "source_id string, flag_status string"
 
 
 def earlier(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -66,7 +71,40 @@ def earlier(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(struct(ddl)).json(path)
 
 
-READERS = {"sample": manifest}
+def results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """What a run wrote as JSON lines: item_summary, findings, stage_events, final_status. Missing parts are empty."""
+    parts = {"item_summary": SUMMARY, "findings": FINDINGS_ROW, "ledger/stage_events": f"ordinal long, {EVENT}", "ledger/final_status": STATUS}
+    return {name.rpartition("/")[2]: earlier(spark, f"{folder}/{name}", ddl) for name, ddl in parts.items()}
+
+
+class UnknownIds(LookupError):
+    """Ids of a request that the manifest does not hold."""
+
+
+class FolderSource:
+    """The read-only port of a source: list, and read by id. It has no method that writes."""
+
+    def __init__(self, spark: SparkSession, root: str, manifest_path: str):
+        self.spark, self.root, self.manifest_path = spark, root, manifest_path
+
+    def entries(self) -> DataFrame:
+        return manifest(self.spark, self.manifest_path)
+
+    def select(self, ids: list[str]) -> DataFrame:
+        """Entries of the ids in their order (``ordinal``), repeats kept; an unknown id is an error."""
+        asked = self.spark.createDataFrame(list(enumerate(ids)), "ordinal long, source_id string")
+        found = asked.join(self.entries(), "source_id", "left")
+        if missing := sorted({r["source_id"] for r in found.where("path is null").select("source_id").collect()}):
+            raise UnknownIds(f"not in the manifest: {missing}")
+        return found
+
+    def read(self, entries: DataFrame, side: bool = True) -> DataFrame:
+        """Entries with content (null where there is none) and, with ``side``, the text that lies beside the file."""
+        files = contents(self.spark, self.root)
+        return attach(entries, files.where(~F.col("path").endswith(".ocr.txt")), side_texts(files) if side else None)
+
+
+READERS = {"sample": FolderSource}
 
 
 def reader(backend: str):

@@ -24,11 +24,11 @@ def run_folder(result_dir: str, job_type: str, run_id: str) -> str:
     return f"{result_dir.rstrip('/')}/{job_type}-{run_id}"
 
 
-def ledger_json(run_id: str, config_version: str, engines: dict[str, str], reconcile: DataFrame, events: DataFrame, statuses: DataFrame) -> DataFrame:
-    """The run's ledger as one JSON text. It gathers the run's events; for very large runs write the relations instead."""
-    ev = events.select("source_id", "stage", "outcome", "exception_code")
-    lists = ev.agg(F.sort_array(F.collect_list(F.struct("source_id", "stage", "outcome", "exception_code"))).alias("stage_events"))
-    final = statuses.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_id", "flag_status")))).alias("final_status"))
-    one = reconcile.select(F.struct("*").alias("reconcile")).join(lists).join(final)
-    head = [F.lit(run_id).alias("run_id"), F.lit(config_version).alias("config_version"), F.from_json(F.lit(json.dumps(engines)), "map<string,string>").alias("engines")]
-    return one.select(F.to_json(F.struct(*head, "reconcile", "stage_events", "final_status"), {"ignoreNullFields": "false"}).alias("value"))
+def write_ledger(run_id: str, config_version: str, engines: dict[str, str], reconcile: DataFrame, events: DataFrame, statuses: DataFrame, path: str) -> None:
+    """The run's ledger as relations: ``run`` (one row: identity, engines, counts), ``stage_events`` and ``final_status`` in
+    the order of ids. No row gathers a run."""
+    named = F.from_json(F.lit(json.dumps(engines, sort_keys=True)), "map<string,string>")
+    head = reconcile.select(F.lit(run_id).alias("run_id"), F.lit(config_version).alias("config_version"), named.alias("engines"), F.struct("*").alias("reconcile"))
+    write(head, f"{path}/run", order=("run_id",))
+    write(events, f"{path}/stage_events", order=("source_id", "ordinal"))
+    write(statuses, f"{path}/final_status")

@@ -6,14 +6,13 @@ after a failure replaces its own rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import items as ops
 from ..plans.profile import RULES
+from ..schema import EVENT
+from ..sources.shared import is_folder, new_path
 
 RESULT = "source_id string, n_findings long, categories string"
 
@@ -25,11 +24,6 @@ def analyse(docs: DataFrame) -> DataFrame:
     return rows.select("source_id", F.size("f").cast("long").alias("n_findings"), categories.alias("categories"))
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-
-
 def start(spark: SparkSession, source: str, schema, out: str, checkpoint: str, files_per_trigger: int = 64, available_now: bool = True):
     """A query over Parquet files that arrive in ``source``; results go to ``out/batch=<n>``."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -45,29 +39,21 @@ def start(spark: SparkSession, source: str, schema, out: str, checkpoint: str, f
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="250 milliseconds")).start()
 
 
-def live_events(spark: SparkSession, source: str, out: str, checkpoint: str, batch_rows: int = 1000):
-    """Stage events of a run as a stream: rows appended under ``source`` are handed on in the order of their batches."""
-    stream = spark.readStream.schema("source_id string, ordinal long, stage string, outcome string, exception_code string").json(source)
-    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-#: Temporary folders of local applications that set none.
-_OWN: dict[str, str] = {}
+def frames(events: DataFrame) -> DataFrame:
+    """Event frames of a live view, content-free: a column ``frame`` with the row as JSON after ``data: `` and an empty line."""
+    shown = F.struct(F.lit("stage").alias("event"), "source_id", "stage", "outcome", "exception_code")
+    return events.select(F.concat(F.lit("data: "), F.to_json(shown, {"ignoreNullFields": "false"}), F.lit("\n\n")).alias("frame"))
 
 
-def shared(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="sieveline-")
-        _OWN[spark.sparkContext.applicationId] = path
-    return path.rstrip("/")
+def live_events(spark: SparkSession, source: str, out: str, checkpoint: str):
+    """Stage events of a run as a stream of frames: rows appended under ``source`` are handed on batch by batch."""
+    stream = spark.readStream.schema(f"ordinal long, {EVENT}").json(source)
+    return frames(stream).writeStream.format("text").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_available_now(spark: SparkSession, source: str, runs: int = 2) -> DataFrame:
     """Runs the stream to its end, ``runs`` times over one checkpoint, and reads what was written: a row a document."""
-    base = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     schema = spark.read.parquet(source).schema
     for _ in range(runs):
         start(spark, source, schema, f"{base}/out", f"{base}/checkpoint").awaitTermination()
