@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 
 #: Characters that a stretch of a text has at least, before it is cut at the next certain boundary.
 STRETCH = 1 << 16
@@ -235,6 +235,8 @@ def encoded(docs: DataFrame, vocabulary: tuple[str, str] | None = None, ids: str
                 made = pa.array([[int(x) for s in t for x in s.split(",")] for t in texts], pa.list_(pa.int32()))
                 decoded = pa.array([b"".join(own.decode_text(t)) for t in texts], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, made, decoded], names=names)
+                del texts, made, decoded
+        give_back()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(back, T.StringType())])
     return docs.mapInArrow(run, schema)

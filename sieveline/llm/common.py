@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import once
 
-__all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "UPPER", "discard", "join_small", "let", "lower_ascii", "n_words", "new_path", "once", "remove", "save", "shared_dir", "source_key", "table", "words"]
+__all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "UPPER", "discard", "give_back", "join_small", "let", "lower_ascii", "n_words", "new_path", "once", "remove", "save", "shared_dir", "source_key", "table", "words"]
 
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -92,6 +92,19 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
     return df.join(small, on, how)
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system: a reused worker then does not hold a former task's peak."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body names it."""
     return F.transform(F.array(value), body)[0]

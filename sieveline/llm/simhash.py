@@ -5,11 +5,11 @@ differing bits; the search works on distinct fingerprints, so copies are never e
 
 Distance tables: every fingerprint gets its Hamming distances to reference fingerprints. If two fingerprints differ in r
 bits, no coordinate differs by more than r, so pairs with a greater coordinate difference are discarded, and survivors
-are verified on the fingerprints. The references come in two sets. Structured references (the origin, and the 64
-single-bit fingerprints) make the coordinates of a group of bits, relative to the origin's, equal exactly where the bits
-of that group are. The 64 coordinates form six groups; at three or fewer differing bits at least three groups have a
-coordinate difference of 0, so candidates are looked up in the lists of equal coordinates of each choice of three
-groups (20 lists for each fingerprint), which loses no pair. Random references then discard within a list.
+are verified on the fingerprints. The references are drawn at random. A table alone would compare all pairs, and random
+distances lie so close together that no cell of them is small; which pairs meet at all is therefore settled by an exact
+index. The 64 bits form six groups; at three or fewer differing bits at least three groups are equal, so fingerprints
+stand in the lists of each choice of three groups (20 lists for each), which loses no pair. The tables then discard
+within a list: of unrelated pairs there, about one in a thousand is left to be verified.
 
 Lists are read as sorted runs, in vectors over all runs of a task at once. A run longer than ``block`` is put off and
 compared in pairs of blocks of bounded size by many tasks. Only edges that join parts of a block are written, not pairs.
@@ -34,7 +34,7 @@ GROUPS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 RADIUS = 3
 
 #: Random references, drawn from this seed.
-N_REFERENCES, REFERENCE_SEED = 16, 20101
+N_REFERENCES, REFERENCE_SEED = 64, 20101
 
 #: Members of a list that one task compares with one another at once.
 BLOCK = 2048
@@ -114,7 +114,7 @@ def linked(x: np.ndarray, y: np.ndarray, dx: np.ndarray, dy: np.ndarray, radius:
     return left[np.bitwise_count((x[left] ^ y[left]).view(np.uint64)) <= radius]  # of signed numbers it would take the absolute value
 
 
-class _Forest:
+class Forest:
     """Union-find over the fingerprints of a block; gives the edges that join its parts."""
 
     def __init__(self) -> None:
@@ -142,7 +142,7 @@ EDGES = "a long, b long, put_off long"
 
 def _edges_of(key: np.ndarray, fp: np.ndarray, refs: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges within runs of equal keys (sorted). Compares each row with the one d further, for d = 1, 2, ..."""
-    forest, edges = _Forest(), []
+    forest, edges = Forest(), []
     coords = distance_table(fp.view(np.uint64), refs)
     alive = np.flatnonzero(key[:-1] == key[1:])
     d = 1
@@ -205,7 +205,7 @@ def _blocks(radius: int):
     def run(pdf):
         import pandas as pd
 
-        refs, forest, edges = references(), _Forest(), []
+        refs, forest, edges = references(), Forest(), []
         fp, blk = pdf["fp"].to_numpy(), pdf["blk"].to_numpy()
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         x, y = fp[blk == i], fp[blk == j]

@@ -93,3 +93,19 @@ def test_chains_and_stars(spark):
     got = {r["node"]: r["root"] for r in components(df).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert components(df.limit(0)).count() == 0
+
+
+def test_tables_discard_without_loss():
+    """Of unrelated fingerprints that share half their bits, nearly all pairs are discarded before verification; no pair
+    within the radius is."""
+    rng = np.random.default_rng(3)
+    refs = simhash.references()
+    assert len(refs) >= 64
+    n = 20_000
+    x = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    y = (x & np.uint64(0xFFFFFFFF)) | (rng.integers(0, 1 << 32, n, dtype=np.uint64) << np.uint64(32))
+    left = (np.abs(simhash.distance_table(x, refs) - simhash.distance_table(y, refs)) <= simhash.RADIUS).all(axis=1)
+    assert left.mean() < 0.005
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, int(k), replace=False)) for k in rng.integers(0, 4, 2000)], dtype=np.uint64)
+    near = x[:2000] ^ flips
+    assert (np.abs(simhash.distance_table(x[:2000], refs) - simhash.distance_table(near, refs)) <= simhash.RADIUS).all()
