@@ -2,7 +2,7 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; these spans stay whatever happens. Wider
 candidates (obfuscated addresses, local phone shapes, IPv6, short or long card shapes) are judged by labelers of three
-sorts: shapes (regex), cue words in four languages (gazetteer) and neighbours of the span (context). Each votes for,
+sorts: shapes (regex), cue words in four languages (a gazetteer compiled for this module) and neighbours (context). Each votes for,
 against, or abstains. Expectation-maximisation estimates each labeler's reliability per kind from the counts of vote
 patterns over the whole corpus, which gives each pattern a probability; with these as soft labels a logistic span
 classifier is trained on features of the span and its surroundings. Its verdicts add spans to the base.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -34,6 +34,16 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 
 
+def _is_ipv6(text: str) -> bool:
+    import ipaddress
+
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -74,17 +84,29 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 _WIDE = (
     (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?(?:dot|DOT) ?[\])]) ?[A-Za-z0-9-]{1,63}){1,4}")),
-    (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+    (1, re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")),  # also the compressed forms; checked
     (2, re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ ./-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
 )
 
-#: Cue words in English, French, German and Spanish.
+#: The gazetteer: cue words by kind, in English, French, German and Spanish; compiled by hand from everyday use.
 CUES = (
-    ("email", "e-mail", "mail", "contact", "courriel", "correo", "kontakt"),
-    ("ip", "host", "server", "address", "adresse", "serveur", "servidor", "dirección"),
-    ("card", "visa", "mastercard", "amex", "credit", "carte", "karte", "tarjeta"),
-    ("phone", "tel", "telephone", "call", "fax", "mobile", "téléphone", "telefon", "teléfono", "handy", "móvil"),
+    (
+        "email", "e-mail", "mail", "mailto", "contact", "write to", "reach", "inbox", "courriel", "adresse électronique", "contacter", "écrire à", "kontakt", "schreiben", "postfach",
+        "correo", "correo electrónico", "escribir", "contacto", "buzón",
+    ),
+    (
+        "ip", "ipv4", "ipv6", "host", "server", "address", "gateway", "router", "subnet", "dns", "ping", "client", "adresse", "serveur", "hôte", "passerelle", "routeur",
+        "rechner", "netz", "netzwerk", "servidor", "dirección", "puerta de enlace", "red",
+    ),
+    (
+        "card", "visa", "mastercard", "amex", "american express", "discover", "credit", "debit", "payment", "expires", "cvv", "carte", "carte bancaire", "crédit", "paiement",
+        "karte", "kreditkarte", "kartennummer", "zahlung", "tarjeta", "crédito", "débito", "pago",
+    ),
+    (
+        "phone", "tel", "telephone", "call", "dial", "fax", "mobile", "cell", "sms", "whatsapp", "hotline", "téléphone", "appeler", "portable", "télécopie",
+        "telefon", "anrufen", "handy", "mobil", "rufnummer", "durchwahl", "teléfono", "llamar", "móvil", "celular",
+    ),
 )
 _CUES = tuple(re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, c)) + r")(?!\w)", re.IGNORECASE) for c in CUES)
 
@@ -125,16 +147,19 @@ def candidates(text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int,
         if kind == 0 and not ("(at" in text or "[at" in text or "( at" in text or "[ at" in text or "AT" in text) or kind and not has_digit:
             continue
         for m in pattern.finditer(text):
-            out.append((kind, m.start(), m.end()))
+            if kind != 1 or _is_ipv6(m.group()):
+                out.append((kind, m.start(), m.end()))
     if not out:
         return out
     out.sort(key=lambda x: (x[1], -x[2], x[0]))
     import bisect
 
+    begins, furthest = [a for a, _ in taken], [0]
+    for _, b in taken:  # the greatest end of the first spans
+        furthest.append(max(furthest[-1], b))
     kept, end = [], 0
     for kind, s, e in out:
-        k = bisect.bisect_left(taken, (e, -1))
-        if s >= end and not any(b > s for _, b in taken[max(0, k - 4) : k]):
+        if s >= end and furthest[bisect.bisect_left(begins, e)] <= s:
             kept.append((kind, s, e))
             end = e
     return kept
@@ -287,12 +312,14 @@ def masked_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents, personal data in the text replaced, n_chars (where there is one) counted anew; null texts stay null."""
+    """The documents, personal data in the text replaced, n_chars (where there is one) counted anew. Null and empty texts
+    stay as they are; repeated rows give equal rows and count as often for the model; an empty table gives no rows and an
+    untrained model; all other columns stay. Texts are taken whole, a thousand at a time, and never shuffled."""
     model = model or fit(docs)
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             texts = []
             for value in batch.column(at):
                 text = value.as_py()
@@ -301,6 +328,7 @@ def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     out = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -87,3 +88,31 @@ def test_edge_cases_and_masks(spark):
     texts = {r["doc_id"]: r for r in out.collect()}
     assert texts[8]["text"] == "mail me at <email> or call <phone> now" and texts[8]["n_chars"] == len(texts[8]["text"]) and texts[1]["text"] is None
     assert pii.masked_text("abcdef", [(0, 1, 3), (1, 2, 5)]) == "a<email>f"
+
+
+def test_added_spans_overlap_nothing():
+    """Against a comparison with every base span; also where many base spans lie before a candidate."""
+    rng = random.Random(6)
+    parts = ["1.2.3.4", "a@b.example", "4111 1111 1111 1111", "+1 212 555 0187", "212-555-0187", "(030) 123 4567", "1.2.3.4-1.2.3.4", "@a-212.555-123-4567.com", "x [at] y [dot] org", "2001:db8::1", "-", " ", "call "]
+    texts = ["call " + "1.2.3.4-" * 7 + "1.2.3.4@a-212.555-123-4567.com"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    found = 0
+    for text in texts:
+        base = pii.base_spans(text)
+        flat = [x for spans in base for x in spans]
+        wide = sorted(((k, m.start(), m.end()) for k, p in pii._WIDE for m in p.finditer(text) if k != 1 or pii._is_ipv6(m.group())), key=lambda x: (x[1], -x[2], x[0]))
+        if "(at" not in text and "[at" not in text and "AT" not in text:
+            wide = [w for w in wide if w[0]]
+        want, end = [], 0
+        for k, s, e in wide:
+            if s >= end and not any(a < e and s < b for a, b in flat):
+                want.append((k, s, e))
+                end = e
+        assert pii.candidates(text, base) == want, text
+        found += len(want)
+    assert found > 300
+
+
+def test_compressed_ipv6():
+    for address, is_one in (("2001:db8::1", True), ("fe80::1", True), ("::1", True), ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", True), ("1:2:3", False), ("12:30:45", False), ("a::b::c", False)):
+        text = f"host {address} answers"
+        assert [(1, 5, 5 + len(address))] * is_one == [c for c in pii.candidates(text, pii.base_spans(text)) if c[0] == 1], address
