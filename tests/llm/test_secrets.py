@@ -75,3 +75,82 @@ def test_tail_and_statistics(spark):
         assert abs(math.log10(t) - math.log10(0.5 * math.erfc(-x / math.sqrt(2)))) < 0.15
     s = spark.createDataFrame([("aAbb11+a",)], "t string").select(secrets.statistics(F.col("t")).alias("s")).first()["s"]
     assert (s["n"], s["pairs"], s["changes"], s["enc"]) == (8, 3.0, 5.0, 3)
+
+
+def test_added_spans_are_those_of_the_tests(spark):
+    """The whole method again, token by token: rates of words by encoding, p-values, step-up rule, uniformity, overlaps."""
+    data = texts() + [f"see {'deadbeefcafebabe' * 2}zz and some-long-slug-of-words-and-more-words here"]
+    battery = secrets.Battery()
+    token = re.compile(secrets.TOKEN)
+    stats = []
+    for t in (m.group() for text in data for m in token.finditer(text)):
+        n = len(t)
+        enc = 0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else 1 if re.fullmatch("[A-Z2-7]+=*", t) else 2 if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t) else 3
+        pairs = sum(t.count(c) * (t.count(c) - 1) / 2 for c in set(t))
+        kind = lambda c: "a" if "a" <= c <= "z" else "b" if "A" <= c <= "Z" else "c" if "0" <= c <= "9" else None
+        changes = sum(kind(a) is None or kind(a) != kind(b) for a, b in zip(t, t[1:], strict=False))
+        codes = [ord(c) for c in t]
+        mean = sum(codes) / n
+        var = sum(c * c for c in codes) - mean * mean * n
+        serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / var if var > 0 else 0.0
+        stats.append((t, n, enc, pairs, float(changes), serial, bool(re.fullmatch("[A-Za-z][a-z]+", t))))
+
+    def rates(own):
+        pn, cn = sum(s[1] * (s[1] - 1) / 2 for s in own), sum(s[1] - 1 for s in own)
+        return max(sum(s[3] for s in own) / pn, 0.01), min(max(sum(s[4] for s in own) / cn, battery.least_transitions), 0.5), sum(s[5] for s in own) / len(own)
+
+    words = [s for s in stats if s[6]]
+    null = [rates(own if len(own := [s for s in words if s[2] == e]) >= battery.least_words else words) for e in range(4)]
+
+    def tail(z):
+        low = lambda t: math.exp(-t * t / 2) / (2.506628274631 * t + 2)
+        return max(low(-z) if z < 0 else 1 - low(z), 1e-300)
+
+    def evidence(s):
+        _, n, e, pairs, changes, serial, _ = s
+        (k, t, r), size = null[e], secrets.ALPHABETS[e]
+        chi = size * (2 * pairs + n) / n - n
+        sd = 2 * size / n * math.sqrt(n * (n - 1) / 2 * k * (1 + 2 * n * k))
+        ps = [tail((chi + size / n - (size * (1 + (n - 1) * k) - n)) / sd), tail(-(changes - 0.5 - (n - 1) * t) / math.sqrt((n - 1) * t * (1 - t))), tail(-(serial - r) * (-1 if r > 0 else 1) * math.sqrt(n))]
+        y = -sum(map(math.log, ps))
+        return min(math.floor((y - math.log(1 + y + y * y / 2)) * 4.342944819), 3000)
+
+    def uniform(s):
+        df = secrets.ALPHABETS[s[2]] - 1
+        chi, c = secrets.ALPHABETS[s[2]] * (2 * s[3] + s[1]) / s[1] - s[1], 2 / (9 * df)
+        return math.copysign(abs(chi / df) ** (1 / 3), chi) <= 1 - c + battery.uniform * math.sqrt(c)
+
+    letters = [s for s in stats if re.search("[A-Za-z]", s[0])]
+    family = lambda s: (s[2], s[1].bit_length())
+    limits = {}
+    for f in {family(s) for s in letters}:
+        bins = sorted((evidence(s) for s in letters if family(s) == f), reverse=True)
+        passed = [b for b in bins if 10 ** (-b / 10) <= battery.q * sum(x >= b for x in bins) / len(bins)]
+        if passed:
+            limits[f] = max(min(passed), battery.least_evidence)
+    by_token = {s[0]: s for s in stats}
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    extra = 0
+    for r in secrets.scan(df).collect():
+        base = brute(data[r["doc_id"]])
+        want = []
+        for m in token.finditer(data[r["doc_id"]]):
+            s = by_token[m.group()]
+            if any(a < m.end() and m.start() < b for a, _, b in base) or not re.search("[A-Za-z]", s[0]) or family(s) not in limits:
+                continue
+            if evidence(s) >= limits[family(s)] and uniform(s):
+                want.append((m.start(), 3, m.end()))
+        got = [(x["s"], x["k"], x["e"]) for x in r["found"]["all"] if x["k"] == 3]
+        assert got == want, data[r["doc_id"]]
+        extra += len(want)
+    assert extra >= 27
+
+
+def test_very_long_text(spark):
+    import time
+
+    text = " ".join(f"{k:07d}abcdefgh{k}" for k in range(64_000))
+    df = spark.createDataFrame([(1, text + " token: Zx81Zx81Zx81")], "doc_id long, text string")
+    start = time.perf_counter()
+    found = secrets.scan(df).first()["found"]
+    assert [(x["s"], x["k"]) for x in found["base"] if x["k"] == 0] == [(len(text) + 1, 0)] and time.perf_counter() - start < 60
