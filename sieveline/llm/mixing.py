@@ -138,7 +138,9 @@ def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The documents of the mix, with all their columns, each as often as it is taken.
 
-    The first pass saves small rows of features; the second repeats them beside the text, so that no text is shuffled."""
+    A document without words (a null or empty text) is not taken; a null source is a source of its own; repeated rows are
+    drawn together; an empty table gives no rows; columns stay whatever their names. The first pass saves small rows of
+    features; the second repeats them beside the text, so that no text is shuffled."""
     planned = plan(save(features(docs, mix), "mix-rows"), mix)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     out = copies(features(docs, mix, whole), planned, mix).where(F.col("n_copies") > 0)

@@ -64,3 +64,13 @@ def test_edge_cases(spark):
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert {(r["target"], r["taken"]) for r in mixing.mix_report(blank).collect()} == {(0.0, 0)}
     assert mixing.mixed(edge.docs(spark)).columns == edge.docs(spark).columns
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    rows = [(i, "word " * (20 + i % 7), f"s{i % 3}", i, "c", 0.5) for i in range(40)] + [(99, None, None, 1, "n", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _doc long, _copy string, q double")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    taken = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.mix_report(df).collect()}
+    got = [r for r in out.collect()]
+    assert {i: sum(r["doc_id"] == i for r in got) for i in taken} == taken and all(r["_doc"] == r["doc_id"] for r in got)
