@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import once
+from ..functions.text import let, once
+from ..sources.shared import new_path, remove, shared_dir
 
 __all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "UPPER", "discard", "give_back", "join_small", "let", "lower_ascii", "n_words", "new_path", "once", "remove", "save", "shared_dir", "source_key", "table", "words"]
 
@@ -24,31 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Temporary folders of local applications that set none.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset and the master is local, a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="sieveline-")
-        _OWN[spark.sparkContext.applicationId] = path
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sieveline/{label}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that :func:`save` wrote, by Hadoop's file system of its scheme."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def save(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them back.
 
@@ -105,11 +78,6 @@ def give_back() -> None:
         pass
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once a row, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null text: none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * 5)

@@ -1,6 +1,6 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-Every round is a join and an aggregation; nothing is gathered on the driver but the number of edges that changed.
+Every round is a join and an aggregation; nothing is gathered on the driver but whether a round changed anything.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _large_star(now).distinct()
         after = save(_small_star(large).distinct(), "edges")
         # done when every node hangs on one root and no root hangs on another
-        open_ = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or after.select(F.col("b").alias("a")).distinct().join(after, "a", "left_semi").limit(1).count()
+        ends = after.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(after.select("b", F.lit(0), F.lit(1)))
+        seen = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        open_ = seen.agg(F.coalesce(F.bool_or((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))), F.lit(False))).first()[0]
         discard(now)
         now = after
         if not open_:
