@@ -268,20 +268,6 @@ def near_copies(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> Data
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each group of near copies: that with the least id. Of rows that repeat an id, one stays;
-    rows without an id all stay."""
-    found = save(near_copies(docs, shingle, radius).where("doc_id is not null"), "simhash-found")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    if repeated.limit(1).count():
-        again = repeated.select(F.col("doc_id").alias("_again"))
-        once = out.join(again, out["doc_id"] == again["_again"], "left_anti")
-        out = once.unionByName(out.join(again, out["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where(F.col("doc_id").isNull()))
-
-
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

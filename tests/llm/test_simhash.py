@@ -76,16 +76,6 @@ def test_components_of_edge_cases(spark):
     assert simhash.near_copies(edge.empty(spark)).count() == 0
 
 
-def test_deduplicated(spark):
-    docs = edge.docs(spark)
-    out = simhash.deduplicated(docs)
-    assert out.columns == docs.columns
-    ids = [r["doc_id"] for r in out.collect()]
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
-    assert sorted(i for i in ids if i is not None) == sorted({c for d, c in found.items() if d is not None})
-    assert ids.count(None) == 1
-
-
 def test_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 30)]
