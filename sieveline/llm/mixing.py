@@ -90,7 +90,9 @@ def _ranked(rows: DataFrame, mix: Mix) -> DataFrame:
     copies = F.least(F.lit(float(mix.max_copies)), F.col("c") * F.col("grade"))
     rows = rows.withColumn("copies", copies).withColumn("whole", F.floor("copies")).withColumn("pi", F.col("copies") - F.col("whole"))
     q = F.when(F.col("pi") > 0, (F.col("u") / (1.0 - F.col("u"))) / (F.col("pi") / (1.0 - F.col("pi"))))
-    return rows.withColumn("q", q).withColumn("bin", F.least(F.floor(F.col("q") / (1.0 + F.col("q")) * F.lit(float(mix.bins))), F.lit(mix.bins - 1)))
+    # least() skips nulls, and documents without a fraction must not be in a bin
+    binned = F.least(F.floor(F.col("q") / (1.0 + F.col("q")) * F.lit(float(mix.bins))), F.lit(mix.bins - 1))
+    return rows.withColumn("q", q).withColumn("bin", F.when(F.col("q").isNotNull(), binned))
 
 
 def _key(*names: str) -> Column:
