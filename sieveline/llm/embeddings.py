@@ -97,20 +97,17 @@ def _heads(pivots, dim: int, index: Index):
     return run
 
 
-LISTED = "key long, cid long, n long, near array<int>, unit array<double>"
-
-
 def _listed(pivots, long_lists, dim: int, index: Index):
     """mapInArrow: (cid, n, v) -> a row for each list that the vector stands in. A key is the list's pivot and, for a list
-    that is split, the second pivot plus one."""
+    that is split, the second pivot plus one. The vector goes along as it is, in single precision if it came so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = np.array(sorted(long_lists.value), np.int32)
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):  # few vectors at once: each is repeated for its lists
                 batch = whole.slice(start, 1024)
-                cid, n, units = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _unit(_rows(batch.column(2), dim))
-                near = _described(units, pivots.value, index.nearest)
+                cid, n, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                near = _described(_unit(v.astype(np.float64)), pivots.value, index.nearest)
                 row, keys = [], []
                 for c in range(min(index.listed, near.shape[1])):
                     p = near[:, c].astype(np.int64)
@@ -124,8 +121,8 @@ def _listed(pivots, long_lists, dim: int, index: Index):
                 at, k = np.concatenate(row), near.shape[1]
                 ends = lambda width: pa.array(np.arange(0, (len(at) + 1) * width, width, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(cid[at]), pa.array(n[at]), pa.ListArray.from_arrays(ends(k), pa.array(near[at].ravel())), pa.ListArray.from_arrays(ends(dim), pa.array(units[at].ravel()))],
-                    names=["key", "cid", "n", "near", "unit"],
+                    [pa.array(np.concatenate(keys)), pa.array(cid[at]), pa.array(n[at]), pa.ListArray.from_arrays(ends(k), pa.array(near[at].ravel())), pa.ListArray.from_arrays(ends(dim), pa.array(v[at].ravel()))],
+                    names=["key", "cid", "n", "near", "v"],
                 )
 
     return run
@@ -185,7 +182,7 @@ def _lists(dim: int, index: Index):
         def of(batch: pa.RecordBatch) -> list[tuple]:
             key, cid, n = (batch.column(c).to_numpy() for c in range(3))
             near = batch.column(3).flatten().to_numpy().reshape(len(key), -1)
-            unit = batch.column(4).flatten().to_numpy().reshape(len(key), dim)
+            unit = _unit(_rows(batch.column(4), dim))
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             found = []
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
@@ -228,7 +225,7 @@ def _blocks(dim: int, index: Index):
         key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
         cid, n, blk = (rows.column(c).to_numpy() for c in ("cid", "n", "blk"))
         near = pa.concat_arrays(rows.column("near").chunks).flatten().to_numpy().reshape(len(cid), -1)
-        unit = pa.concat_arrays(rows.column("unit").chunks).flatten().to_numpy().reshape(len(cid), dim)
+        unit = _unit(_rows(pa.concat_arrays(rows.column("v").chunks), dim))
         a, b = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
         hit = np.zeros((len(cid), len(cid)), bool)
         if len(a) and len(b):
@@ -263,7 +260,7 @@ def _links(classes: DataFrame, total: int, dim: int, index: Index, scratch: Scra
     pivots = context.broadcast(chosen)
     sizes = classes.select("v").mapInArrow(_heads(pivots, dim, index), "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
     long_lists = context.broadcast([r["p"] for r in sizes.where(F.col("n") > index.block).select("p").collect()])  # pivots at most
-    listed = classes.select("cid", "n", "v").mapInArrow(_listed(pivots, long_lists, dim, index), LISTED)
+    listed = classes.select("cid", "n", "v").mapInArrow(_listed(pivots, long_lists, dim, index), f"key long, cid long, n long, near array<int>, v {classes.schema['v'].dataType.simpleString()}")
     short, found = listed, None
     if long_lists.value:
         fine = listed.where(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) > 0).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > index.block)
@@ -272,7 +269,7 @@ def _links(classes: DataFrame, total: int, dim: int, index: Index, scratch: Scra
             short = join_small(listed, fine.select("key"), ["key"], "left_anti")
             dealt = join_small(listed, fine, ["key"]).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
             dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = dealt.select("key", "cid", "n", "near", "unit", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+            dealt = dealt.select("key", "cid", "n", "near", "v", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
             found = dealt.groupBy("key", "i", "j").applyInArrow(_blocks(dim, index), FOUND)
     runs = short.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(dim, index), FOUND)
     return runs if found is None else runs.unionAll(found)
@@ -298,8 +295,9 @@ def near_copies(vectors: DataFrame, index: Index = Index()) -> DataFrame:
     rows; other columns are not read. Vectors are told apart by 64 bits of XXH64.
     """
     scratch = Scratch()
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.select("vec_id", F.when(_usable(F.col("v")), F.col("v")).alias("v"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    own = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(_usable(F.col("embedding").cast("array<double>")), own).alias("v"))
     rows = rows.select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("cid"))
     fine = rows.where("v is not null")
     named = fine.groupBy("cid", "vec_id", F.size("v").alias("dim")).agg(F.count("*").alias("c"))
