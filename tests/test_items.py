@@ -183,3 +183,23 @@ def test_catalogue():
     from sieveline.plans import oracles
 
     assert set(oracles.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) >= 40
+
+
+def test_ledgers_and_pages(spark):
+    events = lambda *rows: spark.createDataFrame(list(rows), "source_id string, stage string")
+    final = lambda *rows: spark.createDataFrame(list(rows), "source_id string, flag_status string")
+    merged = jobs.merge_ledgers((events(("a", "extract")), final(("a", "flagged"), ("b", "flagged"))), (events(("b", "extract"), ("b", "ocr_gate")), final(("b", "not_flagged"))))
+    assert merged[0].count() == 3 and {tuple(r) for r in merged[1].collect()} == {("a", "flagged"), ("b", "not_flagged")}
+    assert [jobs.next_offset(o, 2, 5) for o in (0, 2, 4)] == [2, 4, None]
+    rows = final(("c", "x"), ("a", "x"), ("b", "x"))
+    assert [r["source_id"] for r in jobs.page(rows, 1, 2).collect()] == ["b", "c"]
+
+
+def test_locations_between_spans(spark):
+    """A line feed that joins two spans belongs to neither; a span without an anchor gives offsets."""
+    place = "struct<page:int,sheet:string,cell:string,char_start:int,char_end:int>"
+    spans = [((1, None, None, None, None), "ab"), ((None, "S", "B2", None, None), "cd"), ((None, None, None, 6, 8), "ef")]
+    df = spark.createDataFrame([(spans,)], f"s array<struct<location:{place},text:string>>")
+    at = lambda k: text.resolve_location(F.col("s"), F.lit(k), F.lit(k + 1))
+    r = df.select(*[text.evidence(at(k)).alias(f"e{k}") for k in (0, 1, 2, 3, 5, 6, 9)]).first()
+    assert list(r) == ["p1", "p1", "chars 2–3", "sheet S, cell B2", "chars 5–6", "chars 6–7", "chars 9–10"]
