@@ -177,9 +177,9 @@ SELECT job_id, any_value(created_at) AS created_at, any_value(updated_at) AS upd
 SELECT printf('doc_%06d', doc_id) AS source_id, coalesce(n, 0)::BIGINT AS n_findings, coalesce(c, '') AS categories FROM documents LEFT JOIN n ON k = printf('doc_%06d', doc_id)""",
     "ner_mapping": """WITH h AS (SELECT conv_id, turn, row_number() OVER () AS rid, regexp_extract_all(text, '[0-9]{2,}|[A-Z][A-Za-z0-9_]{9,}|[a-z]{12,}') AS hits, string_split_regex(text, '[0-9]{2,}|[A-Z][A-Za-z0-9_]{9,}|[a-z]{12,}') AS gaps FROM conversations),
 u AS (SELECT *, unnest(range(len(hits))) AS i FROM h),
-m AS (SELECT conv_id, turn, i, hits[i + 1] AS hit, list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i], lambda x: length(x))), 0) AS at FROM u)
+m AS (SELECT conv_id, turn, i, hits[i + 1] AS hit, list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i], lambda x: length(x))), 0) AS begins FROM u)
 SELECT conv_id, turn, CASE WHEN regexp_matches(hit, '^[0-9]') THEN 'NUMBER-' ELSE 'WORD-' END || i AS finding_id, CASE WHEN regexp_matches(hit, '^[0-9]') THEN 'financial' ELSE 'contact' END AS category,
-  CASE WHEN regexp_matches(hit, '^[0-9]') THEN 'deterministic_match' ELSE 'classifier_score' END AS score_type, CASE WHEN regexp_matches(hit, '^[0-9]') THEN NULL ELSE round((0.5::DOUBLE + least(length(hit), 40) / 100.0::DOUBLE) * 100, 6) END AS score, at::BIGINT AS char_start
+  CASE WHEN regexp_matches(hit, '^[0-9]') THEN 'deterministic_match' ELSE 'classifier_score' END AS score_type, CASE WHEN regexp_matches(hit, '^[0-9]') THEN NULL ELSE round((0.5::DOUBLE + least(length(hit), 40) / 100.0::DOUBLE) * 100, 6) END AS score, begins::BIGINT AS char_start
 FROM m WHERE NOT regexp_matches(hit, '^[A-Z]')""",
     "calibration_fit_sigmoid": LABELLED.replace("WITH lab", "WITH RECURSIVE lab") + f""",
 g AS (SELECT category, score / 100.0::DOUBLE AS x, count(*) AS n, count(*) FILTER (label = 1) AS pos FROM lab WHERE split = 'dev' GROUP BY ALL),
