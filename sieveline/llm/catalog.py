@@ -1,8 +1,8 @@
-"""The queries of the ten operators, and the SQL of those that SQL can express."""
+"""The queries of the operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from . import bpe, embeddings, mixing, mixing_lm, pii, quality, secrets, sharding, simhash, warc
+from . import bpe, clusters, embeddings, infill, mixing, mixing_lm, pii, quality, secrets, sharding, simhash, warc
 
 _MODULES = {
     "op1_jump_sharding": sharding,
@@ -15,6 +15,8 @@ _MODULES = {
     "op8_secret_battery": secrets,
     "op9_pivot_permutations": embeddings,
     "op10_simhash_pivots": simhash,
+    "op11_annulus_clusters": clusters,
+    "op12_fill_in_middle": infill,
 }
 
 QUERIES = {name: getattr(module, name) for name, module in _MODULES.items()}
