@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, clusters, embeddings, infill, mixing, mixing_lm, pii, quality, secrets, sharding, simhash, warc
+from . import bpe, clusters, embeddings, infill, licenses, mixing, mixing_lm, pii, quality, secrets, sharding, simhash, warc
 
 _MODULES = {
     "op1_jump_sharding": sharding,
@@ -17,6 +17,7 @@ _MODULES = {
     "op10_simhash_pivots": simhash,
     "op11_annulus_clusters": clusters,
     "op12_fill_in_middle": infill,
+    "op13_rare_token_licenses": licenses,
 }
 
 QUERIES = {name: getattr(module, name) for name, module in _MODULES.items()}
