@@ -47,6 +47,43 @@ def starts(lengths: Column) -> Column:
     return let(F.transform(lengths, lambda x: x.cast("int")), of)
 
 
+def latest(values: Column) -> Column:
+    """array<int>: the greatest value up to and with each place. In runs, as :func:`starts`."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def running(xs: Column, top: Column) -> Column:
+        first = F.struct(top.alias("top"), none.alias("out"))
+        step = lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), F.concat(a["out"], F.array(F.greatest(a["top"], x))).alias("out"))
+        return F.aggregate(xs, first, step, lambda a: a["out"])
+
+    def of(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda k: F.slice(xs, k * RUN + 1, F.lit(RUN)))
+        least = F.lit(-(1 << 31)).cast("int")
+        tops = let(running(F.transform(runs, lambda run: F.array_max(run)), least), lambda t: F.concat(F.array(least), F.slice(t, 1, F.size(t) - 1)))
+        return F.when(F.size(xs) == 0, none).otherwise(F.flatten(F.transform(F.arrays_zip(runs.alias("xs"), tops.alias("top")), lambda z: running(z["xs"], z["top"]))))
+
+    return let(F.transform(values, lambda x: x.cast("int")), of)
+
+
+def owners(lows: Column, points: Column) -> Column:
+    """array<int>: for each point, in their order, the place of the last of the ascending ``lows`` that is at most the
+    point; -1 where there is none. Both lists are merged in one pass, so that the work grows with their lengths (and the
+    logarithm of sorting them), not with their product."""
+    none = F.expr("cast(array() as array<int>)")
+    both = F.sort_array(F.concat(
+        F.transform(lows, lambda x, i: F.struct(x.cast("int").alias("at"), F.lit(0).alias("kind"), i.alias("no"))),
+        F.transform(points, lambda x, i: F.struct(x.cast("int").alias("at"), F.lit(1).alias("kind"), i.alias("no"))),
+    ))
+
+    def of(events: Column) -> Column:
+        last = latest(F.transform(events, lambda e: F.when(e["kind"] == 0, e["no"]).otherwise(F.lit(-1))))
+        told = F.filter(F.arrays_zip(events.alias("e"), last.alias("low")), lambda z: z["e"]["kind"] == 1)
+        ordered = F.sort_array(F.transform(told, lambda z: F.struct(z["e"]["no"].alias("no"), z["low"].alias("low"))))
+        return F.transform(ordered, lambda z: z["low"])
+
+    return F.when(F.size(points) == 0, none).when(F.size(lows) == 0, F.transform(points, lambda x: F.lit(-1))).otherwise(let(both, of))
+
+
 def decode(content: Column) -> Column:
     """Strict UTF-8: null where the bytes are not valid."""
     return F.try_validate_utf8(content.cast("string"))
@@ -129,16 +166,31 @@ def span_bounds(spans: Column) -> Column:
     return let(at, lambda at: F.transform(spans, lambda s, i: F.struct(F.get(at, i).alias("lo"), (F.get(at, i) + F.length(s["text"])).alias("hi"), s["location"].alias("location"))))
 
 
-def owning_location(bounds: Column, start: Column, end: Column) -> Column:
-    """The location of an offset by :func:`span_bounds`: the owning span's page or sheet, or the offsets themselves where
-    there is no such anchor (a line feed between spans belongs to none)."""
-    hit = F.try_element_at(F.filter(bounds, lambda b: (b["lo"] <= start) & (start < b["hi"])), F.lit(1))["location"]
-    return F.when(F.coalesce(hit["page"].isNotNull() | hit["sheet"].isNotNull(), F.lit(False)), hit).otherwise(char_location(start, end))
+def _anchored(location: Column) -> Column:
+    return F.coalesce(location["page"].isNotNull() | location["sheet"].isNotNull(), F.lit(False))
+
+
+def locations(bounds: Column, begins: Column, ends: Column) -> Column:
+    """array<LOCATION>: of each pair of offsets by :func:`span_bounds`: the page or sheet of the span that owns the first
+    offset, or the offsets themselves where there is no such anchor (a line feed between spans belongs to none). By a merge
+    of spans and offsets; texts without anchored spans need none."""
+    pairs = F.arrays_zip(begins.alias("s"), ends.alias("e"))
+    plain = F.transform(pairs, lambda p: char_location(p["s"], p["e"]))
+
+    def merged(of: Column) -> Column:
+        def place(p: Column, i: Column) -> Column:
+            b = F.get(bounds, F.get(of, i))
+            own = F.coalesce((b["hi"] > p["s"]) & _anchored(b["location"]), F.lit(False))
+            return F.when(own, b["location"]).otherwise(char_location(p["s"], p["e"]))
+
+        return F.transform(pairs, place)
+
+    return F.when(F.exists(bounds, lambda b: _anchored(b["location"])), let(owners(F.transform(bounds, lambda b: b["lo"]), begins), merged)).otherwise(plain)
 
 
 def resolve_location(spans: Column, start: Column, end: Column) -> Column:
-    """As :func:`owning_location`, of the spans themselves."""
-    return let(span_bounds(spans), lambda b: owning_location(b, start, end))
+    """The location of one pair of offsets, as :func:`locations`, by the spans themselves."""
+    return let(span_bounds(spans), lambda b: locations(b, F.array(start), F.array(end))[0])
 
 
 def evidence(location: Column) -> Column:

@@ -105,23 +105,26 @@ def rule_findings(rules: tuple[Recogniser, ...], detector: str = RULES_VERSION,
         return no_findings()
     if spans is not None:
         bounds = text.span_bounds(F.coalesce(F.col(spans), F.array().cast(SPANS)))
-        return text.let(bounds, lambda b: _rule_findings(rules, detector, body, lambda m: text.owning_location(b, m["s"], m["e"])))
-    return _rule_findings(rules, detector, body, lambda m: text.char_location(m["s"], m["e"]))
+        return text.let(bounds, lambda b: _rule_findings(rules, detector, body, lambda begins, ends: text.locations(b, begins, ends)))
+    return _rule_findings(rules, detector, body, _offsets)
 
 
-def _rule_findings(rules: tuple[Recogniser, ...], detector: str, body: str, place) -> Column:
+def _offsets(begins: Column, ends: Column) -> Column:
+    return F.transform(F.arrays_zip(begins.alias("s"), ends.alias("e")), lambda p: text.char_location(p["s"], p["e"]))
+
+
+def _rule_findings(rules: tuple[Recogniser, ...], detector: str, body: str, places) -> Column:
+    """``places``: arrays of begins and ends -> an array of locations."""
     def of(rule: Recogniser) -> Column:
         hits = text.matches(F.col(body), rule.pattern)
         if rule.literal:
             hits = F.when(F.col(body).contains(rule.literal), hits).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)"))
-        return F.transform(
-            hits,
-            lambda m, i: finding(
-                finding_id=F.concat(F.lit(rule.rule_id + "-"), i.cast("string")), category=F.lit(rule.category), reason_code=F.lit(rule.reason_code), score_type=F.lit("deterministic_match"),
-                band=F.lit("deterministic"), rule_id=F.lit(rule.rule_id), calibration_status=F.lit("not_applicable"), detector=F.lit(detector),
-                reason=F.lit(f"rule {rule.rule_id} matched"), label=F.lit(f"{rule.category}:{rule.rule_id}"), location=place(m),
-            ),
+        found = lambda at, i: finding(
+            finding_id=F.concat(F.lit(rule.rule_id + "-"), i.cast("string")), category=F.lit(rule.category), reason_code=F.lit(rule.reason_code), score_type=F.lit("deterministic_match"),
+            band=F.lit("deterministic"), rule_id=F.lit(rule.rule_id), calibration_status=F.lit("not_applicable"), detector=F.lit(detector),
+            reason=F.lit(f"rule {rule.rule_id} matched"), label=F.lit(f"{rule.category}:{rule.rule_id}"), location=at,
         )
+        return text.let(hits, lambda h: F.transform(places(F.transform(h, lambda m: m["s"]), F.transform(h, lambda m: m["e"])), found))
 
     return F.flatten(F.array(*[of(r) for r in rules]))
 
@@ -275,7 +278,7 @@ def ner_findings(results: Column, detect: Detect, spans: Column | None = None) -
     categories = F.create_map(*[F.lit(x) for kv in sorted(detect.category_map.items()) for x in kv]) if detect.category_map else F.create_map().cast("map<string,string>")
     fixed = lambda r: r["entity_type"].isin(*detect.deterministic_entities) if detect.deterministic_entities else F.lit(False)
 
-    def one(r: Column, i: Column, place) -> Column:
+    def one(r: Column, i: Column, at: Column) -> Column:
         det, category = fixed(r), F.try_element_at(categories, r["entity_type"])
         return finding(
             finding_id=F.concat(r["entity_type"], F.lit("-"), i.cast("string")), category=category, reason_code=F.when(det, NER_FIXED_REASON).otherwise(NER_SCORED_REASON),
@@ -283,12 +286,16 @@ def ner_findings(results: Column, detect: Detect, spans: Column | None = None) -
             rule_id=r["entity_type"], score=F.when(~det, r["score"] * 100), calibration_status=F.when(det, "not_applicable").otherwise("not_calibrated"),
             detector=F.lit(detect.detector_version),
             reason=F.when(det, F.concat(F.lit("validated entity "), r["entity_type"])).otherwise(F.concat(F.lit("recogniser "), r["entity_type"], F.lit(" matched"))),
-            label=F.concat(category, F.lit(":"), r["entity_type"]), location=place(r["start"], r["end"]),
+            label=F.concat(category, F.lit(":"), r["entity_type"]), location=at,
         )
 
-    def of(place) -> Column:
-        return F.filter(F.transform(results, lambda r, i: one(r, i, place)), lambda f: f["category"].isNotNull())
+    def of(places) -> Column:
+        def located(rs: Column) -> Column:
+            at = places(F.transform(rs, lambda r: r["start"]), F.transform(rs, lambda r: r["end"]))
+            return F.filter(F.transform(F.arrays_zip(rs.alias("r"), at.alias("at")), lambda z, i: one(z["r"], i, z["at"])), lambda f: f["category"].isNotNull())
+
+        return text.let(results, located)
 
     if spans is None:
-        return of(text.char_location)
-    return text.let(text.span_bounds(spans), lambda b: of(lambda start, end: text.owning_location(b, start, end)))
+        return of(_offsets)
+    return text.let(text.span_bounds(spans), lambda b: of(lambda begins, ends: text.locations(b, begins, ends)))

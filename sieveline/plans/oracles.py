@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .profile import CONFIG_VERSION, HINTS, RULES, SEED, TAXONOMY
-from .queries import DENSE, EXAMPLES, PUBLIC_KEY, SEMANTIC
+from .queries import DENSE, EXAMPLES, PIECE, PUBLIC_KEY, SEMANTIC
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -162,13 +162,10 @@ SELECT page_id, mid::BIGINT AS char_start, CASE WHEN mid < lo + length(line) THE
     "run_findings": FOUND + f"""SELECT source_id, finding_id, category, CASE score_type WHEN 'model_score' THEN 'model_flag' ELSE category || '_ref' END AS reason_code, score_type, band, CASE score_type WHEN 'model_score' THEN NULL ELSE split_part(label, ':', 2) END AS rule_id,
   score, cal AS calibration_status, NULL::VARCHAR AS threshold_version, CASE score_type WHEN 'model_score' THEN 'mock-0' ELSE 'detect-regex-0.1' END AS detector,
   CASE score_type WHEN 'model_score' THEN 'model score 90 >= flag threshold' ELSE 'rule ' || split_part(label, ':', 2) || ' matched' END AS reason, {EVIDENCE} AS evidence FROM fnd""",
-    "run_sample": """SELECT *, 'sample:frozen' AS snapshot_id FROM (VALUES
-  ('doc_born_001', 'flagged', 'financial', 'model_score', 'high', 'financial:model_score(90)', 'complete', NULL),
-  ('note_001', 'flagged', 'financial', 'deterministic_match', 'deterministic', 'financial:FIN-001; financial:FIN-001', 'complete', NULL),
-  ('note_002', 'not_flagged', '', NULL, NULL, 'no finding above threshold', 'complete', NULL),
-  ('scan_001', 'flagged', 'government_id', 'deterministic_match', 'deterministic', 'government_id:GOV-001', 'complete', NULL),
-  ('unreadable_001', 'unable_to_process', '', NULL, NULL, 'unable to process (unsupported_type)', 'partial', 'unsupported_type'))
-  AS v(source_id, flag_status, categories, strongest_score_type, strongest_band, reason_summary, processing_status, exception_code)""",
+    "run_folder": FOUND + "SELECT sm.*, 'sample:documents' AS snapshot_id, itm.content_hash, 'bench-0' AS config_version, true AS reconciled FROM sm JOIN itm USING (source_id)",
+    "item_pieces": ITEMS + f""", b AS (SELECT source_id, hex(content) AS h FROM items WHERE author = 'analyst-3' AND content IS NOT NULL),
+p AS (SELECT source_id, h, unnest(range((length(h) // 2 + {PIECE - 1}) // {PIECE})) AS ordinal FROM b)
+SELECT source_id, ordinal::BIGINT AS ordinal, (ordinal * {PIECE})::BIGINT AS at, (length(substr(h, ordinal * {2 * PIECE} + 1, {2 * PIECE})) // 2)::BIGINT AS n_bytes, sha256(unhex(substr(h, ordinal * {2 * PIECE} + 1, {2 * PIECE}))) AS chunk_sha256 FROM p""",
     "registry_fold": """WITH e AS (SELECT event_id AS seq, user_id::VARCHAR AS job_id, CASE WHEN event_id % 5 = 0 THEN 'put' WHEN event_id % 5 = 2 THEN 'claim' WHEN event_id % 35 = 3 THEN 'cancel' ELSE 'progress' END AS kind FROM events),
 b AS (SELECT job_id, max(seq) FILTER (kind = 'put') AS base, min(seq) FILTER (kind = 'put')::VARCHAR AS created_at, max(seq)::VARCHAR AS updated_at FROM e GROUP BY job_id HAVING max(seq) FILTER (kind = 'put') IS NOT NULL)
 SELECT job_id, any_value(created_at) AS created_at, any_value(updated_at) AS updated_at, CASE WHEN coalesce(bool_or(kind = 'claim' AND seq > base), false) THEN 'running' ELSE 'queued' END AS status,

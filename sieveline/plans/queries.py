@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Config, Detect, Inference, OcrGate, Output, Recogniser, Semantic, Source, Taxonomy
+from ..config import Config, Detect, OcrGate, Output, Semantic, Source
 from ..functions import identifiers, numbers, text
 from ..operators import calibration as cal
 from ..operators import items as ops
-from ..schema import JOB_EVENT, struct
-from ..sources.shared import new_path, write_new
+from ..schema import JOB_EVENT, MANIFEST, struct
+from ..sources import files, sinks
+from ..sources.shared import new_path
 from . import jobs, profile, registry, runner
 
 #: The OCR gate of the query that exercises the density branch.
@@ -306,32 +306,32 @@ def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: A sample with every outcome: id, type, path, content.
-SAMPLE = (
-    ("doc_born_001", "application/pdf", "doc_born_001.pdf", "The annual salary review is attached."),
-    ("note_001", "text/plain", "note_001.txt", "Refer to ACCT-123456 and ACCT-654321."),
-    ("note_002", "text/plain", "note_002.txt", "Lunch is at noon."),
-    ("scan_001", "image/png", "scan_001.png", "pixels"),
-    ("unreadable_001", "application/octet-stream", "unreadable_001.dat", "bytes"),
-)
+def _folder(spark: SparkSession, sf_dir: str) -> tuple[str, Config]:
+    """The documents as a folder of files with a frozen manifest, and a configuration that names them."""
+    base, rows = new_path(spark, "folder"), profile.entries(spark, sf_dir)
+    sinks.write_items(rows, f"{base}/root")
+    rows.select(*[f.name for f in struct(MANIFEST)]).write.parquet(f"{base}/documents.parquet")
+    return base, replace(profile.CONFIG, source=Source("sample", f"{base}/root", f"{base}/documents.parquet"), output=Output(f"{base}/out"))
 
 
-def run_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full run, from files and a manifest to written results, which are read back: five items, three of them flagged."""
-    base = new_path(spark, "sample")
-    entries = []
-    for i, kind, path, content in SAMPLE:
-        write_new(spark, f"{base}/root/{path}", content)
-        entries.append({"source_id": i, "content_type": kind, "content_hash": hashlib.sha256(content.encode()).hexdigest(), "path": path})
-    write_new(spark, f"{base}/root/scan_001.png.ocr.txt", "Holder GOVID-AB123456")
-    write_new(spark, f"{base}/frozen.json", json.dumps(entries))
-    rules = (Recogniser("FIN-001", "financial", r"ACCT-\d{6}", "financial_account_ref"), Recogniser("GOV-001", "government_id", r"GOVID-[A-Z]{2}\d{6}", "government_id_ref"))
-    cfg = Config(
-        source=Source("sample", f"{base}/root", f"{base}/frozen.json"), config_version="sample-0", seed=1, detect=Detect(recognisers=rules),
-        taxonomy=Taxonomy("sample-0", ("financial", "government_id")), inference=Inference(mock_hints={"financial": "salary"}), output=Output(f"{base}/out"),
-    )
-    rows = runner.run(runner.build(spark, cfg)).rows(spark)["item_summary"]
-    return rows.select("source_id", "flag_status", F.array_join("sensitivity_categories", ",").alias("categories"), "strongest_score_type", "strongest_band", "reason_summary", "processing_status", "exception_code", "snapshot_id")
+def run_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full run from files and a manifest to written results, which are read back."""
+    _, cfg = _folder(spark, sf_dir)
+    result = runner.run(runner.build(spark, cfg))
+    rows = result.rows(spark)["item_summary"]
+    return rows.select(*[c for c in rows.columns if c != "run_id"], F.lit(result.reconcile["reconciled"]).alias("reconciled")).withColumn("sensitivity_categories", F.array_join("sensitivity_categories", ","))
+
+
+#: Bytes of a piece in the query below.
+PIECE = 1000
+
+
+def item_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of the items of one author of five, read in pieces from files."""
+    _, cfg = _folder(spark, sf_dir)
+    source = files.FolderSource(spark, cfg.source.root, cfg.source.manifest)
+    pieces = source.pieces(source.entries().where("author = 'analyst-3'"), PIECE)
+    return pieces.select("source_id", "ordinal", "at", F.length("chunk").cast("long").alias("n_bytes"), F.sha2("chunk", 256).alias("chunk_sha256"))
 
 
 def registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +414,7 @@ NAMES = (
     "findings_union", "strongest_finding", "reason_summary", "item_summary", "reconcile", "stage_events", "run_id", "final_status", "resume_remaining",
     "resume_merge", "retry_selection", "migration_summary", "jobs_by_status", "job_latest_state", "queue_head", "job_list_page", "results_workbook",
     "status_filter", "manifest_page", "mask_identifiers", "mask_identifiers_udf", "redact", "ner_mapping", "location_resolution", "category_band_rollup",
-    "stream_available_now", "run_documents", "run_findings", "run_sample", "registry_fold",
+    "stream_available_now", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
 )
 
 QUERIES = {name: globals()[name] for name in NAMES}

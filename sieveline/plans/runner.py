@@ -177,12 +177,13 @@ def failed(job_type: str, config_version: str, message: str, started: str) -> Re
     return Result(f"{job_type}-invalid", job_type, "failed", "", config_version, dict(EMPTY), None, started, _now(), message)
 
 
-def _write(ctx: Context, items: DataFrame, run_id: str, folder: str) -> dict:
-    """Results and ledger of the items (a saved table), and their counts."""
+def _write(ctx: Context, items: DataFrame, run_id: str, folder: str, expected: DataFrame | None = None) -> dict:
+    """Results and ledger of the items (a saved table), and their counts: against the selection that was ``expected``, or,
+    where a batch may have been cancelled, of what was processed."""
     form, rows = ctx.cfg.output.format, summary(ctx, items, run_id)
     sinks.write(rows, f"{folder}/item_summary", form)
     sinks.write(ops.findings_rows(items), f"{folder}/findings", form, ("source_id", "finding_id"))
-    counts = jobs.reconcile(rows)
+    counts = jobs.reconcile(rows, expected)
     sinks.write_ledger(run_id, ctx.cfg.config_version, engine_names(ctx.cfg), counts, ops.events(items, ctx.cfg.extract.engine), jobs.final_status(rows), f"{folder}/ledger")
     return counts.first().asDict()
 
@@ -212,7 +213,7 @@ def run(ctx: Context) -> Result:
     run_id, folder = _identity(ctx, selected), ctx.cfg.output.result_dir.rstrip("/")
     remove(ctx.spark, f"{folder}/items")
     analyse(ctx, ctx.source.read(selected, ctx.ocr is None)).write.parquet(f"{folder}/items/all")
-    counts = _write(ctx, _items(ctx.spark, folder), run_id, folder)
+    counts = _write(ctx, _items(ctx.spark, folder), run_id, folder, selected)
     return Result(f"run-{run_id}", "batch", "completed", run_id, ctx.cfg.config_version, counts, folder, started, _now())
 
 
@@ -234,7 +235,7 @@ def run_single(ctx: Context, config_version: str, source_ids: list[str] | None,
     if on_event is not None:  # a few ids of a request
         for r in ops.events(items, ctx.cfg.extract.engine).orderBy("source_id", "ordinal").toLocalIterator():
             on_event({"source_id": r["source_id"], "stage": r["stage"], "outcome": r["outcome"], "exception_code": r["exception_code"]})
-    counts = _write(ctx, items, run_id, folder)
+    counts = _write(ctx, items, run_id, folder, selected)
     return Result(f"single-{run_id}", "single", "completed", run_id, ctx.cfg.config_version, counts, folder, started, _now())
 
 

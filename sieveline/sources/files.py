@@ -6,35 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import CALIBRATION, EVENT, FINDING_COLUMNS, LABELS, MANIFEST, struct
+from . import items
 from .shared import exists
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of entries. Of entries with one id the last in the file counts."""
+    """A JSON array of entries, of which the last counts where several have one id; one task reads it. Large manifests come
+    as Parquet (``.parquet``) or JSON lines (``.jsonl``), which many tasks read; there ids are unique."""
+    kind = path.rstrip("/").rpartition(".")[2]
+    if kind in ("parquet", "jsonl"):
+        given = spark.read.schema(struct(MANIFEST))
+        return given.parquet(path) if kind == "parquet" else given.json(path)
     rows = spark.read.schema(struct(MANIFEST)).option("multiLine", True).json(path)
     ranked = rows.withColumn("_at", F.monotonically_increasing_id())
     last = Window.partitionBy("source_id").orderBy(F.col("_at").desc())
     return ranked.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_at", "_n")
 
 
-def contents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all files below a folder; the path is relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1).alias("path"), "content")
-
-
-def side_texts(contents_: DataFrame) -> DataFrame:
-    """(path, ocr_text) from files named like an item with ``.ocr.txt`` behind."""
-    ends = F.col("path").endswith(".ocr.txt")
-    return contents_.where(ends).select(F.regexp_replace("path", r"\.ocr\.txt$", "").alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("ocr_text"))
-
-
-def attach(entries: DataFrame, contents_: DataFrame, side: DataFrame | None = None) -> DataFrame:
-    """Manifest with content: an entry without content stays, with null. Types that are rejected anyway are not joined."""
-    out = entries.join(contents_, "path", "left")
-    return out.join(side, "path", "left") if side is not None else out.withColumn("ocr_text", F.lit(None).cast("string"))
-
-
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """``category -> {dev, holdout} -> [[score, label]]`` as rows."""
     shape = "map<string,map<string,array<array<double>>>>"
@@ -82,7 +70,9 @@ class UnknownIds(LookupError):
 
 
 class FolderSource:
-    """The read-only port of a source: list, and read by id. It has no method that writes."""
+    """The read-only port of a source: list, and read by id, whole or in pieces. It has no method that writes."""
+
+    opener = items.ItemSource
 
     def __init__(self, spark: SparkSession, root: str, manifest_path: str):
         self.spark, self.root, self.manifest_path = spark, root, manifest_path
@@ -99,9 +89,14 @@ class FolderSource:
         return found
 
     def read(self, entries: DataFrame, side: bool = True) -> DataFrame:
-        """Entries with content (null where there is none) and, with ``side``, the text that lies beside the file."""
-        files = contents(self.spark, self.root)
-        return attach(entries, files.where(~F.col("path").endswith(".ocr.txt")), side_texts(files) if side else None)
+        """Entries with content (null where there is none) and, with ``side``, the text that lies beside the file. Only the
+        entries' files are opened; contents are neither joined nor shuffled."""
+        return items.load(self.spark, entries, self.root, side, source=self.opener)
+
+    def pieces(self, entries: DataFrame, chunk: int = items.CHUNK) -> DataFrame:
+        """(source_id, ordinal, at, chunk): contents in pieces of ``chunk`` bytes, for items that are too large for a row.
+        Entries without a file have none, empty files neither."""
+        return items.load(self.spark, entries, self.root, pieces=True, chunk=chunk, source=self.opener)
 
 
 READERS = {"sample": FolderSource}

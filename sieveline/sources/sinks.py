@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,30 @@ def write_ledger(run_id: str, config_version: str, engines: dict[str, str], reco
     write(head, f"{path}/run", order=("run_id",))
     write(events, f"{path}/stage_events", order=("source_id", "ordinal"))
     write(statuses, f"{path}/final_status")
+
+
+def write_items(rows: DataFrame, root: str) -> int:
+    """Writes a folder of items from (path, content, ocr_text): a file a row, and beside it the side text. Null contents and
+    side texts give no file. Tasks write, so a file that is written again is replaced; answers with the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as files
+
+        from .items import SIDE
+
+        fs, base = files.FileSystem.from_uri(root)
+        made = set()
+        for batch in batches:
+            for path, content, side in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                at = f"{base.rstrip('/')}/{path}"
+                folder = at.rpartition("/")[0]
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                for name, data in ((at, content), (at + SIDE, None if side is None else side.encode())):
+                    if data is not None:
+                        with fs.open_output_stream(name) as stream:
+                            stream.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("path", F.col("content").cast("binary"), "ocr_text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

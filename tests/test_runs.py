@@ -29,6 +29,7 @@ RULES = [
 
 
 def sample(folder, **parts):
+    """Writes the sample and answers with a configuration of it."""
     (folder / "root").mkdir()
     entries = []
     for i, kind, path, data in ITEMS:
@@ -36,6 +37,10 @@ def sample(folder, **parts):
         entries.append({"source_id": i, "content_type": kind, "content_hash": hashlib.sha256(data).hexdigest(), "path": path, "author": "a"})
     (folder / "root" / "scan_001.png.ocr.txt").write_text("Holder GOVID-AB123456 passport")
     (folder / "frozen.json").write_text(json.dumps(entries))
+    return sample_of(folder, **parts)
+
+
+def sample_of(folder, **parts):
     return {
         "config_version": "t-1", "seed": 7, "source": {"backend": "sample", "root": str(folder / "root"), "manifest": str(folder / "frozen.json")},
         "inference": {"provider": "mock", "mock_hints": {"financial": "salary", "government_id": "passport"}},
@@ -135,6 +140,22 @@ def test_batches_resume_and_cancel(spark, tmp_path):
     assert runner.run_single(ctx, "t-1", []).status == "failed" and runner.run_single(ctx, "t-1", ["zz"]).status == "failed"
 
 
+def test_lost_rows_do_not_reconcile(spark, tmp_path, monkeypatch, capsys):
+    """Full and single runs count against what was asked for: a row that is lost on the way shows."""
+    ctx = runner.build(spark, config.from_mapping(sample(tmp_path)))
+    whole = ctx.source.read
+    monkeypatch.setattr(ctx.source, "read", lambda entries, side=True: whole(entries, side).where("source_id <> 'note_002'"))
+    full = runner.run(ctx).reconcile
+    assert full == {"input_count": 5, "flagged": 3, "not_flagged": 0, "unable_to_process": 1, "one_row_per_input": False, "reconciled": False}
+    single = runner.run_single(ctx, "t-1", ["note_001", "note_002"]).reconcile
+    assert (single["input_count"], single["flagged"], single["reconciled"]) == (2, 1, False)
+    monkeypatch.setattr(files.FolderSource, "read", lambda self, entries, side=True: whole(entries, side).where("source_id <> 'note_002'"))
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump(sample_of(tmp_path)))
+    common = ["run", "--config", str(tmp_path / "c.yaml"), "--registry", str(tmp_path / "r"), "--source-id", "note_002"]
+    assert cli.main(common, spark) == 1 and "reconciled=False" in capsys.readouterr().out
+
+
 def job(i, status="queued", **more):
     return {"job_id": i, "status": status, "job_type": "batch", "config_version": "t-1", "payload": "{}", **more}
 

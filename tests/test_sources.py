@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveline import config
 from sieveline.operators import engines
-from sieveline.sources import files, sinks
+from sieveline.sources import files, items, sinks
 from sieveline.streaming import ingest
 
 
@@ -33,6 +33,84 @@ def test_manifest_and_contents(spark, tmp_path):
         files.reader("other")
 
 
+class Logged(items.ItemSource):
+    """Notes each file that is opened."""
+
+    @classmethod
+    def name(cls):
+        return "logged_items"
+
+    def reader(self, schema):
+        class Reader(items.ItemReader):
+            def open(self, fs, path):
+                with open(f"{self.root}/../opened", "a") as f:
+                    f.write(path.rpartition("/")[2] + "\n")
+                return super().open(fs, path)
+
+        self.reader_type = Reader
+        return super().reader(schema)
+
+
+def folder_of(tmp_path, n=12):
+    entries = []
+    (tmp_path / "root").mkdir()
+    for i in range(n):
+        (tmp_path / "root" / f"{i}.txt").write_bytes(bytes([97 + i]) * (1000 * i))
+        entries.append({"source_id": f"s{i:02d}", "content_type": "text/plain", "content_hash": "h", "path": f"{i}.txt", "author": None})
+    (tmp_path / "root" / "3.txt.ocr.txt").write_text("beside")
+    (tmp_path / "m.json").write_text(json.dumps([*entries, {"source_id": "gone", "content_type": "text/plain", "content_hash": "h", "path": "no.txt"}]))
+    return str(tmp_path / "root"), str(tmp_path / "m.json")
+
+
+def test_reads_open_only_what_is_asked(spark, tmp_path, capsys):
+    source = files.FolderSource(spark, *folder_of(tmp_path))
+    source.opener = Logged
+    rows = source.read(source.select(["s03", "gone"]).drop("ordinal"))
+    got = {r["source_id"]: r for r in rows.collect()}
+    assert len(got["s03"]["content"]) == 3000 and got["s03"]["ocr_text"] == "beside" and got["gone"]["content"] is None
+    assert sorted((tmp_path / "opened").read_text().split()) == ["3.txt", "3.txt.ocr.txt"]
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Join" not in plan, "contents are neither shuffled nor joined"
+    everything = source.read(source.entries(), side=False)
+    assert everything.count() == 13 and everything.where("ocr_text is not null").count() == 0
+
+
+def test_plan_by_bytes_and_pieces(spark, tmp_path):
+    source = files.FolderSource(spark, *folder_of(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        rows = source.read(source.entries())
+        assert 5 <= rows.rdd.getNumPartitions() <= 9, "66,000 bytes in parts of about 8,000, some of which get no item"
+        assert sum(len(r["content"] or b"") for r in rows.collect()) == 66_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    pieces = source.pieces(source.entries(), 1024).collect()
+    whole = {}
+    for r in sorted(pieces, key=lambda r: (r["source_id"], r["ordinal"])):
+        assert r["at"] == len(whole.setdefault(r["source_id"], b"")) and len(r["chunk"]) <= 1024
+        whole[r["source_id"]] += r["chunk"]
+    assert {k: len(v) for k, v in whole.items()} == {f"s{i:02d}": 1000 * i for i in range(1, 12)}
+    none = source.entries().where("false")
+    assert source.read(none).count() == 0 and source.pieces(none).count() == 0
+    assert source.read(source.entries().where("source_id = 's05'")).first()["content"] == bytearray(b"f" * 5000)
+
+
+def test_manifests_of_other_forms(spark, tmp_path):
+    source = files.FolderSource(spark, *folder_of(tmp_path))
+    source.entries().write.parquet(str(tmp_path / "m.parquet"))
+    source.entries().coalesce(1).write.json(str(tmp_path / "m.jsonl"))
+    for name in ("m.parquet", "m.jsonl"):
+        assert files.manifest(spark, str(tmp_path / name)).exceptAll(source.entries()).count() == 0
+
+
+def test_items_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("x/a.txt", bytearray(b"one"), None), ("b.png", None, "side"), ("x/y/c", bytearray(b""), "s")], "path string, content binary, ocr_text string")
+    assert sinks.write_items(rows.repartition(3), str(tmp_path / "o")) == 3
+    got = {str(p.relative_to(tmp_path / "o")): p.read_bytes() for p in (tmp_path / "o").rglob("*") if p.is_file()}
+    assert got == {"x/a.txt": b"one", "b.png.ocr.txt": b"side", "x/y/c": b"", "x/y/c.ocr.txt": b"s"}
+
+
 def test_labels_and_artefact(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps({"a": {"dev": [[80, 1], [20.5, 0]], "holdout": []}}))
     assert sorted(tuple(r) for r in files.labels(spark, str(tmp_path / "l.json")).collect()) == [("a", "dev", 20.5, 0), ("a", "dev", 80.0, 1)]
