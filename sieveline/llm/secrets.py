@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import matches
+from ..functions.text import latest, matches, owners
 from .common import let, save, table
 
 MIN_LENGTH = 16
@@ -182,11 +182,19 @@ def _random_spans(text: Column, base: Column, null: tuple[dict[str, float], ...]
         return _none()
     limit = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])
 
-    def accepted(h: Column) -> Column:
-        random = let(statistics(h["m"]), lambda s: F.coalesce(s["letters"] & _uniform(s, uniform) & (_evidence(s, null) >= F.try_element_at(limit, _family(s))), F.lit(False)))
-        return ~F.exists(base, lambda b: (b["s"] < h["e"]) & (h["s"] < b["e"])) & random
+    def random(h: Column) -> Column:
+        return let(statistics(h["m"]), lambda s: F.coalesce(s["letters"] & _uniform(s, uniform) & (_evidence(s, null) >= F.try_element_at(limit, _family(s))), F.lit(False)))
 
-    return F.transform(F.filter(matches(text, TOKEN), accepted), lambda h: F.struct(h["s"].alias("s"), F.lit(3).alias("k"), h["e"].alias("e")))
+    def free(hits: Column) -> Column:
+        """Hits that overlap no base span: of the base spans that begin before a hit ends, none ends behind its start. The
+        last such span is found by a merge of both sorted lists, the greatest end up to it is a running maximum."""
+        ends = latest(F.transform(base, lambda b: b["e"]))
+        last = owners(F.transform(base, lambda b: b["s"]), F.transform(hits, lambda h: h["e"] - 1))
+        both = let(ends, lambda ends: let(last, lambda last: F.filter(hits, lambda h, i: F.coalesce(F.get(ends, F.get(last, i)) <= h["s"], F.lit(True)))))
+        return F.when(F.size(base) == 0, hits).otherwise(both)
+
+    found = let(matches(text, TOKEN), lambda hits: F.filter(free(hits), random))
+    return F.transform(found, lambda h: F.struct(h["s"].alias("s"), F.lit(3).alias("k"), h["e"].alias("e")))
 
 
 def found_spans(text: Column, null: tuple[dict[str, float], ...], limits: dict[int, int], uniform: float = Battery().uniform) -> Column:

@@ -154,3 +154,17 @@ def test_very_long_text(spark):
     start = time.perf_counter()
     found = secrets.scan(df).first()["found"]
     assert [(x["s"], x["k"]) for x in found["base"] if x["k"] == 0] == [(len(text) + 1, 0)] and time.perf_counter() - start < 60
+
+
+def test_many_base_spans_in_one_text(spark):
+    """64,000 hexadecimal strings, a base span each, and other tokens between them: both lists are merged."""
+    import time
+
+    body = " ".join(f"{k:032x}" if k % 2 else f"Zk{k:07d}qXv{k % 977:03d}Lw" for k in range(128_000))
+    df = spark.createDataFrame([(1, body), (2, "deadbeef" * 5)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r["doc_id"]: r["found"] for r in secrets.scan(df).collect()}
+    assert len(got[1]["base"]) == 64_000 and all(x["k"] == 2 for x in got[1]["base"]) and len(got[2]["all"]) == 1
+    assert time.perf_counter() - start < 60
+    spans = sorted((x["s"], x["e"]) for x in got[1]["all"])
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False)), "added spans overlap no base span"
