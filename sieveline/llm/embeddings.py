@@ -1,6 +1,7 @@
 """Operator 9, embedding near-dedup with a pivot-permutation index.
 
-Reference points (pivots) are drawn from the vectors. Each vector is described by the ordered list of its nearest pivots.
+Reference points (pivots) are drawn from the vectors, far apart from one another whatever the vectors' spread. How long
+descriptions must be, and in how many lists vectors must stand, is found on pairs made at the threshold. Each vector is described by the ordered list of its nearest pivots.
 A vector stands in the inverted lists of its first ``listed`` pivots. Two vectors of a list are candidates if their
 descriptions share at least two pivots; candidates are verified by cosine in double precision. A pair that meets in
 several lists counts only in that of its least shared pivot. A list of more than ``block`` vectors is replaced by finer
@@ -14,7 +15,7 @@ Tasks give each class's number of links and edges that join the parts, not the p
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,29 @@ from .components import components
 
 @dataclass(frozen=True)
 class Index:
-    """threshold: least cosine of a link; nearest: pivots in a description; listed: lists that a vector stands in;
-    pivots: least and greatest number of pivots, between which it is the root of the number of vectors (the greatest
-    bounds what a task holds; lists then grow, and split by second pivots); spread: pivots are never closer than this
-    cosine; sample: vectors among which pivots are chosen, for each pivot; block: vectors that are compared at once."""
+    """threshold: least cosine of a link; settings: (pivots in a description, lists that a vector stands in), tried in this
+    order until ``recall`` of made pairs at the threshold are candidates; pivots: least and greatest number of pivots: at
+    least the root of the number of vectors, and so many that a list has half a block on average (the greatest bounds what
+    a task holds; lists then grow, and split by second pivots); sample, sample_bytes: vectors among which pivots are
+    chosen, for each pivot, and the most that they may take on the driver; block: vectors that are compared at once; few:
+    so many vectors are compared without an index."""
 
     threshold: float = 0.9
-    nearest: int = 6
-    listed: int = 3
+    settings: tuple[tuple[int, int], ...] = ((6, 3), (8, 4), (10, 5), (12, 6), (16, 8))
+    recall: float = 0.93
     pivots: tuple[int, int] = (48, 8192)
-    spread: float = 0.6
     sample: int = 4
+    sample_bytes: int = 64 << 20
     block: int = 1024
+    few: int = 48
+
+    @property
+    def nearest(self) -> int:
+        return self.settings[0][0]
+
+    @property
+    def listed(self) -> int:
+        return self.settings[0][1]
 
 
 def _usable(v: Column) -> Column:
@@ -52,22 +64,57 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _choose(candidates: np.ndarray, n: int, spread: float) -> np.ndarray:
-    """Greedily up to n pivots, none closer to a chosen one than ``spread``, so that a dense cluster gets one."""
-    units, chosen = _unit(candidates), []
-    open_ = np.ones(len(units), bool)
-    while open_.any() and len(chosen) < n:
-        k = int(np.argmax(open_))
+def _choose(units: np.ndarray, n: int) -> np.ndarray:
+    """The places of up to n pivots, each the vector that is farthest from those before it. So a dense cluster has one
+    before the others come that near, in data of any spread, and n are found unless there are fewer directions."""
+    units = units.astype(np.float32)
+    chosen, near = [0], units @ units[0]
+    while len(chosen) < min(n, len(units)):
+        k = int(np.argmin(near))
+        if near[k] > 1 - 1e-6:
+            break
         chosen.append(k)
-        open_ &= units @ units[k] < spread
-        open_[k] = False
-    return units[chosen]
-
-
-def _pivots(own: DataFrame, n: int, index: Index) -> np.ndarray:
-    """A bounded sample: the ``sample`` times n vectors with the least hashes."""
-    rows = own.orderBy(F.xxhash64("cid"), "cid").limit(n * index.sample).select("v").collect()
-    return _choose(np.array([r["v"] for r in rows], dtype=np.float64), n, index.spread)
+        np.maximum(near, units @ units[k], out=near)
+    return np.array(chosen)
+
+
+def _recall(units: np.ndarray, pivots: np.ndarray, nearest: int, listed: int, threshold: float) -> float:
+    """The part of pairs at the threshold that are candidates: each of half the units with a vector in the direction of
+    one of the other half."""
+    half = min(len(units) // 2, 1000)
+    x, z = units[:half], units[half : 2 * half]
+    away = z - (z * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    x, away = x[size[:, 0] > 1e-9], (away / np.maximum(size, 1e-9))[size[:, 0] > 1e-9]
+    y = threshold * x + np.sqrt(max(1 - threshold**2, 0.0)) * away
+    a, b = _described(x, pivots, nearest), _described(y, pivots, nearest)
+    both = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2)) >= 2
+    meet = (a[:, :listed, None] == b[:, None, :listed]).any(axis=(1, 2))
+    return float((both & meet).mean()) if len(x) else 1.0
+
+
+def asked_pivots(total: int, index: Index) -> int:
+    return max(min(max(int(total**0.5), 2 * total * index.listed // index.block, index.pivots[0]), index.pivots[1], total // 2), 1)
+
+
+def fit(classes: DataFrame, total: int, dim: int, index: Index) -> tuple[np.ndarray, Index]:
+    """Pivots, and the index with the first setting that reaches its recall on them. If none does, there are half as many
+    pivots, as descriptions then agree more often, and so on. Fitted on a bounded sample: the vectors with the least
+    hashes, ``sample`` for a pivot and no more than ``sample_bytes``."""
+    n = asked_pivots(total, index)
+    size = max(min(n * index.sample, index.sample_bytes // (8 * dim)), 2)
+    rows = classes.orderBy(F.xxhash64("cid"), "cid").limit(size).select("v").collect()
+    units = _unit(np.array([r["v"] for r in rows], dtype=np.float64))
+    mixed = units[np.random.default_rng(7).permutation(len(units))]
+    order = _choose(units, n)
+    while True:
+        pivots = units[order]
+        for k, setting in enumerate(index.settings):
+            if _recall(mixed, pivots, *setting, index.threshold) >= index.recall:
+                return pivots, replace(index, settings=index.settings[k:])
+        if len(order) <= 2 * index.settings[-1][0]:
+            return pivots, replace(index, settings=index.settings[-1:])
+        order = order[: len(order) // 2]
 
 
 def _rows(column: pa.Array, dim: int) -> np.ndarray:
@@ -240,7 +287,7 @@ def _blocks(dim: int, index: Index):
 
 
 def _whole(index: Index):
-    """applyInArrow over all vectors (cid, n, v) of one length, where these are no more than a block."""
+    """applyInArrow over all vectors (cid, n, v) of one length, where these are only a few."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -253,13 +300,15 @@ def _whole(index: Index):
     return run
 
 
-def _links(classes: DataFrame, total: int, dim: int, index: Index, scratch: Scratch) -> DataFrame:
-    """(cid, links, root) of the classes (cid, n, v), all of one length, that have a link to another class."""
+def _links(classes: DataFrame, total: int, dim: int, index: Index, scratch: Scratch, sent: list) -> DataFrame:
+    """(cid, links, root) of the classes (cid, n, v), all of one length, that have a link to another class. What tasks are
+    sent is added to ``sent``."""
     context = classes.sparkSession.sparkContext
-    chosen = _pivots(classes, min(max(int(total**0.5), index.pivots[0]), index.pivots[1]), index)
+    chosen, index = fit(classes, total, dim, index)
     pivots = context.broadcast(chosen)
     sizes = classes.select("v").mapInArrow(_heads(pivots, dim, index), "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
     long_lists = context.broadcast([r["p"] for r in sizes.where(F.col("n") > index.block).select("p").collect()])  # pivots at most
+    sent += [pivots, long_lists]
     listed = classes.select("cid", "n", "v").mapInArrow(_listed(pivots, long_lists, dim, index), f"key long, cid long, n long, near array<int>, v {classes.schema['v'].dataType.simpleString()}")
     short, found = listed, None
     if long_lists.value:
@@ -306,11 +355,13 @@ def near_copies(vectors: DataFrame, index: Index = Index()) -> DataFrame:
     classes = scratch.save(classes, "embedding-classes")
     one = _representatives(fine, classes, scratch)
     lengths = scratch.save(classes.groupBy("dim").agg(F.count("*").alias("size")), "embedding-lengths")
-    rare = lengths.where(F.col("size") <= index.block).select("dim")
+    rare, sent = lengths.where(F.col("size") <= index.few).select("dim"), []
     found = join_small(one.withColumn("dim", F.size("v")), rare, ["dim"], "left_semi").groupBy("dim").applyInArrow(_whole(index), FOUND)
-    for r in lengths.where(F.col("size") > index.block).collect():  # usually there is one length
-        found = found.unionAll(_links(one.where(F.size("v") == r["dim"]), r["size"], r["dim"], index, scratch))
+    for r in lengths.where(F.col("size") > index.few).collect():  # usually there is one length
+        found = found.unionAll(_links(one.where(F.size("v") == r["dim"]), r["size"], r["dim"], index, scratch, sent))
     found = scratch.save(found, "embedding-found")
+    for x in sent:
+        x.destroy()
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     told = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
