@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .profile import CONFIG_VERSION, HINTS, RULES, SEED, TAXONOMY
-from .queries import DENSE, EXAMPLES, PIECE, PUBLIC_KEY, SEMANTIC
+from .queries import CUTS, DENSE, EXAMPLES, PARTS, PIECE, PUBLIC_KEY, SEMANTIC, SILENCE_HOURS, SLICES
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -162,6 +162,20 @@ SELECT page_id, mid::BIGINT AS char_start, CASE WHEN mid < lo + length(line) THE
     "run_findings": FOUND + f"""SELECT source_id, finding_id, category, CASE score_type WHEN 'model_score' THEN 'model_flag' ELSE category || '_ref' END AS reason_code, score_type, band, CASE score_type WHEN 'model_score' THEN NULL ELSE split_part(label, ':', 2) END AS rule_id,
   score, cal AS calibration_status, NULL::VARCHAR AS threshold_version, CASE score_type WHEN 'model_score' THEN 'mock-0' ELSE 'detect-regex-0.1' END AS detector,
   CASE score_type WHEN 'model_score' THEN 'model score 90 >= flag threshold' ELSE 'rule ' || split_part(label, ':', 2) || ' matched' END AS reason, {EVIDENCE} AS evidence FROM fnd""",
+    "job_progress_stream": f"""
+WITH c AS (SELECT user_id AS j, event_id % {SLICES} AS s, event_id % {SLICES} % 4 + 1 AS n, epoch_us(ts) // 1000 AS ms, CASE WHEN day(ts) < {CUTS[0]} THEN 0 WHEN day(ts) < {CUTS[1]} THEN 1 ELSE 2 END AS p FROM events),
+f AS (SELECT j, s, n, min(p) AS p FROM c GROUP BY j, s, n),
+g AS (SELECT j, p, max(ms) AS ms FROM c GROUP BY j, p),
+t AS (SELECT g.j, g.p, g.ms, count(f.s) AS slices, coalesce(sum(f.n), 0) AS items, count(f.s) FILTER (f.p = g.p) AS fresh, lead(g.p, 1, 3) OVER (PARTITION BY g.j ORDER BY g.p) AS nxt FROM g LEFT JOIN f ON f.j = g.j AND f.p <= g.p GROUP BY g.j, g.p, g.ms),
+w AS (SELECT p, max(ms) OVER (ORDER BY p) AS mark FROM (SELECT p, max(ms) AS ms FROM c GROUP BY p))
+SELECT j AS job_id, 'progress' AS kind, ms AS at_ms, slices::BIGINT AS slices, items::BIGINT AS items FROM t WHERE fresh > 0
+UNION ALL SELECT j, 'stalled', ms + {SILENCE_HOURS * 3_600_000}, slices::BIGINT, items::BIGINT FROM t JOIN w ON w.p = t.nxt - 1 WHERE ms + {SILENCE_HOURS * 3_600_000} <= mark""",
+    "admin_summary_stream": f"""
+WITH e AS (SELECT user_id AS j, event_id AS k, floor(event_id * {PARTS} / (max(event_id) OVER () + 1))::BIGINT AS part FROM events),
+l AS (SELECT b.b, j, max(k) AS k FROM e JOIN range({PARTS}) AS b(b) ON part <= b.b GROUP BY b.b, j),
+s AS (SELECT b, coalesce(sum(k % 3) FILTER (k % 5 >= 2), 0) AS flagged, coalesce(sum(k % 7) FILTER (k % 5 >= 2), 0) AS not_flagged, coalesce(sum(k % 2) FILTER (k % 5 >= 2), 0) AS unable, coalesce(sum(k % 11) FILTER (k % 5 < 2), 0) AS in_progress, count(*) AS jobs_total FROM l GROUP BY b)
+SELECT b AS batch, 10000::BIGINT AS authorised, (flagged + not_flagged + unable)::BIGINT AS processed, flagged::BIGINT AS flagged, not_flagged::BIGINT AS not_flagged, unable::BIGINT AS unable, in_progress::BIGINT AS in_progress,
+  greatest(0, 10000 - flagged - not_flagged - unable - in_progress)::BIGINT AS remaining, least(100.0::DOUBLE, round_even((flagged + not_flagged + unable) * 100.0::DOUBLE / 10000, 1)) AS percent, jobs_total FROM s""",
     "run_folder": FOUND + "SELECT sm.*, 'sample:documents' AS snapshot_id, itm.content_hash, 'bench-0' AS config_version, true AS reconciled FROM sm JOIN itm USING (source_id)",
     "item_pieces": ITEMS + f""", b AS (SELECT source_id, hex(content) AS h FROM items WHERE author = 'analyst-3' AND content IS NOT NULL),
 p AS (SELECT source_id, h, unnest(range((length(h) // 2 + {PIECE - 1}) // {PIECE})) AS ordinal FROM b)

@@ -408,13 +408,70 @@ def stream_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_available_now(spark, f"{sf_dir}/documents.parquet")
 
 
+def _fed(spark: SparkSession, pieces: list[DataFrame], folder: str, start) -> None:
+    """Appends pieces to a folder, one after another; after each, a stream runs to the end of what has come."""
+    for piece in pieces:
+        piece.write.mode("append").parquet(folder)
+        start().awaitTermination()
+
+
+#: Days of the month at which the commits below are cut, silence after which a job is stalled, and its slices.
+CUTS, SILENCE_HOURS, SLICES = (11, 21), 12, 20
+
+
+def job_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of jobs by a stateful stream in three runs over one checkpoint: an event is a commit of one of its user's 20
+    slices; repeats of a slice, of which there are many, add nothing; silent jobs are stalled."""
+    from ..streaming import progress
+
+    e = profile.table(spark, sf_dir, "events")
+    commits = e.select(F.col("user_id").alias("job_id"), (F.col("event_id") % SLICES).alias("slice"), (F.col("event_id") % SLICES % 4 + 1).alias("items"), "ts")
+    day = F.dayofmonth("ts")
+    pieces = [commits.where(day < CUTS[0]), commits.where((day >= CUTS[0]) & (day < CUTS[1])), commits.where(day >= CUTS[1])]
+    base = new_path(spark, "progress")
+    before = spark.conf.get(progress.STORE[0])
+    spark.conf.set(*progress.STORE)
+    try:
+        def start():
+            stream = progress.progress(spark.readStream.schema(progress.COMMIT).parquet(f"{base}/in"), SILENCE_HOURS * 3_600_000)
+            return stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+        _fed(spark, pieces, f"{base}/in", start)
+    finally:
+        spark.conf.set(progress.STORE[0], before)
+    rows = spark.read.schema(progress.PROGRESS).parquet(f"{base}/out")
+    return rows.select("job_id", "kind", F.unix_millis("at").alias("at_ms"), "slices", "items")
+
+
+#: Parts in which job events come below.
+PARTS = 4
+
+
+def admin_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The admin's summary after each of four batches of job events: an event puts its user's job in a state."""
+    from ..streaming import progress
+
+    e, k = profile.table(spark, sf_dir, "events"), F.col("event_id")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("queued", "running", "completed", "failed", "cancelled")]), (k % 5 + 1).cast("int"))
+    counts = {"flagged": k % 3, "not_flagged": k % 7, "unable": k % 2, "progress": k % 11}
+    rows = e.select(F.col("user_id").alias("job_id"), k.alias("seq"), status.alias("status"), *[v.alias(c) for c, v in counts.items()])
+    base, last = new_path(spark, "admin"), e.agg(F.max("event_id")).first()[0] or 0
+    pieces = [rows.where(F.floor(F.col("seq") * PARTS / (last + 1)) == n) for n in range(PARTS)]
+
+    def start():
+        return progress.admin_summary(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), 10_000, f"{base}/out", f"{base}/checkpoint")
+
+    _fed(spark, pieces, f"{base}/in", start)
+    return progress.summaries(spark, f"{base}/out")
+
+
 NAMES = (
     "manifest_scan", "ingest_status", "extract_decode", "line_spans", "ocr_gate", "regex_hits", "regex_hits_by_rule", "mock_model_scores", "banding",
     "calibration_apply", "calibration_ece", "calibration_fit_sigmoid", "calibration_fit_isotonic", "cosine_best", "semantic_route", "routed_model_calls",
     "findings_union", "strongest_finding", "reason_summary", "item_summary", "reconcile", "stage_events", "run_id", "final_status", "resume_remaining",
     "resume_merge", "retry_selection", "migration_summary", "jobs_by_status", "job_latest_state", "queue_head", "job_list_page", "results_workbook",
     "status_filter", "manifest_page", "mask_identifiers", "mask_identifiers_udf", "redact", "ner_mapping", "location_resolution", "category_band_rollup",
-    "stream_available_now", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
+    "stream_available_now", "job_progress_stream", "admin_summary_stream", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
 )
 
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -3,7 +3,10 @@ slices of its selection, each of them appended to the run's folder, so that an i
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -17,6 +20,7 @@ from ..operators import items as ops
 from ..schema import FINDINGS, MANIFEST, NER_RESULT, SPANS, struct
 from ..sources import files, sinks
 from ..sources.shared import exists, names, remove
+from ..streaming import live
 from . import jobs
 
 #: What a run keeps of an item: no text, no content.
@@ -217,8 +221,13 @@ def run(ctx: Context) -> Result:
     return Result(f"run-{run_id}", "batch", "completed", run_id, ctx.cfg.config_version, counts, folder, started, _now())
 
 
+#: Slices of a single run whose events are followed.
+LIVE_SLICES = 8
+
+
 def run_single(ctx: Context, config_version: str, source_ids: list[str] | None, on_event: Callable[[dict], None] | None = None) -> Result:
-    """A small explicit selection, in a folder of its own. ``on_event`` gets the stage events, item by item."""
+    """A small explicit selection, in a folder of its own. ``on_event`` gets the stage events while the run goes on: the
+    selection is analysed in up to LIVE_SLICES slices, and a stream over what they have written hands the events on."""
     started = _now()
     if wrong := _guard(ctx.cfg, config_version):
         return failed("single", config_version, wrong, started)
@@ -230,22 +239,60 @@ def run_single(ctx: Context, config_version: str, source_ids: list[str] | None,
         return failed("single", config_version, str(e), started)
     run_id = _identity(ctx, selected)
     folder = sinks.run_folder(ctx.cfg.output.result_dir, "single", run_id)
-    analyse(ctx, ctx.source.read(selected, ctx.ocr is None)).write.mode("overwrite").parquet(f"{folder}/items/all")
-    items = _items(ctx.spark, folder)
-    if on_event is not None:  # a few ids of a request
-        for r in ops.events(items, ctx.cfg.extract.engine).orderBy("source_id", "ordinal").toLocalIterator():
-            on_event({"source_id": r["source_id"], "stage": r["stage"], "outcome": r["outcome"], "exception_code": r["exception_code"]})
-    counts = _write(ctx, items, run_id, folder, selected)
+    remove(ctx.spark, f"{folder}/items")
+    slices = 1 if on_event is None else min(LIVE_SLICES, len(set(source_ids)))
+    with live.events(ctx.spark, f"{folder}/items", struct(ITEMS), ctx.cfg.extract.engine, on_event) if on_event is not None else nullcontext():
+        for k in range(slices):
+            analyse(ctx, ctx.source.read(_sliced(selected, k, slices), ctx.ocr is None)).write.parquet(f"{folder}/items/slice-{k:08d}")
+    counts = _write(ctx, _items(ctx.spark, folder), run_id, folder, selected)
     return Result(f"single-{run_id}", "single", "completed", run_id, ctx.cfg.config_version, counts, folder, started, _now())
 
 
+#: Seconds between two looks at whether a run is to be cancelled.
+POLL = 0.5
+
+
+def unless_cancelled(spark: SparkSession, action: Callable[[], None], should_cancel: Callable[[], bool] | None, poll: float = POLL) -> bool:
+    """Runs an action whose Spark jobs carry a tag of its own. While they run, another thread asks ``should_cancel``; once it
+    says so, the jobs of the tag are cancelled, so that a slice ends within seconds, however large. False: cancelled."""
+    if should_cancel is None:
+        action()
+        return True
+    context, tag, over, asked = spark.sparkContext, f"sieveline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        while not over.wait(poll):
+            if asked.is_set() or should_cancel():
+                asked.set()
+                context.cancelJobsWithTag(tag)  # again, as the action may have started a further job
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
+    try:
+        action()
+        return True
+    except Exception:
+        if not asked.is_set():
+            raise
+        return False
+    finally:
+        over.set()
+        watcher.join()
+        context.removeJobTag(tag)
+
+
+def _sliced(rows: DataFrame, k: int, slices: int) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("source_id"), F.lit(slices)) == k)
+
+
 def run_batch(
     ctx: Context, config_version: str, source_ids: list[str] | None = None, batch_size: int = 500, resume: bool = False,
     on_progress: Callable[[int], None] | None = None, should_cancel: Callable[[], bool] | None = None,
 ) -> Result:
     """A selection in slices of about ``batch_size`` items, dealt by a hash of the id. Each slice is one Spark job over all
     executors and, once written, a checkpoint; give large slices on a cluster. ``should_cancel`` is asked between
-    slices; a cancelled run reconciles over what it has processed. ``resume`` keeps the items that an earlier run of the
+    slices and while one runs, which then ends and leaves nothing; a cancelled run reconciles over what it has processed. ``resume`` keeps the items that an earlier run of the
     same selection and configuration has written."""
     started = _now()
     if wrong := _guard(ctx.cfg, config_version):
@@ -268,9 +315,12 @@ def run_batch(
         if should_cancel is not None and should_cancel():
             cancelled = True
             break
-        part = fixed.where(F.pmod(F.xxhash64("source_id"), F.lit(slices)) == k)
-        path = f"{folder}/items/slice-{start + k:08d}"
-        analyse(ctx, ctx.source.read(part, ctx.ocr is None)).write.mode("overwrite").parquet(path)
+        part, path = _sliced(fixed, k, slices), f"{folder}/items/slice-{start + k:08d}"
+        write = lambda part=part, path=path: analyse(ctx, ctx.source.read(part, ctx.ocr is None)).write.mode("overwrite").parquet(path)
+        if not unless_cancelled(ctx.spark, write, should_cancel):
+            remove(ctx.spark, path)  # a slice is whole or absent
+            cancelled = True
+            break
         if on_progress is not None:
             on_progress(ctx.spark.read.schema(struct(ITEMS)).parquet(path).count())
     remove(ctx.spark, f"{folder}/todo")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import queue
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -116,7 +117,7 @@ class JobService:
         return self.submit(Request("batch", result.config_version, tuple(ids))) if ids else None
 
     def run_interactive(self, request: Request) -> Iterator[dict]:
-        """Runs a small selection and yields its stage events, its rows and its result; a job of the same selection and
+        """Runs a small selection and yields its stage events as they come, then its rows and its result; a job of the same selection and
         configuration is replaced, so that its id stays."""
         total, wrong = self._resolve(request)
         if wrong or not total:
@@ -126,14 +127,25 @@ class JobService:
         ids = list(request.source_ids) if request.source_ids is not None else [r["source_id"] for r in ctx.source.entries().select("source_id").collect()]
         job_id = f"single-{runner._identity(ctx, runner._selected(ctx, ids))}"
         job = self.registry.upsert({**self._job(request, "running", job_id), "progress_total": total})
-        events: list[dict] = []
-        try:
-            result = runner.run_single(ctx, request.config_version, ids, events.append)
-        except Exception as e:
-            self.registry.update({**job, "status": "failed", "exception": str(e)[:500]})
-            yield {"event": "error", "message": str(e)[:500]}
+        told: queue.Queue = queue.Queue()
+        held: dict = {}
+
+        def work() -> None:
+            try:
+                held["result"] = runner.run_single(ctx, request.config_version, ids, told.put)
+            except Exception as e:
+                held["error"] = str(e)[:500]
+            finally:
+                told.put(None)  # the end, whatever happened
+
+        threading.Thread(target=work, daemon=True).start()
+        while (event := told.get()) is not None:
+            yield {"event": "stage", **event}
+        if "error" in held:
+            self.registry.update({**job, "status": "failed", "exception": held["error"]})
+            yield {"event": "error", "message": held["error"]}
             return
-        yield from ({"event": "stage", **e} for e in events)
+        result = held["result"]
         for r in result.rows(self.spark)["item_summary"].orderBy("source_id").toLocalIterator():
             yield {"event": "item", "row": r.asDict()}
         self.registry.update(self.apply_result(job, result))

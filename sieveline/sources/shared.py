@@ -43,6 +43,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(at).isDirectory()
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Makes a folder, and those above it, unless there is one."""
+    fs, at = _at(spark, path)
+    fs.mkdirs(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder by the file system of its scheme."""
     fs, at = _at(spark, path)
