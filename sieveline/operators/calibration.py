@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -48,29 +48,76 @@ def fit_sigmoid(grouped: DataFrame) -> DataFrame:
     return spark.createDataFrame([(c, -w0, -w1) for c, (w0, w1) in w.items()], "category string, a double, b double")
 
 
-def pooled(scores: list[float], n: list[int], pos: list[int]) -> list[float]:
-    """Pooled adjacent violators of sorted distinct scores with their numbers of labels and of positive ones."""
-    blocks: list[list[float]] = []  # mean, weight, number of knots
+def pooled(n: list[int], pos: list[int]) -> list[tuple[int, int, int]]:
+    """Pooled adjacent violators of blocks in the order of scores, each with its number of labels and of positive ones:
+    (blocks pooled, labels, positives) of what is left. In whole numbers, so that pooling in parts gives the same."""
+    out: list[tuple[int, int, int]] = []
     for size, ones in zip(n, pos, strict=True):
-        blocks.append([ones / size, float(size), 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            m2, w2, k2 = blocks.pop()
-            m1, w1, k1 = blocks.pop()
-            blocks.append([(m1 * w1 + m2 * w2) / (w1 + w2), w1 + w2, k1 + k2])
-    return [m for m, _, k in blocks for _ in range(int(k))]
+        k = 1
+        while out and out[-1][2] * size >= ones * out[-1][1]:
+            more, before, positive = out.pop()
+            k, size, ones = k + more, size + before, ones + positive
+        out.append((k, size, ones))
+    return out
+
+
+#: Blocks that a task pools at once.
+BLOCKS = 10_000
+
+BLOCK = "category string, score double, last double, knots long, n long, pos long"
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Blocks with ``at``, their place in the order of categories and scores: by ranges, whose sizes alone come to the driver."""
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, "blocks")
+    rows.repartitionByRange("category", "score").sortWithinPartitions("category", "score").withColumns({"part": F.spark_partition_id(), "i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    rows = spark.read.schema(f"{BLOCK}, part int, i long").parquet(path)
+    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    first, before = {}, 0
+    for part in sorted(sizes):
+        first[part], before = before, before + sizes[part]
+    starts = F.broadcast(spark.createDataFrame(list(first.items()) or [(0, 0)], "part int, first long"))  # a row a range
+    return rows.join(starts, "part").select(*[c.split(" ")[0] for c in BLOCK.split(", ")], (F.col("first") + F.col("i")).alias("at"))
+
+
+def _pool(pdf):
+    import pandas as pd
+
+    pdf, out = pdf.sort_values("at"), []
+    for category, own in pdf.groupby("category", sort=False, dropna=False):
+        score, last, knots, at = own["score"].tolist(), own["last"].tolist(), own["knots"].tolist(), 0
+        for k, n, pos in pooled(own["n"].tolist(), own["pos"].tolist()):
+            out.append((category, score[at], last[at + k - 1], sum(knots[at : at + k]), n, pos))
+            at += k
+    return pd.DataFrame(out, columns=["category", "score", "last", "knots", "n", "pos"])
+
+
+def isotonic_blocks(grouped: DataFrame, size: int = BLOCKS) -> DataFrame:
+    """(category, score, n, pos) -> BLOCK rows: the pools of scores that share a value, pos / n, in each category.
+
+    Runs of up to ``size`` blocks are pooled by many tasks; pooled blocks are blocks again, so a run's result stands for it.
+    While neighbouring runs violate the order, runs are cut anew, half a run further on; every such round pools at least
+    one pair. No task holds more than a run, however many scores a category has."""
+    rows = _ranked(grouped.select("category", "score", F.col("score").alias("last"), F.lit(1).cast("long").alias("knots"), "n", "pos"))
+    shift = 0
+    while True:
+        run = F.floor((F.col("at") + shift) / F.lit(size))
+        rows = _ranked(rows.groupBy(run.alias("run")).applyInPandas(_pool, BLOCK))
+        other = rows.select((F.col("at") - 1).alias("at"), F.col("category").alias("c"), F.col("n").alias("m"), F.col("pos").alias("q"))
+        wrong = rows.join(other, "at").where((F.col("category") == F.col("c")) & (F.col("pos") * F.col("m") >= F.col("q") * F.col("n")))
+        if not wrong.limit(1).count():
+            return rows.drop("at")
+        shift = 0 if shift else size // 2
 
 
 def fit_isotonic(grouped: DataFrame) -> DataFrame:
-    """(category, score, n, pos) -> (category, x, y): the knots are the distinct scores. A category is fitted by one task,
-    which holds a row a distinct score, however many labels there are."""
-    def one(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("score")
-        y = pooled(pdf["score"].tolist(), pdf["n"].tolist(), pdf["pos"].tolist())
-        return pd.DataFrame([{"category": pdf["category"].iloc[0], "x": (pdf["score"] / 100.0).tolist(), "y": y}])
-
-    return grouped.groupBy("category").applyInPandas(one, "category string, x array<double>, y array<double>")
+    """(category, score, n, pos) -> (category, x, y): the knots are the distinct scores, as an artefact holds them, in one
+    row a category; :func:`isotonic_blocks` is the same without that row."""
+    starts = isotonic_blocks(grouped).select("category", "score", (F.col("pos") / F.col("n")).alias("y"))
+    so_far = Window.partitionBy("category").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    knots = grouped.select("category", "score").join(starts, ["category", "score"], "left").withColumn("y", F.last("y", ignorenulls=True).over(so_far))
+    rows = knots.groupBy("category").agg(F.array_sort(F.collect_list(F.struct((F.col("score") / 100.0).alias("x"), "y"))).alias("k"))
+    return rows.select("category", F.transform("k", lambda k: k["x"]).alias("x"), F.transform("k", lambda k: k["y"]).alias("y"))
 
 
 def fit(labels: DataFrame, method: str = "sigmoid", min_positives: int = 100, max_error: float = 5.0) -> DataFrame:

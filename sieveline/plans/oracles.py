@@ -176,6 +176,18 @@ l AS (SELECT b.b, j, max(k) AS k FROM e JOIN range({PARTS}) AS b(b) ON part <= b
 s AS (SELECT b, coalesce(sum(k % 3) FILTER (k % 5 >= 2), 0) AS flagged, coalesce(sum(k % 7) FILTER (k % 5 >= 2), 0) AS not_flagged, coalesce(sum(k % 2) FILTER (k % 5 >= 2), 0) AS unable, coalesce(sum(k % 11) FILTER (k % 5 < 2), 0) AS in_progress, count(*) AS jobs_total FROM l GROUP BY b)
 SELECT b AS batch, 10000::BIGINT AS authorised, (flagged + not_flagged + unable)::BIGINT AS processed, flagged::BIGINT AS flagged, not_flagged::BIGINT AS not_flagged, unable::BIGINT AS unable, in_progress::BIGINT AS in_progress,
   greatest(0, 10000 - flagged - not_flagged - unable - in_progress)::BIGINT AS remaining, least(100.0::DOUBLE, round_even((flagged + not_flagged + unable) * 100.0::DOUBLE / 10000, 1)) AS percent, jobs_total FROM s""",
+    "manifest_tree": ITEMS + """,
+e AS (SELECT sha256(source_id) AS k, sha256(sha256(source_id) || coalesce('=' || content_hash, 'null')) AS d FROM items),
+n2 AS (SELECT k[1:2] AS prefix, count(*) AS entries, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM e GROUP BY 1),
+n1 AS (SELECT prefix[1:1] AS prefix, sum(entries) AS entries, sha256(string_agg(prefix || ':' || digest, '' ORDER BY prefix)) AS digest FROM n2 GROUP BY prefix[1:1]),
+n0 AS (SELECT '' AS prefix, sum(entries) AS entries, sha256(string_agg(prefix || ':' || digest, '' ORDER BY prefix)) AS digest FROM n1)
+SELECT 2::INTEGER AS level, prefix, entries::BIGINT AS entries, digest FROM n2 UNION ALL SELECT 1, prefix, entries::BIGINT, digest FROM n1 UNION ALL SELECT 0, prefix, entries::BIGINT, digest FROM n0""",
+    "manifest_changes": ITEMS + """,
+b AS (SELECT source_id, content_hash AS before_hash FROM items WHERE doc_id % 97 <> 11),
+a AS (SELECT source_id, CASE WHEN doc_id % 97 = 23 THEN sha256(content_hash) ELSE content_hash END AS after_hash FROM items WHERE doc_id % 97 <> 5)
+SELECT source_id, CASE WHEN before_hash IS NULL THEN 'added' WHEN after_hash IS NULL THEN 'removed' ELSE 'changed' END AS change, before_hash, after_hash
+FROM b FULL JOIN a USING (source_id) WHERE before_hash IS DISTINCT FROM after_hash""",
+    "results_by_run": FOUND + "SELECT 'run-2' AS run_id, source_id, flag_status, strongest_band, n_findings, sensitivity_categories FROM sm WHERE flag_status = 'flagged'",
     "run_folder": FOUND + "SELECT sm.*, 'sample:documents' AS snapshot_id, itm.content_hash, 'bench-0' AS config_version, true AS reconciled FROM sm JOIN itm USING (source_id)",
     "item_pieces": ITEMS + f""", b AS (SELECT source_id, hex(content) AS h FROM items WHERE author = 'analyst-3' AND content IS NOT NULL),
 p AS (SELECT source_id, h, unnest(range((length(h) // 2 + {PIECE - 1}) // {PIECE})) AS ordinal FROM b)

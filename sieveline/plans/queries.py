@@ -14,7 +14,7 @@ from ..operators import items as ops
 from ..schema import JOB_EVENT, MANIFEST, struct
 from ..sources import files, sinks
 from ..sources.shared import new_path
-from . import jobs, profile, registry, runner
+from . import jobs, profile, registry, runner, snapshots
 
 #: The OCR gate of the query that exercises the density branch.
 DENSE = OcrGate(min_text_density=0.83)
@@ -465,13 +465,40 @@ def admin_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.summaries(spark, f"{base}/out")
 
 
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.entries(spark, sf_dir).select("source_id", "content_hash", (F.col("doc_id") % 97).alias("k"))
+
+
+def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle tree of the manifest, two levels deep."""
+    return snapshots.tree(_hashes(spark, sf_dir), 2).select("level", "prefix", F.col("entries").cast("long").alias("entries"), "digest")
+
+
+def manifest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that were added, removed or changed between two snapshots, by their saved trees."""
+    rows, base = _hashes(spark, sf_dir), new_path(spark, "snapshots")
+    before = rows.where("k <> 11").select("source_id", "content_hash")
+    after = rows.where("k <> 5").select("source_id", F.when(F.col("k") == 23, F.sha2(F.col("content_hash").cast("binary"), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
+    levels = snapshots.levels_for(max(before.count(), after.count()))
+    trees = [snapshots.save_tree(spark, snapshots.tree(m, levels), f"{base}/{n}") for n, m in (("before", before), ("after", after))]
+    return snapshots.changes(before, after, tuple(trees))
+
+
+def results_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two runs in one table, a partition a run; the second is written twice, as after a repeat, and read back."""
+    rows, base = profile.summary(spark, sf_dir), new_path(spark, "history")
+    for run, kept in (("run-1", rows), ("run-2", rows.where("flag_status <> 'unable_to_process'")), ("run-2", rows.where("flag_status = 'flagged'"))):
+        sinks.keep(kept, base, run)
+    return files.kept(spark, base, "run-2").select("run_id", "source_id", "flag_status", "strongest_band", "n_findings", F.array_join("sensitivity_categories", ",").alias("sensitivity_categories"))
+
+
 NAMES = (
     "manifest_scan", "ingest_status", "extract_decode", "line_spans", "ocr_gate", "regex_hits", "regex_hits_by_rule", "mock_model_scores", "banding",
     "calibration_apply", "calibration_ece", "calibration_fit_sigmoid", "calibration_fit_isotonic", "cosine_best", "semantic_route", "routed_model_calls",
     "findings_union", "strongest_finding", "reason_summary", "item_summary", "reconcile", "stage_events", "run_id", "final_status", "resume_remaining",
     "resume_merge", "retry_selection", "migration_summary", "jobs_by_status", "job_latest_state", "queue_head", "job_list_page", "results_workbook",
     "status_filter", "manifest_page", "mask_identifiers", "mask_identifiers_udf", "redact", "ner_mapping", "location_resolution", "category_band_rollup",
-    "stream_available_now", "job_progress_stream", "admin_summary_stream", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
+    "stream_available_now", "job_progress_stream", "admin_summary_stream", "manifest_tree", "manifest_changes", "results_by_run", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
 )
 
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -181,11 +181,17 @@ def failed(job_type: str, config_version: str, message: str, started: str) -> Re
     return Result(f"{job_type}-invalid", job_type, "failed", "", config_version, dict(EMPTY), None, started, _now(), message)
 
 
+def history(cfg: Config) -> str:
+    """The table that holds the summary rows of all runs, a partition a run (:func:`files.kept` reads it)."""
+    return f"{cfg.output.result_dir.rstrip('/')}/history"
+
+
 def _write(ctx: Context, items: DataFrame, run_id: str, folder: str, expected: DataFrame | None = None) -> dict:
     """Results and ledger of the items (a saved table), and their counts: against the selection that was ``expected``, or,
     where a batch may have been cancelled, of what was processed."""
     form, rows = ctx.cfg.output.format, summary(ctx, items, run_id)
     sinks.write(rows, f"{folder}/item_summary", form)
+    sinks.keep(rows, history(ctx.cfg), run_id)
     sinks.write(ops.findings_rows(items), f"{folder}/findings", form, ("source_id", "finding_id"))
     counts = jobs.reconcile(rows, expected)
     sinks.write_ledger(run_id, ctx.cfg.config_version, engine_names(ctx.cfg), counts, ops.events(items, ctx.cfg.extract.engine), jobs.final_status(rows), f"{folder}/ledger")

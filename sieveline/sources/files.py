@@ -65,6 +65,13 @@ def results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name.rpartition("/")[2]: earlier(spark, f"{folder}/{name}", ddl) for name, ddl in parts.items()}
 
 
+def kept(spark: SparkSession, table: str, run_id: str | None = None) -> DataFrame:
+    """The rows that :func:`sinks.keep` put into a table, of all runs or of one, whose partition alone is then listed."""
+    found = spark.read.parquet(table).drop("run_id").schema  # a run's name may look like a number, whose zeros would be lost
+    rows = spark.read.schema(struct(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in found)}, run_id string")).parquet(table)
+    return rows if run_id is None else rows.where(F.col("run_id") == run_id)
+
+
 class UnknownIds(LookupError):
     """Ids of a request that the manifest does not hold."""
 

@@ -26,6 +26,15 @@ def run_folder(result_dir: str, job_type: str, run_id: str) -> str:
     return f"{result_dir.rstrip('/')}/{job_type}-{run_id}"
 
 
+def keep(df: DataFrame, table: str, run_id: str) -> None:
+    """Puts a run's rows into a table that holds all runs, as the partition ``run_id``. A repeat of the run replaces its own
+    partition alone; partitions of other runs are neither read nor written."""
+    if {"text", "content", "ocr_text"} & set(df.columns):
+        raise ValueError("results hold no texts")
+    rows = df.drop("run_id").withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(table)
+
+
 def write_ledger(run_id: str, config_version: str, engines: dict[str, str], reconcile: DataFrame, events: DataFrame, statuses: DataFrame, path: str) -> None:
     """The run's ledger as relations: ``run`` (one row: identity, engines, counts), ``stage_events`` and ``final_status`` in
     the order of ids. No row gathers a run."""

@@ -69,6 +69,8 @@ def test_full_run(spark, tmp_path):
     assert stages[-1] == ("unreadable_001", "pipeline", "failed") and ("scan_001", "ocr_gate", "ocr") in stages and len(stages) == 9
     again = runner.run(ctx)
     assert again.run_id == result.run_id
+    past = files.kept(spark, runner.history(ctx.cfg), result.run_id).collect()
+    assert len(past) == 5 and {r["source_id"]: r["flag_status"] for r in past} == {k: r["flag_status"] for k, r in got.items()}
     written = "".join(p.read_text() for p in (tmp_path / "out").rglob("*.json"))
     assert "ACCT-" not in written and "salary review" not in written, "results hold no contents"
 
