@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .profile import CONFIG_VERSION, HINTS, RULES, SEED, TAXONOMY
-from .queries import CUTS, DENSE, EXAMPLES, PARTS, PIECE, PUBLIC_KEY, SEMANTIC, SILENCE_HOURS, SLICES
+from .queries import CUTS, DENSE, EXAMPLES, GAP_HOURS, LATE_HOURS, PARTS, PIECE, PUBLIC_KEY, SEMANTIC, SILENCE_HOURS, SLICES
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -188,8 +188,21 @@ a AS (SELECT source_id, CASE WHEN doc_id % 97 = 23 THEN sha256(content_hash) ELS
 SELECT source_id, CASE WHEN before_hash IS NULL THEN 'added' WHEN after_hash IS NULL THEN 'removed' ELSE 'changed' END AS change, before_hash, after_hash
 FROM b FULL JOIN a USING (source_id) WHERE before_hash IS DISTINCT FROM after_hash""",
     "results_by_run": FOUND + "SELECT 'run-2' AS run_id, source_id, flag_status, strongest_band, n_findings, sensitivity_categories FROM sm WHERE flag_status = 'flagged'",
+    "settings_in_force": """
+WITH e AS (SELECT event_id, user_id, ts, event_type, (props->>'$.k')::BIGINT AS k FROM events),
+r AS (SELECT user_id, ts, arg_max(k, event_id) AS in_force FROM e WHERE event_type = 'purchase' GROUP BY user_id, ts)
+SELECT e.event_id, e.user_id, e.event_type, r.in_force FROM e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts""",
+    "sessions_stream": f"""
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, floor(value * 100) AS cents, max(epoch_us(ts)) OVER () // 1000 * 1000 AS newest FROM events),
+s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= {GAP_HOURS * 3_600_000_000} THEN 0 ELSE 1 END AS fresh FROM e),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT user_id, min(us)::BIGINT AS began, (max(us) + {GAP_HOURS * 3_600_000_000})::BIGINT AS ended, count(*) AS rows, sum(cents)::BIGINT AS cents
+FROM n GROUP BY user_id, k, newest HAVING max(us) + {GAP_HOURS * 3_600_000_000} <= newest - {LATE_HOURS * 3_600_000_000}""",
+    "run_batch_resumed": FOUND + """, st AS (SELECT source_id, concat_ws(',',
+  CASE WHEN code0 IS NULL THEN 'extract:decode' END, CASE WHEN code0 IS NULL AND code IS NULL THEN 'ocr_gate:' || CASE WHEN used THEN 'ocr' ELSE 'skipped' END END, CASE WHEN code IS NOT NULL THEN 'pipeline:failed' END) AS stages FROM itm)
+SELECT source_id, flag_status, stages, 'cancelled' AS first, 'completed' AS second, true AS whole FROM sm JOIN st USING (source_id)""",
     "run_folder": FOUND + "SELECT sm.*, 'sample:documents' AS snapshot_id, itm.content_hash, 'bench-0' AS config_version, true AS reconciled FROM sm JOIN itm USING (source_id)",
-    "item_pieces": ITEMS + f""", b AS (SELECT source_id, hex(content) AS h FROM items WHERE author = 'analyst-3' AND content IS NOT NULL),
+    "item_pieces": ITEMS + f""", b AS (SELECT source_id, hex(content) AS h FROM items WHERE content IS NOT NULL),
 p AS (SELECT source_id, h, unnest(range((length(h) // 2 + {PIECE - 1}) // {PIECE})) AS ordinal FROM b)
 SELECT source_id, ordinal::BIGINT AS ordinal, (ordinal * {PIECE})::BIGINT AS at, (length(substr(h, ordinal * {2 * PIECE} + 1, {2 * PIECE})) // 2)::BIGINT AS n_bytes, sha256(unhex(substr(h, ordinal * {2 * PIECE} + 1, {2 * PIECE}))) AS chunk_sha256 FROM p""",
     "registry_fold": """WITH e AS (SELECT event_id AS seq, user_id::VARCHAR AS job_id, CASE WHEN event_id % 5 = 0 THEN 'put' WHEN event_id % 5 = 2 THEN 'claim' WHEN event_id % 35 = 3 THEN 'cancel' ELSE 'progress' END AS kind FROM events),

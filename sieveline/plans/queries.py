@@ -327,10 +327,10 @@ PIECE = 1000
 
 
 def item_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of the items of one author of five, read in pieces from files."""
+    """Contents of all items, read in pieces from files."""
     _, cfg = _folder(spark, sf_dir)
     source = files.FolderSource(spark, cfg.source.root, cfg.source.manifest)
-    pieces = source.pieces(source.entries().where("author = 'analyst-3'"), PIECE)
+    pieces = source.pieces(source.entries(), PIECE)
     return pieces.select("source_id", "ordinal", "at", F.length("chunk").cast("long").alias("n_bytes"), F.sha2("chunk", 256).alias("chunk_sha256"))
 
 
@@ -492,13 +492,58 @@ def results_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.kept(spark, base, "run-2").select("run_id", "source_id", "flag_status", "strongest_band", "n_findings", F.array_join("sensitivity_categories", ",").alias("sensitivity_categories"))
 
 
+def settings_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the setting that is in force for its user: the number in the properties of the last purchase."""
+    from ..operators.asof import in_force
+
+    e = profile.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    rows = in_force(e, F.col("event_type") == "purchase", "user_id", "ts", "k", "event_id")
+    return rows.select("event_id", "user_id", "event_type", "in_force")
+
+
+#: Silence that ends a session below, and how late events may be, in hours.
+GAP_HOURS, LATE_HOURS = 4, 1
+
+
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users by a stream in three runs, whose pieces overlap by an hour: what comes again counts once. Sessions
+    that are over by the last event are told."""
+    from ..streaming import sessions
+
+    e = profile.table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user"), "ts", F.floor(F.col("value") * 100).cast("double").alias("cents"))
+    day, base = F.dayofmonth("ts"), new_path(spark, "sessions")
+    again = lambda cut: (day == cut - 1) & (F.hour("ts") == 23)
+    pieces = [e.where(day < CUTS[0]), e.where((day >= CUTS[0]) & (day < CUTS[1]) | again(CUTS[0])), e.where((day >= CUTS[1]) | again(CUTS[1]))]
+
+    def start():
+        stream = sessions.sessions(spark.readStream.schema("event_id long, user string, ts timestamp, cents double").parquet(f"{base}/in"), "user", "ts", "event_id", "cents", f"{GAP_HOURS} hours", f"{LATE_HOURS} hours")
+        return stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    _fed(spark, pieces, f"{base}/in", start)
+    rows = spark.read.schema(sessions.SESSION).parquet(f"{base}/out")
+    return rows.select(F.col("key").cast("long").alias("user_id"), F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "rows", F.col("value").cast("long").alias("cents"))
+
+
+def run_batch_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch over all items that is cancelled after its first slice and resumed; statuses from the ledger that it wrote."""
+    _, cfg = _folder(spark, sf_dir)
+    ctx, done = runner.build(spark, cfg), []
+    size = profile.table(spark, sf_dir, "documents").count() // 3 + 1
+    first = runner.run_batch(ctx, cfg.config_version, batch_size=size, on_progress=done.append, should_cancel=lambda: len(done) > 0)
+    rest = runner.run_batch(ctx, cfg.config_version, batch_size=size, resume=True, on_progress=done.append)
+    rows = rest.rows(spark)
+    stages = rows["stage_events"].groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "stage", "outcome"))), lambda e: F.concat(e["stage"], F.lit(":"), e["outcome"])), ",").alias("stages"))
+    out = rows["final_status"].join(stages, "source_id", "left")
+    return out.select("source_id", "flag_status", "stages", F.lit(first.status).alias("first"), F.lit(rest.status).alias("second"), F.lit(rest.reconcile["reconciled"] and sum(done) == rest.reconcile["input_count"]).alias("whole"))
+
+
 NAMES = (
     "manifest_scan", "ingest_status", "extract_decode", "line_spans", "ocr_gate", "regex_hits", "regex_hits_by_rule", "mock_model_scores", "banding",
     "calibration_apply", "calibration_ece", "calibration_fit_sigmoid", "calibration_fit_isotonic", "cosine_best", "semantic_route", "routed_model_calls",
     "findings_union", "strongest_finding", "reason_summary", "item_summary", "reconcile", "stage_events", "run_id", "final_status", "resume_remaining",
     "resume_merge", "retry_selection", "migration_summary", "jobs_by_status", "job_latest_state", "queue_head", "job_list_page", "results_workbook",
     "status_filter", "manifest_page", "mask_identifiers", "mask_identifiers_udf", "redact", "ner_mapping", "location_resolution", "category_band_rollup",
-    "stream_available_now", "job_progress_stream", "admin_summary_stream", "manifest_tree", "manifest_changes", "results_by_run", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
+    "stream_available_now", "job_progress_stream", "admin_summary_stream", "settings_in_force", "sessions_stream", "run_batch_resumed", "manifest_tree", "manifest_changes", "results_by_run", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
 )
 
 QUERIES = {name: globals()[name] for name in NAMES}
