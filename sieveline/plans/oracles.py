@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .profile import CONFIG_VERSION, HINTS, RULES, SEED, TAXONOMY
-from .queries import CUTS, DENSE, EXAMPLES, GAP_HOURS, LATE_HOURS, PARTS, PIECE, PUBLIC_KEY, SEMANTIC, SILENCE_HOURS, SLICES
+from .queries import ANCHORED, CUTS, DENSE, EXAMPLES, GAP_HOURS, LATE_HOURS, PARTS, PIECE, PUBLIC_KEY, SEMANTIC, SILENCE_HOURS, SLICES
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -125,6 +125,12 @@ c AS (SELECT category, count(*) FILTER (split = 'dev' AND label = 1) AS positive
 SELECT c.category, positives, round(coalesce(error, 100.0), 6) AS error, CASE WHEN positives = 0 THEN 'not_calibrated' WHEN positives >= 100 AND coalesce(error, 100.0) <= 5.0 THEN 'calibrated' ELSE 'provisional' END AS status FROM c LEFT JOIN e USING (category)""",
     "cosine_best": COSINES + "SELECT * FROM c",
     "semantic_route": COSINES + f"SELECT source_id, string_agg(category, ',' ORDER BY category) AS routed, count(*) AS n_findings, max(cosine) AS best FROM c WHERE cosine >= {SEMANTIC.route_threshold} GROUP BY source_id",
+    "similarity_findings": COSINES + f"""SELECT source_id, 'semantic-' || category AS finding_id, category, 'semantic_route' AS reason_code, 'similarity' AS score_type, NULL::VARCHAR AS band, cosine AS score, 'not_applicable' AS calibration_status,
+  'sem-0' AS threshold_version, 'semantic-0.1' AS detector, 'cosine ' || printf('%.2f', round_even(cosine, 2)) || ' >= route threshold' AS reason, '—' AS evidence FROM c WHERE cosine >= {SEMANTIC.route_threshold}""",
+    "anchored_matches": "WITH p AS (" + " UNION ALL ".join(f"SELECT page_id, '{r.rule_id}' AS rule_id, regexp_extract_all(html, {_q(r.pattern)}) AS hits, string_split_regex(html, {_q(r.pattern)}) AS gaps FROM pages" for r in ANCHORED) + """),
+h AS (SELECT page_id, rule_id, unnest(range(len(hits))) AS i, gaps FROM p),
+l AS (SELECT page_id, rule_id, i, array_to_string(gaps[1:i + 1], '') AS before FROM h)
+SELECT page_id, rule_id || '-' || i AS finding_id, rule_id, (1 + length(before) - length(replace(before, chr(10), '')))::BIGINT AS page, 'p' || (1 + length(before) - length(replace(before, chr(10), ''))) AS evidence FROM l""",
     "routed_model_calls": COSINES + f"SELECT category, count(*) AS calls FROM c WHERE cosine >= {SEMANTIC.route_threshold} GROUP BY category",
     "findings_union": FOUND + f"SELECT source_id, finding_id, category, score_type, band, score, cal AS calibration_status, {EVIDENCE} AS evidence FROM fnd",
     "strongest_finding": FOUND + "SELECT source_id, strongest_band, strongest_score_type, strongest_score, calibration_status FROM sm WHERE flag_status = 'flagged'",

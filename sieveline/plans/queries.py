@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Config, Detect, OcrGate, Output, Semantic, Source
+from ..config import Config, Detect, OcrGate, Output, Recogniser, Semantic, Source
 from ..functions import identifiers, numbers, text
 from ..operators import calibration as cal
 from ..operators import items as ops
@@ -24,6 +24,10 @@ PUBLIC_KEY = "public-test-key"
 SEMANTIC = Semantic(enabled=True, route_threshold=0.2, threshold_version="sem-0")
 
 
+#: Rules of the query that locates matches in pages.
+ANCHORED = (Recogniser("TAG-001", "markup", r"<[a-z]+", "tag"), Recogniser("NUM-001", "number", r"[0-9]+", "number"))
+
+
 def _six(c: str) -> Column:
     return F.round(F.col(c), 6).alias(c)
 
@@ -183,6 +187,14 @@ def semantic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source_id").agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("routed"), F.count("*").alias("n_findings"), F.max("score").alias("best"))
 
 
+def similarity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that routing leaves, all fields that they have."""
+    found = ops.semantic_findings(_cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 6)), SEMANTIC)
+    return found.select(
+        "source_id", "finding_id", "category", "reason_code", "score_type", "band", "score", "calibration_status", "threshold_version", "detector", "reason", text.evidence(F.col("location")).alias("evidence"),
+    )
+
+
 def routed_model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that routing leaves: items and categories that reach the threshold; others get no call."""
     routed = ops.semantic_findings(_cosines(spark, sf_dir).withColumn("cosine", F.round("cosine", 6)), SEMANTIC)
@@ -397,6 +409,16 @@ def location_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.table(spark, sf_dir, "pages").select("page_id", middle.cast("long").alias("char_start"), place["page"].cast("long").alias("page"), text.evidence(place).alias("evidence"))
 
 
+def anchored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule matches in pages, located by the line (as a page from 1) that holds their start: spans and matches are merged."""
+    lines = F.split(F.col("html"), "\n", -1)
+    null = F.lit(None).cast("string")
+    spans = F.transform(lines, lambda t, i: F.struct(F.struct((i + 1).alias("page"), null.alias("sheet"), null.alias("cell"), F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end")).alias("location"), t.alias("text")))
+    rows = profile.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), spans.alias("spans"))
+    found = rows.select("page_id", text.once(ops.rule_findings(ANCHORED, spans="spans")).alias("f")).select("page_id", F.explode("f").alias("f"))
+    return found.select("page_id", "f.finding_id", "f.rule_id", F.col("f.location.page").cast("long").alias("page"), text.evidence(F.col("f.location")).alias("evidence"))
+
+
 def category_band_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: counts of findings by category and band, with totals."""
     return ops.findings_rows(profile.analysed(spark, sf_dir)).rollup("category", "band").agg(F.count("*").alias("findings"))
@@ -539,7 +561,7 @@ def run_batch_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     "manifest_scan", "ingest_status", "extract_decode", "line_spans", "ocr_gate", "regex_hits", "regex_hits_by_rule", "mock_model_scores", "banding",
-    "calibration_apply", "calibration_ece", "calibration_fit_sigmoid", "calibration_fit_isotonic", "cosine_best", "semantic_route", "routed_model_calls",
+    "calibration_apply", "calibration_ece", "calibration_fit_sigmoid", "calibration_fit_isotonic", "cosine_best", "semantic_route", "routed_model_calls", "similarity_findings", "anchored_matches",
     "findings_union", "strongest_finding", "reason_summary", "item_summary", "reconcile", "stage_events", "run_id", "final_status", "resume_remaining",
     "resume_merge", "retry_selection", "migration_summary", "jobs_by_status", "job_latest_state", "queue_head", "job_list_page", "results_workbook",
     "status_filter", "manifest_page", "mask_identifiers", "mask_identifiers_udf", "redact", "ner_mapping", "location_resolution", "category_band_rollup",
