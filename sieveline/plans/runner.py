@@ -204,9 +204,15 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(struct(ITEMS)).parquet(*done) if done else spark.createDataFrame([], struct(ITEMS))
 
 
-def _selected(ctx: Context, source_ids: list[str] | None) -> DataFrame:
-    entries = ctx.source.entries()
-    return entries if source_ids is None else ctx.source.select(list(dict.fromkeys(source_ids))).drop("ordinal").select(*[f.name for f in struct(MANIFEST)])
+#: What a request selects: ids, a table of ids, or all of the manifest.
+Ids = list[str] | DataFrame | None
+
+
+def _selected(ctx: Context, source_ids: Ids) -> DataFrame:
+    if source_ids is None:
+        return ctx.source.entries()
+    ids = source_ids if isinstance(source_ids, DataFrame) else list(dict.fromkeys(source_ids))
+    return ctx.source.select(ids).drop("ordinal").select(*[f.name for f in struct(MANIFEST)])
 
 
 def _identity(ctx: Context, selected: DataFrame) -> str:
@@ -231,13 +237,13 @@ def run(ctx: Context) -> Result:
 LIVE_SLICES = 8
 
 
-def run_single(ctx: Context, config_version: str, source_ids: list[str] | None, on_event: Callable[[dict], None] | None = None) -> Result:
+def run_single(ctx: Context, config_version: str, source_ids: Ids, on_event: Callable[[dict], None] | None = None) -> Result:
     """A small explicit selection, in a folder of its own. ``on_event`` gets the stage events while the run goes on: the
     selection is analysed in up to LIVE_SLICES slices, and a stream over what they have written hands the events on."""
     started = _now()
     if wrong := _guard(ctx.cfg, config_version):
         return failed("single", config_version, wrong, started)
-    if not source_ids:
+    if source_ids is None or not isinstance(source_ids, DataFrame) and not source_ids:
         return failed("single", config_version, "single job requires at least one source_id", started)
     try:
         selected = _selected(ctx, source_ids)
@@ -246,7 +252,7 @@ def run_single(ctx: Context, config_version: str, source_ids: list[str] | None,
     run_id = _identity(ctx, selected)
     folder = sinks.run_folder(ctx.cfg.output.result_dir, "single", run_id)
     remove(ctx.spark, f"{folder}/items")
-    slices = 1 if on_event is None else min(LIVE_SLICES, len(set(source_ids)))
+    slices = 1 if on_event is None else max(min(LIVE_SLICES, selected.count()), 1)
     with live.events(ctx.spark, f"{folder}/items", struct(ITEMS), ctx.cfg.extract.engine, on_event) if on_event is not None else nullcontext():
         for k in range(slices):
             analyse(ctx, ctx.source.read(_sliced(selected, k, slices), ctx.ocr is None)).write.parquet(f"{folder}/items/slice-{k:08d}")
@@ -293,7 +299,7 @@ def _sliced(rows: DataFrame, k: int, slices: int) -> DataFrame:
 
 
 def run_batch(
-    ctx: Context, config_version: str, source_ids: list[str] | None = None, batch_size: int = 500, resume: bool = False,
+    ctx: Context, config_version: str, source_ids: Ids = None, batch_size: int = 500, resume: bool = False,
     on_progress: Callable[[int], None] | None = None, should_cancel: Callable[[], bool] | None = None,
 ) -> Result:
     """A selection in slices of about ``batch_size`` items, dealt by a hash of the id. Each slice is one Spark job over all

@@ -14,19 +14,31 @@ from pyspark.sql import SparkSession
 
 from ..config import Config
 from ..sources import files
+from ..sources.shared import new_path
 from . import jobs, runner
 from .registry import Registry
 
 
+#: Ids that a retry's request names itself; more are a table.
+INLINE = 1000
+
+
 @dataclass(frozen=True)
 class Request:
-    """What to process: ids of the manifest, or None for all of it. batch_size and resume are a batch's."""
+    """What to process: ids of the manifest, a Parquet table of ids (``ids_at``), or all of it. batch_size and resume are a
+    batch's."""
 
     job_type: str
     config_version: str
     source_ids: tuple[str, ...] | None = None
     batch_size: int = 500
     resume: bool = False
+    ids_at: str | None = None
+
+    def ids(self, spark: SparkSession) -> runner.Ids:
+        if self.ids_at is not None:
+            return spark.read.schema("source_id string").parquet(self.ids_at)
+        return None if self.source_ids is None else list(self.source_ids)
 
     @classmethod
     def of(cls, payload: str) -> Request:
@@ -50,10 +62,11 @@ class JobService:
         if wrong := runner._guard(self.cfg, request.config_version):
             return 0, wrong
         source = files.reader(self.cfg.source.backend)(self.spark, self.cfg.source.root, self.cfg.source.manifest)
-        if request.source_ids is None:
+        ids = request.ids(self.spark)
+        if ids is None:
             return source.entries().count(), None
         try:
-            return source.select(list(request.source_ids)).count(), None
+            return source.select(ids).count(), None
         except files.UnknownIds as e:
             return 0, str(e)
 
@@ -83,7 +96,7 @@ class JobService:
     def execute(self, job: dict) -> dict:
         """Runs a claimed job; progress and cancellation go through the registry."""
         request, job_id = Request.of(job["payload"]), job["job_id"]
-        ids = None if request.source_ids is None else list(request.source_ids)
+        ids = request.ids(self.spark)
         cancelled = lambda: bool((self.registry.get(job_id) or {}).get("cancel_requested"))
         result = runner.run_batch(self.context(), request.config_version, ids, request.batch_size, request.resume, lambda n: self.registry.add_progress(job_id, n), cancelled)
         return self.registry.update(self.apply_result(self.registry.get(job_id) or job, result))
@@ -93,7 +106,7 @@ class JobService:
         job = self.registry.create(self._job(request, "running"))
         if job["status"] == "failed":
             return job
-        ids = None if request.source_ids is None else list(request.source_ids)
+        ids = request.ids(self.spark)
         if request.job_type == "batch":
             result = runner.run_batch(self.context(), request.config_version, ids, request.batch_size, request.resume)
         else:
@@ -113,18 +126,26 @@ class JobService:
         result = self.result(self.registry.get(job_id))
         if result is None or result.folder is None:
             return None
-        ids = [r["source_id"] for r in jobs.retry(result.rows(self.spark)["final_status"]).orderBy("source_id").collect()]
-        return self.submit(Request("batch", result.config_version, tuple(ids))) if ids else None
+        ids = jobs.retry(result.rows(self.spark)["final_status"])
+        few = sorted(r["source_id"] for r in ids.limit(INLINE + 1).collect())
+        if not few:
+            return None
+        if len(few) <= INLINE:
+            return self.submit(Request("batch", result.config_version, tuple(few)))
+        path = new_path(self.spark, "retry")  # ids of a large retry stay a table
+        ids.write.parquet(path)
+        return self.submit(Request("batch", result.config_version, None, ids_at=path))
 
     def run_interactive(self, request: Request) -> Iterator[dict]:
-        """Runs a small selection and yields its stage events as they come, then its rows and its result; a job of the same selection and
-        configuration is replaced, so that its id stays."""
+        """Runs a small selection and yields its stage events as they come, then its rows and its result; a job of the same
+        selection and configuration is replaced, so that its id stays."""
         total, wrong = self._resolve(request)
         if wrong or not total:
             yield {"event": "error", "message": wrong or "no source_ids selected"}
             return
         ctx = self.context()
-        ids = list(request.source_ids) if request.source_ids is not None else [r["source_id"] for r in ctx.source.entries().select("source_id").collect()]
+        ids = request.ids(self.spark)
+        ids = ctx.source.entries().select("source_id") if ids is None else ids
         job_id = f"single-{runner._identity(ctx, runner._selected(ctx, ids))}"
         job = self.registry.upsert({**self._job(request, "running", job_id), "progress_total": total})
         told: queue.Queue = queue.Queue()

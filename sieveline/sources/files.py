@@ -72,6 +72,10 @@ def kept(spark: SparkSession, table: str, run_id: str | None = None) -> DataFram
     return rows if run_id is None else rows.where(F.col("run_id") == run_id)
 
 
+#: Unknown ids that an error names at most.
+SHOWN = 20
+
+
 class UnknownIds(LookupError):
     """Ids of a request that the manifest does not hold."""
 
@@ -87,11 +91,15 @@ class FolderSource:
     def entries(self) -> DataFrame:
         return manifest(self.spark, self.manifest_path)
 
-    def select(self, ids: list[str]) -> DataFrame:
-        """Entries of the ids in their order (``ordinal``), repeats kept; an unknown id is an error."""
-        asked = self.spark.createDataFrame(list(enumerate(ids)), "ordinal long, source_id string")
+    def select(self, ids: list[str] | DataFrame) -> DataFrame:
+        """Entries of the ids, a list (whose order is ``ordinal``, repeats kept) or a table (source_id; each counts once, the
+        ordinal is null); an unknown id is an error, which names some of them."""
+        if isinstance(ids, DataFrame):
+            asked = ids.select(F.lit(None).cast("long").alias("ordinal"), F.col("source_id")).distinct()
+        else:
+            asked = self.spark.createDataFrame(list(enumerate(ids)), "ordinal long, source_id string")
         found = asked.join(self.entries(), "source_id", "left")
-        if missing := sorted({r["source_id"] for r in found.where("path is null").select("source_id").collect()}):
+        if missing := sorted({r["source_id"] for r in found.where("path is null").select("source_id").limit(SHOWN).collect()}):
             raise UnknownIds(f"not in the manifest: {missing}")
         return found
 

@@ -233,6 +233,19 @@ def test_service_and_worker(spark, tmp_path):
     assert [e["event"] for e in s.run_interactive(service.Request("single", "t-1", ("zz",)))] == ["error"]
 
 
+def test_a_large_retry_is_a_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(service, "INLINE", 0)
+    s = service.JobService(spark, config.from_mapping(sample(tmp_path)), reg.Registry(spark, str(tmp_path / "r")))
+    first = s.run_now(service.Request("batch", "t-1", None, 10))
+    retry = s.retry_failed(first["job_id"])
+    asked = service.Request.of(retry["payload"])
+    assert asked.source_ids is None and [r["source_id"] for r in asked.ids(spark).collect()] == ["unreadable_001"] and retry["progress_total"] == 1
+    assert service.Worker(s).step() and s.registry.get(retry["job_id"])["unable"] == 1
+    assert [e["event"] for e in s.run_interactive(service.Request("single", "t-1"))].count("item") == 5, "all of the manifest"
+    ids = spark.createDataFrame([("note_001",), ("note_001",), ("zz",)], "source_id string")
+    assert "zz" in runner.run_batch(s.context(), "t-1", ids).exception and runner.run_batch(s.context(), "t-1", ids.where("source_id <> 'zz'")).reconcile["input_count"] == 1
+
+
 def test_command_line(spark, tmp_path, capsys):
     yaml = pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text(yaml.safe_dump(sample(tmp_path)))
