@@ -1,23 +1,25 @@
 """Operator 2, quality rules: thresholds from mergeable quantile sketches per language and source, native expressions only.
 
-Each measure of a text is a whole number. A sketch of a group is a histogram of log-linear bins (the leading BITS binary
-digits of the value), which merges by adding counts: it does not depend on order or partitioning, and its quantiles are
-off by under 2**-BITS of the value. Sketches are kept per (language, source) and merged up to the language and to the
-corpus; a group with fewer rows than ``min_rows`` uses the next wider one.
-
-A group's fences come from its own quantiles alone: its median times, or divided by, a power of the ratio of the median
-to the lower quartile. No fixed cutoff bounds them, so they tighten in a uniform source and loosen in a varied one. The
-ratio is read below the median, where junk does not move it: with a third of a source's rows junk, the two quantiles are
-still those of good texts. Rates count one occurrence more than there is, so that they are never 0 and their spread is
-that of the texts' lengths where most texts have none. Documents outside a fence are rejected. The fences (one row a
-group) are joined to the documents.
+Each measure of a text is a whole number, a rate by 10,000 words. A sketch of a group is a histogram of log-linear bins
+(the leading BITS binary digits of the value; 0 has its own), which merges by adding counts: it does not depend on order
+or partitioning, and its quantiles are off by under 2**-BITS of the value. Sketches are kept per (language, source) and
+merged up to the language and to the corpus.
+
+A group's upper fence is found by going up its quantiles: from the median to those that leave a quarter, an eighth and so
+on of the rows above, down to 2**-LEVELS. A population's tail grows by at most a measure's ``tail`` factor whenever its
+share halves; where a quantile is further than that from the one before, another population begins. The fence stands one
+factor beyond the last quantile of the first one. So it follows what the group's texts hold: it is wide in a source where
+many texts hold symbols, near 0 where they hold none, and junk does not move it, whatever its share below a half. Rates under
+that of one unit in the shortest text that passes the base rules say nothing and count as that. The lower fence of the word length is found
+in the same way downward. A group's fences are its own, pulled toward the language's, and those toward the corpus's, as if
+``prior_rows`` rows of the wider group were its own (a weighted geometric mean): every group has fences of its own, a small
+one nearly the wider group's. Documents outside a fence are rejected. The fences (one row a group) are joined to the
+documents.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import mul
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,18 +32,22 @@ BITS = 7
 SYMBOLS = "#*$%&|<>"
 
 
+#: The last quantile that is looked at leaves this power of a half of the rows beyond it.
+LEVELS = 10
+
+
 @dataclass(frozen=True)
 class Rules:
-    """min_rows: rows that a group needs for fences of its own; high, low: by measure, the power to which the ratio of
-    median to lower quartile is raised for the upper and the lower fence; least_ratio: by measure, the ratio of a group
-    whose texts are more alike than that: half an occurrence in its median text, and one bin of the sketch for word_len."""
+    """prior_rows: weight of the wider group; tail: by measure, what a tail's quantile may grow by when its share halves
+    (4: heavier than any tail with a mean); unit: by measure, the least that a text can hold of it, in words or symbols
+    (a repeated window: two of three words); two_sided: measures with a lower fence."""
 
-    min_rows: int = 200
+    prior_rows: int = 200
     min_words: int = 50
     max_repeat_percent: int = 50
-    high: tuple[tuple[str, int], ...] = (("symbols", 6), ("dup_lines", 6), ("repeats", 8), ("word_len", 12))
-    low: tuple[tuple[str, int], ...] = (("word_len", 12),)
-    least_ratio: tuple[tuple[str, float], ...] = (("symbols", 1.5), ("dup_lines", 1.5), ("repeats", 1.5), ("word_len", 1 + 2.0 ** (1 - BITS)))
+    tail: tuple[tuple[str, float], ...] = (("symbols", 4.0), ("dup_lines", 4.0), ("repeats", 4.0), ("word_len", 1.25))
+    unit: tuple[tuple[str, int], ...] = (("symbols", 1), ("dup_lines", 1), ("repeats", 6))
+    two_sided: tuple[str, ...] = ("word_len",)
 
 
 def _repeat_words(ws: Column, n: Column) -> Column:
@@ -89,13 +95,12 @@ def measures(text: Column) -> Column:
 
 
 def _rates(m: Column) -> dict[str, Column]:
-    """The measures that have fences: whole numbers, one more than there are by 10,000 words (word_len: thousandths of a
-    character)."""
+    """The measures that have fences: whole numbers by 10,000 words, rounded up (word_len: thousandths of a character)."""
     n = F.greatest(m["n_words"], F.lit(1))
-    per = lambda x, k: F.floor(x * F.lit(k) / n).cast("long")
+    per = lambda x: F.floor((x * F.lit(10_000) + n - 1) / n).cast("long")
     return {
-        "symbols": per(m["n_symbols"] + 1, 10_000), "dup_lines": per(m["n_dup_lines"] + 1, 10_000),
-        "repeats": per(m["n_repeat_words"] + 1, 10_000), "word_len": per(m["word_chars"], 1_000),
+        "symbols": per(m["n_symbols"]), "dup_lines": per(m["n_dup_lines"]), "repeats": per(m["n_repeat_words"]),
+        "word_len": F.floor(m["word_chars"] * F.lit(1_000) / n).cast("long"),
     }
 
 
@@ -109,14 +114,26 @@ def _floor_bin(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, drop), drop)
 
 
+def _walk(quantiles: list[Column], tail: Column, floor: Column) -> Column:
+    """The fence above quantiles that leave ever fewer rows: once one is out of reach, so are all that follow."""
+    first, *rest = quantiles
+    step = lambda x, q: F.when(q > x * tail, x).otherwise(F.greatest(x, q))
+    return F.aggregate(F.array(*rest), F.greatest(first, floor), step) * tail
+
+
+def _walk_down(quantiles: list[Column], tail: Column) -> Column:
+    first, *rest = quantiles
+    return F.aggregate(F.array(*rest), first, lambda x, q: F.when(q * tail < x, x).otherwise(F.least(x, q))) / tail
+
+
 def fences(rows: DataFrame, rules: Rules) -> DataFrame:
     """A row per (g_lang, g_source): a map from measure to its fences (lo, hi; null: none).
 
     ``rows`` holds g_lang, g_source, base_failed and the rates; rows that fail a base rule are left out of the sketches."""
-    names = list(dict.fromkeys([k for k, _ in (*rules.high, *rules.low)]))
+    tails, units = dict(rules.tail), dict(rules.unit)
     # the window below reads a sketch in order of its bins, of which a measure has at most 64 * 2**BITS
     long = rows.where(~F.col("base_failed")).select(
-        "g_lang", "g_source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _floor_bin(F.col(k)).alias("bin")) for k in names])).alias("x")
+        "g_lang", "g_source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _floor_bin(F.col(k)).alias("bin")) for k in tails])).alias("x")
     )
     fine = save(long.groupBy("g_lang", "g_source", "x.measure", "x.bin").agg(F.count("*").alias("n")), "quality-sketches")
     merged = fine.select(
@@ -130,34 +147,39 @@ def fences(rows: DataFrame, rules: Rules) -> DataFrame:
     by = Window.partitionBy("g", "measure")
     seen = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = merged.withColumns({"seen": seen, "rows": F.sum("n").over(by)})
-    at = lambda q: F.min(F.when(F.col("seen") >= F.ceil(F.col("rows") * F.lit(q)), F.col("bin")))
-    cut = ranked.groupBy("g", "measure").agg(F.first("rows").alias("rows"), at(0.25).alias("q_low"), at(0.5).alias("q_mid"))
-    mid = F.greatest(F.col("q_mid"), F.lit(1)).cast("double")
-    pick = lambda d, of: F.coalesce(*[F.when(F.col("measure") == k, of(v)) for k, v in d], F.lit(None).cast("double"))
-    cut = cut.withColumn("ratio", F.greatest(mid / F.greatest(F.col("q_low"), F.lit(1)), pick(rules.least_ratio, F.lit)))
-    power = lambda d: pick(d, lambda k: reduce(mul, [F.col("ratio")] * k))
-    hi, lo = mid * power(rules.high), mid / power(rules.low)
-    made = cut.where((F.col("rows") >= rules.min_rows) | (F.col("g.level") == 0)).groupBy("g").agg(
-        F.map_from_entries(F.collect_list(F.struct("measure", F.struct(lo.alias("lo"), hi.alias("hi"))))).alias("fence")
+    at = lambda q: F.min(F.when(F.col("seen") >= F.ceil(F.col("rows") * F.lit(q)), F.col("bin"))).cast("double")
+    shares = [0.5**k for k in range(1, LEVELS + 1)]
+    cut = ranked.groupBy("g", "measure").agg(
+        F.first("rows").alias("rows"), F.struct(*[at(1 - x).alias(f"q{i}") for i, x in enumerate(shares)]).alias("up"),
+        F.struct(*[at(x).alias(f"q{i}") for i, x in enumerate(shares)]).alias("down"),
     )
-    made = save(made.select("g.*", "fence"), "quality-fences")
-    groups = fine.select("g_lang", "g_source").distinct()
-    level = lambda k: made.where(F.col("level") == k)
-    own, lang = level(2).select(F.col("l").alias("g_lang"), F.col("s").alias("g_source"), F.col("fence").alias("f2")), level(1).select(F.col("l").alias("g_lang"), F.col("fence").alias("f1"))
-    bounds = "struct<lo:double,hi:double>"
-    every = level(0).select("fence").first()  # one row: the corpus's fences, a pair of numbers a measure
-    entries = [x for k, v in sorted((every["fence"] if every else {}).items()) for x in (F.lit(k), F.struct(F.lit(v["lo"]).alias("lo"), F.lit(v["hi"]).alias("hi")).cast(bounds))]
-    f0 = F.create_map(*entries) if entries else F.lit(None).cast(f"map<string,{bounds}>")
-    found = groups.join(own, ["g_lang", "g_source"], "left").join(lang, "g_lang", "left")
-    return save(found.select("g_lang", "g_source", F.coalesce("f2", "f1", f0).alias("fence")), "quality-groups")
+    pick = lambda d: F.coalesce(*[F.when(F.col("measure") == k, F.lit(float(v))) for k, v in d.items()], F.lit(0.0))
+    of = lambda c: [F.col(c)[f"q{i}"] for i in range(LEVELS)]
+    least = {k: -(-v * 10_000 // max(rules.min_words, 1)) for k, v in units.items()}
+    low = F.when(F.col("measure").isin(*rules.two_sided), _walk_down(of("down"), pick(tails)))
+    made = save(cut.select("g.*", "measure", "rows", low.alias("lo"), _walk(of("up"), pick(tails), pick(least)).alias("hi")), "quality-fences")
+
+    def pulled(own: str, wide: str) -> list[Column]:
+        # rounded to thousandths: a mean of equal fences is that fence
+        share = F.col(f"rows{own}") / (F.col(f"rows{own}") + F.lit(rules.prior_rows))
+        mean = lambda c: F.floor(F.exp(share * F.ln(F.greatest(f"{c}{own}", F.lit(1.0))) + (1 - share) * F.ln(F.greatest(f"{c}{wide}", F.lit(1.0)))) * 1000 + 0.5) / 1000
+        return [F.when(F.col(f"{c}{own}").isNotNull(), mean(c)).alias(f"{c}{own}") for c in ("lo", "hi")]
+
+    def level(k: int) -> DataFrame:
+        return made.where(F.col("level") == k).select(F.col("l").alias("g_lang"), F.col("s").alias("g_source"), "measure", *[F.col(c).alias(f"{c}{k}") for c in ("rows", "lo", "hi")])
+
+    langs = level(1).drop("g_source").join(level(0).drop("g_lang", "g_source"), "measure").select("g_lang", "measure", *pulled("1", "0"))
+    owns = level(2).join(langs, ["g_lang", "measure"]).select("g_lang", "g_source", "measure", *pulled("2", "1"))
+    fence = F.map_from_entries(F.collect_list(F.struct("measure", F.struct(F.col("lo2").alias("lo"), F.col("hi2").alias("hi")))))
+    return save(owns.groupBy("g_lang", "g_source").agg(fence.alias("fence")), "quality-groups")
 
 
 def _inside(rules: Rules) -> Column:
     """Whether all rates lie within the fences; a group without fences (all its rows fail a base rule) has no limits."""
     out = F.lit(True)
-    for k, _ in rules.high:
+    for k, _ in rules.tail:
         out = out & F.coalesce(F.col(k) <= F.col("fence")[k]["hi"], F.lit(True))
-    for k, _ in rules.low:
+    for k in rules.two_sided:
         out = out & F.coalesce(F.col(k) >= F.col("fence")[k]["lo"], F.lit(True))
     return out
 
@@ -206,18 +228,23 @@ m AS (SELECT w.rid, doc_id, gl, gs, len(ws)::BIGINT AS n_words, length(regexp_re
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dl, 0)::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cov USING (rid) LEFT JOIN ln USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS n FROM m),
-rt AS (SELECT *, (n_symbols + 1) * 10000 // n AS symbols, (n_dup_lines + 1) * 10000 // n AS dup_lines, (n_repeat_words + 1) * 10000 // n AS repeats, word_chars * 1000 // n AS word_len FROM b),
+rt AS (SELECT *, (n_symbols * 10000 + n - 1) // n AS symbols, (n_dup_lines * 10000 + n - 1) // n AS dup_lines, (n_repeat_words * 10000 + n - 1) // n AS repeats, word_chars * 1000 // n AS word_len FROM b),
 lg AS (UNPIVOT (SELECT gl, gs, symbols, dup_lines, repeats, word_len FROM rt WHERE NOT base_failed) ON symbols, dup_lines, repeats, word_len INTO NAME measure VALUE v),
 bn AS (SELECT *, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS bin FROM lg),
 gg AS (SELECT 2 AS level, gl, gs, measure, bin FROM bn UNION ALL SELECT 1, gl, '', measure, bin FROM bn UNION ALL SELECT 0, '', '', measure, bin FROM bn),
 q AS (SELECT level, gl, gs, measure, count(*) AS rows, list(bin ORDER BY bin) AS bs FROM gg GROUP BY ALL),
-qq AS (SELECT level, gl, gs, measure, greatest(bs[ceil(rows * 0.5::DOUBLE)::BIGINT], 1)::DOUBLE AS mid, greatest(bs[ceil(rows * 0.25::DOUBLE)::BIGINT], 1)::DOUBLE AS low FROM q WHERE rows >= 200 OR level = 0),
-ra AS (SELECT *, greatest(mid / low, CASE WHEN measure = 'word_len' THEN 1.015625::DOUBLE ELSE 1.5::DOUBLE END) AS r FROM qq),
-fe AS (SELECT level, gl, gs, measure, mid * CASE WHEN measure = 'word_len' THEN r * r * r * r * r * r * r * r * r * r * r * r WHEN measure = 'repeats' THEN r * r * r * r * r * r * r * r ELSE r * r * r * r * r * r END AS hi,
-  CASE WHEN measure = 'word_len' THEN mid / (r * r * r * r * r * r * r * r * r * r * r * r) END AS lo FROM ra),
+p AS (SELECT *, CASE WHEN measure = 'word_len' THEN 1.25::DOUBLE ELSE 4::DOUBLE END AS tail, CASE measure WHEN 'word_len' THEN 0::DOUBLE WHEN 'repeats' THEN 1200::DOUBLE ELSE 200::DOUBLE END AS least,
+  list_transform(range(1, 11), lambda k: bs[ceil(rows * (1 - 0.5::DOUBLE ** k))::BIGINT]::DOUBLE) AS up, list_transform(range(1, 11), lambda k: bs[ceil(rows * 0.5::DOUBLE ** k)::BIGINT]::DOUBLE) AS down FROM q),
+fe AS (SELECT level, gl, gs, measure, rows, tail * list_reduce(list_prepend(greatest(up[1], least), up[2:]), lambda x, y: CASE WHEN y > x * tail THEN x ELSE greatest(x, y) END) AS hi,
+  CASE WHEN measure = 'word_len' THEN list_reduce(down, lambda x, y: CASE WHEN y * tail < x THEN x ELSE least(x, y) END) / tail END AS lo FROM p),
+f1 AS (SELECT a.gl, measure, floor(exp(a.rows / (a.rows + 200) * ln(greatest(a.hi, 1)) + (1 - a.rows / (a.rows + 200)) * ln(greatest(w.hi, 1))) * 1000 + 0.5) / 1000 AS hi,
+  floor(exp(a.rows / (a.rows + 200) * ln(greatest(a.lo, 1)) + (1 - a.rows / (a.rows + 200)) * ln(greatest(w.lo, 1))) * 1000 + 0.5) / 1000 AS lo
+  FROM (FROM fe WHERE level = 1) a JOIN (FROM fe WHERE level = 0) w USING (measure)),
+f2 AS (SELECT a.gl, a.gs, measure, floor(exp(a.rows / (a.rows + 200) * ln(greatest(a.hi, 1)) + (1 - a.rows / (a.rows + 200)) * ln(greatest(w.hi, 1))) * 1000 + 0.5) / 1000 AS hi,
+  CASE WHEN measure = 'word_len' THEN floor(exp(a.rows / (a.rows + 200) * ln(greatest(a.lo, 1)) + (1 - a.rows / (a.rows + 200)) * ln(greatest(w.lo, 1))) * 1000 + 0.5) / 1000 END AS lo
+  FROM (FROM fe WHERE level = 2) a JOIN f1 w USING (gl, measure)),
 bad AS (SELECT DISTINCT rid FROM (
-  SELECT rt.rid, f.measure, CASE f.measure WHEN 'symbols' THEN symbols WHEN 'dup_lines' THEN dup_lines WHEN 'repeats' THEN repeats ELSE word_len END AS v, coalesce(f2.hi, f1.hi, f.hi) AS hi, CASE WHEN f2.hi IS NOT NULL THEN f2.lo WHEN f1.hi IS NOT NULL THEN f1.lo ELSE f.lo END AS lo
-  FROM rt JOIN fe f ON f.level = 0 LEFT JOIN fe f1 ON f1.level = 1 AND f1.gl = rt.gl AND f1.measure = f.measure LEFT JOIN fe f2 ON f2.level = 2 AND f2.gl = rt.gl AND f2.gs = rt.gs AND f2.measure = f.measure)
+  SELECT rid, CASE measure WHEN 'symbols' THEN symbols WHEN 'dup_lines' THEN dup_lines WHEN 'repeats' THEN repeats ELSE word_len END AS v, hi, lo FROM rt JOIN f2 USING (gl, gs))
   WHERE v > hi OR v < lo)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM rt LEFT JOIN bad USING (rid)
 """

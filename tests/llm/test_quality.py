@@ -56,17 +56,30 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == kept
 
 
-def quantile(values, q):
+def quantile(values, share):
     """Of a sketch: the lower edge of the bin that holds it."""
-    x = sorted(values)[max(math.ceil(len(values) * q), 1) - 1]
+    x = sorted(values)[max(math.ceil(len(values) * share), 1) - 1]
     drop = max(x.bit_length() - quality.BITS, 0)
-    return max(x >> drop << drop, 1)
+    return float(x >> drop << drop)
 
 
 def rates(text):
     n, chars, symbols, dup, rep = base(text)
     n = max(n, 1)
-    return {"symbols": (symbols + 1) * 10_000 // n, "dup_lines": (dup + 1) * 10_000 // n, "repeats": (rep + 1) * 10_000 // n, "word_len": chars * 1_000 // n}
+    up = lambda x: -(-x * 10_000 // n)
+    return {"symbols": up(symbols), "dup_lines": up(dup), "repeats": up(rep), "word_len": chars * 1_000 // n}
+
+
+def own_fences(values, measure, rules):
+    """(lo, hi) of one group, from its sorted rates."""
+    tail = dict(rules.tail)[measure]
+    hi = max(quantile(values, 0.5), -(-dict(rules.unit).get(measure, 0) * 10_000 // rules.min_words))
+    lo = quantile(values, 0.5)
+    for k in range(2, quality.LEVELS + 1):
+        above, below = quantile(values, 1 - 0.5**k), quantile(values, 0.5**k)
+        hi = max(hi, above) if above <= hi * tail else hi
+        lo = min(lo, below) if below * tail >= lo else lo
+    return (lo / tail if measure in rules.two_sided else None), hi * tail
 
 
 def brute_verdicts(rows, rules):
@@ -79,16 +92,17 @@ def brute_verdicts(rows, rules):
             for g in ((lang, source), (lang,), ()):
                 groups.setdefault(g, []).append(found[i])
 
-    def fence(lang, source, m):
-        own = next((groups[g] for g in ((lang, source), (lang,)) if len(groups.get(g, ())) >= rules.min_rows), groups.get((), []))
-        if not own:
-            return float("-inf"), float("inf")
-        mid = float(quantile([r[m] for r in own], 0.5))
-        ratio = max(mid / quantile([r[m] for r in own], 0.25), dict(rules.least_ratio)[m])
-        power = lambda k: math.prod([ratio] * k)
-        return (mid / power(dict(rules.low)[m]) if m in dict(rules.low) else float("-inf")), mid * power(dict(rules.high)[m])
+    def fence(g, m):
+        own = own_fences([r[m] for r in groups[g]], m, rules)
+        if not g:
+            return own
+        w = len(groups[g]) / (len(groups[g]) + rules.prior_rows)
+        mean = lambda a, b: math.floor(math.exp(w * math.log(max(a, 1)) + (1 - w) * math.log(max(b, 1))) * 1000 + 0.5) / 1000
+        return tuple(None if a is None else mean(a, b) for a, b in zip(own, fence(g[:-1], m), strict=True))
 
-    return {i: not failed[i] and all(fence(lang, source, m)[0] <= v <= fence(lang, source, m)[1] for m, v in found[i].items()) for i, _, lang, source in rows}
+    made = {(g, m): fence(g, m) for g in groups if len(g) == 2 for m, _ in rules.tail}
+    inside = lambda g, m, v: (made[g, m][0] or 0) <= v <= made[g, m][1]
+    return {i: not failed[i] and all(inside((lang, source), m, v) for m, v in found[i].items()) for i, _, lang, source in rows}
 
 
 def two_sources():
@@ -118,9 +132,25 @@ def test_fences_differ_by_source(spark):
     df = spark.createDataFrame(two_sources(), "doc_id long, text string, lang string, source string")
     rules = quality.Rules()
     made = {(r["g_lang"], r["g_source"]): r["fence"] for r in quality.fences(quality._measured(df, rules), rules).collect()}
-    for m in ("symbols", "repeats", "dup_lines", "word_len"):
+    for m in ("symbols", "word_len"):
         assert len({made[("=en", f"={s}")][m]["hi"] for s in ("wide", "narrow", "junk")}) > 1, m
-    assert made[("=xx", "=rare")] is not None
+    assert set(made) == {("=en", "=wide"), ("=en", "=narrow"), ("=en", "=junk"), ("=xx", "=rare")}, "fences of their own for all"
+    assert made[("=en", "=wide")]["symbols"]["hi"] > 1.3 * made[("=en", "=narrow")]["symbols"]["hi"]
+
+
+def test_query_on_planted_sources(spark, tmp_path):
+    """At the query's own parameters: a source of code, full of symbols, keeps them; the same rates are junk elsewhere."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    text = lambda n, share: " ".join(word() + ("#" if rng.random() < share else "") for _ in range(n))
+    rows = [(i, text(rng.randrange(60, 400), rng.uniform(0.05, 0.5)), "en", "code") for i in range(400)]
+    rows += [(1000 + i, text(rng.randrange(60, 400), 0.004), "en", "prose") for i in range(1200)]
+    rows += [(3000 + i, text(100, 0.0), "en", f"small{i % 10}") for i in range(50)]
+    junk = [(5000 + i, text(100, 0.45), "en", "prose") for i in range(60)] + [(6000 + i, text(100, 0.45), "en", f"small{i}") for i in range(5)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r["doc_id"] for r in quality.op2_quality_sketches(spark, str(tmp_path)).where("kept").collect()}
+    assert kept == {r[0] for r in rows}
 
 
 def test_filtered_keeps_clashing_columns(spark):
