@@ -242,4 +242,23 @@ f AS (SELECT c.category, positives, CASE WHEN positives > 0 THEN 'isotonic' ELSE
   string_agg(round(x * 1000000)::BIGINT || ':' || round(y * 1000000)::BIGINT, ',' ORDER BY k) AS ks FROM kn GROUP BY category) t ON t.category = c.category AND positives > 0),
 {_status(_INTERPOLATED, "0.0::DOUBLE AS a, 0.0::DOUBLE AS b, coalesce(ks, '') AS knots")}""",
     "category_band_rollup": FOUND + "SELECT category, band, count(*) AS findings FROM fnd GROUP BY ROLLUP (category, band)",
+    "linkage_patterns": """
+WITH c AS (SELECT c_custkey AS id, split_part(c_name, '#', 2) AS name, round(c_acctbal * 100)::BIGINT AS cents, c_nationkey AS nation, c_mktsegment AS segment FROM customer),
+b AS (SELECT id, CASE WHEN id % 4 = 1 THEN left(name, length(name) - 1) ELSE name END AS name, CASE id % 5 WHEN 2 THEN NULL WHEN 3 THEN cents + 1 ELSE cents END AS cents,
+  CASE WHEN id % 7 = 5 THEN (nation + 1) % 25 ELSE nation END AS nation, CASE WHEN id % 6 <> 4 THEN segment END AS segment FROM c),
+u AS (SELECT 0 AS side, min(id) AS id, name, cents, nation, segment FROM c GROUP BY ALL UNION ALL SELECT 1, min(id), name, cents, nation, segment FROM b GROUP BY ALL),
+n AS (SELECT *, floor(cents / 10000) AS bin, count(*) OVER (PARTITION BY left(name, 8)) AS n_start, count(*) OVER (PARTITION BY name) AS n_name, count(*) OVER (PARTITION BY cents) AS n_cents, count(*) OVER (PARTITION BY nation) AS n_nation,
+  count(*) OVER (PARTITION BY nation, segment) AS n_segment, count(*) OVER (PARTITION BY nation, segment, floor(cents / 10000)) AS n_bin FROM u),
+k AS (SELECT *, [0, CASE WHEN n_start <= 64 THEN 0 WHEN n_name <= 64 THEN 1 ELSE 9 END] AS how, CASE WHEN n_start <= 64 THEN left(name, 8) ELSE name END AS key FROM n WHERE name IS NOT NULL
+  UNION ALL SELECT *, [1, CASE WHEN n_cents <= 64 THEN 0 ELSE 9 END], cents::VARCHAR FROM n WHERE cents IS NOT NULL
+  UNION ALL SELECT *, [2, CASE WHEN n_nation <= 64 THEN 0 WHEN n_segment <= 64 THEN 1 WHEN n_bin <= 64 THEN 2 ELSE 9 END],
+    CASE WHEN n_nation <= 64 THEN nation::VARCHAR WHEN n_segment <= 64 THEN concat(nation, '|', coalesce(segment, '-')) ELSE concat(nation, '|', coalesce(segment, '-'), '|', coalesce(bin::VARCHAR, '-')) END FROM n WHERE nation IS NOT NULL),
+f AS (SELECT *, CASE WHEN how[2] = 9 THEN concat_ws('|', coalesce(name, '-'), coalesce(cents::VARCHAR, '-'), coalesce(nation::VARCHAR, '-'), coalesce(segment, '-')) ELSE key END AS block FROM k),
+p AS (SELECT l.id AS l_id, r.id AS r_id, sum(DISTINCT 1 << l.how[1])::INT AS rules, any_value(concat_ws(',',
+    CASE WHEN l.name IS NULL OR r.name IS NULL THEN -1 WHEN l.name = r.name THEN 0 WHEN levenshtein(l.name, r.name) <= 1 THEN 1 ELSE 2 END,
+    CASE WHEN l.cents IS NULL OR r.cents IS NULL THEN -1 WHEN l.cents = r.cents THEN 0 WHEN abs(l.cents - r.cents) <= 100 THEN 1 ELSE 2 END,
+    CASE WHEN l.nation IS NULL OR r.nation IS NULL THEN -1 WHEN l.nation = r.nation THEN 0 ELSE 1 END,
+    CASE WHEN l.segment IS NULL OR r.segment IS NULL THEN -1 WHEN l.segment = r.segment THEN 0 ELSE 1 END)) AS pattern
+  FROM f l JOIN f r ON l.side = 0 AND r.side = 1 AND l.how = r.how AND l.block = r.block GROUP BY ALL)
+SELECT pattern, rules, count(*) AS pairs FROM p GROUP BY ALL""",
 }

@@ -11,6 +11,7 @@ from ..config import Config, Detect, OcrGate, Output, Recogniser, Semantic, Sour
 from ..functions import identifiers, numbers, text
 from ..operators import calibration as cal
 from ..operators import items as ops
+from ..operators.linkage import Linkage, linked, patterns
 from ..schema import JOB_EVENT, MANIFEST, struct
 from ..sources import files, sinks
 from ..sources.shared import new_path
@@ -559,13 +560,44 @@ def run_batch_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_id", "flag_status", "stages", F.lit(first.status).alias("first"), F.lit(rest.status).alias("second"), F.lit(rest.reconcile["reconciled"] and sum(done) == rest.reconcile["input_count"]).alias("whole"))
 
 
+def _entered_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All customers, and all of them entered once more with mistakes: a digit of the name lost, balances missing or a
+    cent off, segments missing, another nation."""
+    c = profile.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("name"), F.round(F.col("c_acctbal") * 100).cast("long").alias("cents"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    k = F.col("id")
+    wrong = {
+        "name": F.when(k % 4 == 1, F.expr("left(name, length(name) - 1)")).otherwise(F.col("name")),
+        "cents": F.when(k % 5 == 2, F.lit(None)).when(k % 5 == 3, F.col("cents") + 1).otherwise(F.col("cents")),
+        "nation": F.when(k % 7 == 5, (F.col("nation") + 1) % 25).otherwise(F.col("nation")),
+        "segment": F.when(k % 6 != 4, F.col("segment")),
+    }
+    return c, c.withColumns(wrong)
+
+
+#: How records of customers are compared and which meet.
+CUSTOMERS = Linkage(
+    fields={"name": ("l.name = r.name", "levenshtein(l.name, r.name) <= 1"), "cents": ("l.cents = r.cents", "abs(l.cents - r.cents) <= 100"), "nation": ("l.nation = r.nation",), "segment": ("l.segment = r.segment",)},
+    rules=(("left(name, 8)", "name"), ("cents",), ("nation", "segment", "floor(cents / 10000)")),
+)
+
+
+def linkage_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of agreement patterns, by the rules by which the pairs meet, of customers and their second entries."""
+    return patterns(*_entered_twice(spark, sf_dir), "id", "id", CUSTOMERS).groupBy("pattern", "rules").agg(F.count("*").alias("pairs"))
+
+
+def customer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's second entry, found by linkage, with its rating. The model is fitted, so that SQL has no form."""
+    return linked(*_entered_twice(spark, sf_dir), "id", "id", CUSTOMERS)
+
+
 NAMES = (
     "manifest_scan", "ingest_status", "extract_decode", "line_spans", "ocr_gate", "regex_hits", "regex_hits_by_rule", "mock_model_scores", "banding",
     "calibration_apply", "calibration_ece", "calibration_fit_sigmoid", "calibration_fit_isotonic", "cosine_best", "semantic_route", "routed_model_calls", "similarity_findings", "anchored_matches",
     "findings_union", "strongest_finding", "reason_summary", "item_summary", "reconcile", "stage_events", "run_id", "final_status", "resume_remaining",
     "resume_merge", "retry_selection", "migration_summary", "jobs_by_status", "job_latest_state", "queue_head", "job_list_page", "results_workbook",
     "status_filter", "manifest_page", "mask_identifiers", "mask_identifiers_udf", "redact", "ner_mapping", "location_resolution", "category_band_rollup",
-    "stream_available_now", "job_progress_stream", "admin_summary_stream", "settings_in_force", "sessions_stream", "run_batch_resumed", "manifest_tree", "manifest_changes", "results_by_run", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
+    "stream_available_now", "job_progress_stream", "admin_summary_stream", "settings_in_force", "linkage_patterns", "customer_links", "sessions_stream", "run_batch_resumed", "manifest_tree", "manifest_changes", "results_by_run", "run_documents", "run_findings", "run_folder", "item_pieces", "registry_fold",
 )
 
 QUERIES = {name: globals()[name] for name in NAMES}
