@@ -15,8 +15,14 @@ METHODS = ("identity", "sigmoid", "isotonic")
 
 def calibration_error(rows: DataFrame) -> DataFrame:
     """(category, p in 0..1, label) -> (category, error): |mean p - mean label| over ten equal bins, weighted, in points."""
-    bins = rows.withColumn("bin", F.least(F.lit(9), F.floor(F.col("p") * 10)))
-    means = bins.groupBy("category", "bin").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg(F.col("label").cast("double")).alias("y"))
+    return grouped_error(rows.select("category", "p", F.lit(1).alias("n"), F.col("label").isNotNull().cast("int").alias("known"), F.col("label").alias("pos")))
+
+
+def grouped_error(groups: DataFrame) -> DataFrame:
+    """The same of rows that stand for ``n`` rows of one p: ``known`` of them have a label, whose sum is ``pos``."""
+    bins = groups.withColumn("bin", F.least(F.lit(9), F.floor(F.col("p") * 10)))
+    p = F.sum(F.col("n") * F.col("p")) / F.sum(F.when(F.col("p").isNotNull(), F.col("n")))
+    means = bins.groupBy("category", "bin").agg(p.alias("p"), (F.sum("pos").cast("double") / F.sum("known")).alias("y"), F.sum("n").alias("n"))
     return means.groupBy("category").agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n") * 100).alias("error"))
 
 
@@ -110,16 +116,42 @@ def isotonic_blocks(grouped: DataFrame, size: int = BLOCKS) -> DataFrame:
         shift = 0 if shift else size // 2
 
 
-def fit_isotonic(grouped: DataFrame) -> DataFrame:
-    """(category, score, n, pos) -> (category, x, y): the knots are the distinct scores, as an artefact holds them, in one
-    row a category; :func:`isotonic_blocks` is the same without that row."""
+def isotonic_knots(grouped: DataFrame) -> DataFrame:
+    """(category, score, n, pos) -> (category, x, y), a row a distinct score."""
     starts = isotonic_blocks(grouped).select("category", "score", (F.col("pos") / F.col("n")).alias("y"))
     so_far = Window.partitionBy("category").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     knots = grouped.select("category", "score").join(starts, ["category", "score"], "left").withColumn("y", F.last("y", ignorenulls=True).over(so_far))
-    rows = knots.groupBy("category").agg(F.array_sort(F.collect_list(F.struct((F.col("score") / 100.0).alias("x"), "y"))).alias("k"))
+    return knots.select("category", (F.col("score") / 100.0).alias("x"), "y")
+
+
+def _gathered(knots: DataFrame) -> DataFrame:
+    rows = knots.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"))
     return rows.select("category", F.transform("k", lambda k: k["x"]).alias("x"), F.transform("k", lambda k: k["y"]).alias("y"))
 
 
+def fit_isotonic(grouped: DataFrame) -> DataFrame:
+    """(category, score, n, pos) -> (category, x, y): the knots are the distinct scores, as an artefact holds them, in one
+    row a category; :func:`isotonic_blocks` is the same without that row."""
+    return _gathered(isotonic_knots(grouped))
+
+
+def _interpolated(groups: DataFrame, knots: DataFrame) -> DataFrame:
+    """Groups (category, score, n, known, pos) with ``p``, as numbers.calibrated gives it for these knots, a row each: both
+    lists in the order of scores meet in one pass, whatever their lengths."""
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / 100.0))
+    none = F.lit(None)
+    asked = groups.select("category", s.alias("x"), F.lit(1).alias("asked"), none.cast("struct<x:double,y:double>").alias("k"), "n", "known", "pos")
+    given = knots.select("category", "x", F.lit(0).alias("asked"), F.struct("x", "y").alias("k"), *[none.cast("long").alias(c) for c in ("n", "known", "pos")])
+    order = Window.partitionBy("category").orderBy("x", "asked", "k.y")
+    back = Window.partitionBy("category").orderBy(F.col("x").desc(), F.col("asked").desc(), F.col("k.y").desc())
+    met = asked.unionByName(given).withColumns({"lo": F.last("k", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    met = met.withColumns({"hi": F.last("k", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))}).where("asked = 1")
+    (x0, y0), (x1, y1) = [(F.col(f"{c}.x"), F.col(f"{c}.y")) for c in ("lo", "hi")]
+    inside = y0 + (y1 - y0) * (F.col("x") - x0) / F.nullif(x1 - x0, F.lit(0.0))
+    value = F.when(F.col("lo").isNull() & F.col("hi").isNull(), F.col("x")).when(F.col("lo").isNull(), y1).when(F.col("hi").isNull(), y0).otherwise(inside)
+    return met.select("category", (F.greatest(F.lit(0.0), F.least(F.lit(100.0), value * 100.0)) / 100.0).alias("p"), "n", "known", "pos")
+
+
 def fit(labels: DataFrame, method: str = "sigmoid", min_positives: int = 100, max_error: float = 5.0) -> DataFrame:
     """labels (category, split, score, label) -> calibration rows with positives and error.
 
@@ -139,14 +171,23 @@ def fit(labels: DataFrame, method: str = "sigmoid", min_positives: int = 100, ma
     if method == "identity":
         maps = positives.select("category", "positives", *[v.alias(k) for k, v in empty.items()])
     else:
-        own = fit_sigmoid(fitted) if method == "sigmoid" else fit_isotonic(fitted)
+        if method == "isotonic":
+            path = new_path(labels.sparkSession, "knots")
+            isotonic_knots(fitted).write.parquet(path)
+            knots = labels.sparkSession.read.schema("category string, x double, y double").parquet(path)
+        own = fit_sigmoid(fitted) if method == "sigmoid" else _gathered(knots)
         joined = positives.join(own.withColumn("method", F.lit(method)), "category", "left")
         maps = joined.select("category", "positives", *[(F.coalesce(F.col(k), v) if k in joined.columns else v).alias(k) for k, v in empty.items()])
     # every category that has labels has a row, on whichever split they are
     maps = labels.select("category").distinct().join(maps, "category", "left").select("category", F.coalesce("positives", F.lit(0)).cast("long").alias("positives"), *[F.coalesce(F.col(k), v).alias(k) for k, v in empty.items()])
-    held = labels.where("split = 'holdout'").join(maps, "category")
-    p = numbers.calibrated(F.col("score"), F.col("method"), F.col("a"), F.col("b"), F.col("x"), F.col("y")) / 100.0
-    errors = calibration_error(held.select("category", p.alias("p"), "label"))
+    # a row a distinct score: no label meets a category's row of knots
+    held = labels.where("split = 'holdout'").groupBy("category", "score").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.sum("label").cast("long").alias("pos"))
+    if method == "isotonic":
+        errors = grouped_error(_interpolated(held, knots))
+    else:
+        held = held.join(maps.select("category", "method", "a", "b"), "category")
+        p = numbers.calibrated(F.col("score"), F.col("method"), F.col("a"), F.col("b"), none, none) / 100.0
+        errors = grouped_error(held.select("category", p.alias("p"), "n", "known", "pos"))
     out = maps.join(errors, "category", "left").withColumn("error", F.coalesce("error", F.lit(100.0)))
     status = F.when(F.col("positives") == 0, "not_calibrated").when((F.col("positives") >= min_positives) & (F.col("error") <= max_error), "calibrated").otherwise("provisional")
     return out.select("category", status.alias("status"), "method", "a", "b", "x", "y", "positives", "error")

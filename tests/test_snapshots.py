@@ -97,3 +97,27 @@ def test_isotonic_fit_of_many_scores(spark):
     blocks = [(r["n"], r["pos"]) for r in calibration.isotonic_blocks(df, 50_000).orderBy("score").collect()]
     rows = [(1, r["pos"]) for r in df.orderBy("score").toLocalIterator()]
     assert blocks == [(n, p) for _, n, p in calibration.pooled([n for n, _ in rows], [p for _, p in rows])]
+
+
+def test_isotonic_error_of_many_labels(spark):
+    """A category of 400,000 labels: its held-out ones meet the knots score by score, not each with all 16,384 of them."""
+    import bisect
+    import time
+
+    # scores in steps of 1/256 within 8 to 72, so that some lie beyond the knots
+    score = "(pmod(xxhash64(id), 16384) / 256.0D + 8)"
+    rows = spark.range(400_000).selectExpr("'c' AS category", "if(id % 2 = 0, 'dev', 'holdout') AS split", f"if(id % 2 = 0, 10 + {score} * 0.75D, {score}) AS score", f"cast(pmod(xxhash64(id, 3), 80) < {score} AS int) AS label")
+    labels = rows.unionAll(spark.createDataFrame([("d", "dev", 5.0, 0), ("d", "holdout", 5.0, 1), ("e", "holdout", 25.0, 0)], rows.schema))
+    begun = time.time()
+    got = {r["category"]: r for r in calibration.fit(labels, "isotonic").collect()}
+    spent = time.time() - begun
+    assert (got["d"]["error"], got["e"]["error"]) == (pytest.approx(95.0), pytest.approx(25.0)) and got["d"]["method"] == "identity"
+    x, y, bins = got["c"]["x"], got["c"]["y"], {}
+    for r in rows.where("split = 'holdout'").groupBy("score").agg({"*": "count", "label": "sum"}).collect():
+        s = r["score"] / 100
+        k = bisect.bisect_right(x, s)
+        p = y[0] if k == 0 else y[-1] if k == len(x) else y[k - 1] + (y[k] - y[k - 1]) * (s - x[k - 1]) / (x[k] - x[k - 1])
+        own = bins.setdefault(min(9, int(p * 10)), [0, 0.0, 0])
+        own[0], own[1], own[2] = own[0] + r["count(1)"], own[1] + p * r["count(1)"], own[2] + r["sum(label)"]
+    assert len(x) > 10_000 and got["c"]["error"] == pytest.approx(sum(abs(p - q) for _, p, q in bins.values()) / 200_000 * 100, rel=1e-9)
+    assert spent < 60
