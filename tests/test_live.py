@@ -99,6 +99,24 @@ def test_progress_counts_each_slice_once(spark, tmp_path):
         spark.conf.set(progress.STORE[0], before)
 
 
+def test_progress_of_many_commits(spark, tmp_path):
+    """600,000 commits, most of them repeats, of 1,000 jobs and of one without an id: no call of its own for a commit."""
+    before = spark.conf.get(progress.STORE[0])
+    spark.conf.set(*progress.STORE)
+    commits = spark.range(600_000).selectExpr("if(id % 1001 = 1000, null, id % 1001) AS job_id", "pmod(xxhash64(id), 30) AS slice", "pmod(xxhash64(id), 30) + 1 AS items", "timestamp_seconds(1700000000 + id DIV 10000) AS ts")
+    commits.write.parquet(str(tmp_path / "in"))
+    begun = time.time()
+    try:
+        stream = progress.progress(spark.readStream.schema(progress.COMMIT).parquet(str(tmp_path / "in")), 10 * 60_000)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(progress.STORE[0], before)
+    assert time.time() - begun < 60
+    want = commits.select("job_id", "slice", "items").distinct().groupBy("job_id").agg({"*": "count", "items": "sum"})
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["job_id"], r["kind"], r["slices"], r["items"]) for r in got.collect()} == {(r["job_id"], "progress", r["count(1)"], r["sum(items)"]) for r in want.collect()} and got.count() == 1001
+
+
 def test_admin_summary_after_each_batch(spark, tmp_path):
     rows = [(j, 10 * n + j, ("queued", "running", "completed", "failed")[(n + j) % 4], n, j, 1, n + j) for n in range(5) for j in range(4)]
     schema = "job_id long, seq long, status string, flagged long, not_flagged long, unable long, progress long"
