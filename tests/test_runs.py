@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,14 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "l.json").write_text(json.dumps({"a": {"dev": [[90, 1], [10, 0]] * 120, "holdout": [[100, 1], [0, 0]] * 10}}))
     assert cli.main(["calibrate", "--labels", str(tmp_path / "l.json"), "--out", str(tmp_path / "cal.json")], spark) == 0
     assert files.calibration(spark, str(tmp_path / "cal.json")).first()["status"] == "calibrated"
+
+
+def test_summary_rows_are_made_once(spark, tmp_path, monkeypatch):
+    """Results, history, counts and ledger read the rows that one job has written, and these go afterwards."""
+    from sieveline.plans import jobs
+
+    read, status = [], jobs.final_status
+    monkeypatch.setattr(jobs, "final_status", lambda rows: read.extend(rows.inputFiles()) or status(rows))
+    _, result = run_of(spark, sample(tmp_path))
+    assert read and all("/summary-" in f for f in read) and not any(os.path.exists(f.removeprefix("file://")) for f in read)
+    assert result.reconcile["reconciled"] and result.rows(spark)["final_status"].count() == len(ITEMS)
